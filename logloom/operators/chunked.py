@@ -23,13 +23,15 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import checkpoint
 
 KEY = "_key"
+CHUNK = "_chunk"
+# Decisions gathered before they are handed on.
+_OUTPUT_ROWS = 10_000
 # Rounds in which all stale chunks are folded at once, before folding only those certain to become final.
 SPECULATIVE_ROUNDS = 4
 
@@ -61,40 +63,33 @@ class _Chunk:
         return self.first == self.last
 
 
-def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Bounds of the stretches of equal keys."""
-    cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-    bounds = [0, *cuts.tolist(), len(keys)]
-    return zip(bounds[:-1], bounds[1:])
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Any, pd.DataFrame]]:
+    """The stretches of one chunk and key in each batch."""
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        chunks, keys = pdf[CHUNK].to_numpy(), pdf[KEY].to_numpy()
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)]):
+            yield chunks[low], keys[low], pdf.iloc[low:high]
 
 
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    first = last = None
-    seen = False
-    for pdf in batches:
-        if len(pdf):
-            keys = pdf[KEY]
-            first, seen = (first if seen else keys.iloc[0]), True
-            last = keys.iloc[-1]
-    if seen:
-        chunk = TaskContext.get().partitionId()
-        yield pd.DataFrame({"chunk": [chunk], "first": [first], "last": [last]}).astype({"chunk": "int32"})
+def _load(entries: dict[int, bytes], chunk: int) -> Any:
+    return pickle.loads(entries[chunk]) if chunk in entries else None
 
 
 def _exits(fold: Fold, wanted: dict[int, Any], entries: dict[int, bytes]) -> Callable:
     """Fold the last key of each wanted chunk and report the state it ends in."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk = TaskContext.get().partitionId()
-        if chunk not in wanted:
-            return
-        key = wanted[chunk]
-        state = pickle.loads(entries[chunk]) if chunk in entries else None
-        for pdf in batches:
-            rows = pdf[(pdf[KEY] == key).to_numpy()]
-            if len(rows):
-                state, _ = fold.step(state, rows)
-        yield pd.DataFrame({"chunk": [chunk], "state": [pickle.dumps(state)]}).astype({"chunk": "int32"})
+        states: dict[int, Any] = {}
+        for chunk, key, rows in _slices(batches):
+            if wanted[chunk] == key:
+                state = states[chunk] if chunk in states else _load(entries, chunk)
+                states[chunk], _ = fold.step(state, rows)
+        if states:
+            exits = [pickle.dumps(s) for s in states.values()]
+            yield pd.DataFrame({"chunk": np.array(list(states), dtype=np.int32), "state": exits})
 
     return run
 
@@ -103,32 +98,31 @@ def _decide(fold: Fold, entries: dict[int, bytes], open_ended: set[int]) -> Call
     """Fold every key of every chunk and emit the decisions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk = TaskContext.get().partitionId()
-        state = pickle.loads(entries[chunk]) if chunk in entries else None
-        current, started = None, False
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            keys = pdf[KEY].to_numpy()
-            out = []
-            for low, high in _runs(keys):
-                if started and keys[low] != current:
+        at, state, out, rows_out = None, None, [], 0
+        for chunk, key, rows in _slices(batches):
+            if at != (chunk, key):
+                if at is not None and (at[0] == chunk or at[0] not in open_ended):
                     out.append(fold.finish(state))
-                    state = None
-                current, started = keys[low], True
-                state, decided = fold.step(state, pdf.iloc[low:high])
-                out.append(decided)
-            out = [o for o in out if o is not None and len(o)]
-            if out:
-                yield pd.concat(out, ignore_index=True)
-        if started and chunk not in open_ended:
-            rest = fold.finish(state)
-            if rest is not None and len(rest):
-                yield rest
+                state = None if at is not None and at[0] == chunk else _load(entries, chunk)
+                at = (chunk, key)
+            state, decided = fold.step(state, rows)
+            out.append(decided)
+            rows_out += len(decided)
+            if rows_out >= _OUTPUT_ROWS:
+                yield _joined(out)
+                out, rows_out = [], 0
+        if at is not None and at[0] not in open_ended:
+            out.append(fold.finish(state))
+        if any(o is not None and len(o) for o in out):
+            yield _joined(out)
 
     return run
 
 
+def _joined(frames: list[pd.DataFrame | None]) -> pd.DataFrame:
+    return pd.concat([f for f in frames if f is not None and len(f)], ignore_index=True)
+
+
 def _settle(ordered: DataFrame, fold: Fold, chunks: list[_Chunk]) -> dict[int, bytes]:
     """The state each chunk starts from, for the chunks whose first key continues from the one before."""
     links = [(a, b) for a, b in zip(chunks, chunks[1:]) if a.last == b.first]
@@ -138,7 +132,8 @@ def _settle(ordered: DataFrame, fold: Fold, chunks: list[_Chunk]) -> dict[int, b
     rounds = 0
     while stale:
         wanted = {i: c.last for i, c in stale.items()}
-        folded = ordered.mapInPandas(_exits(fold, wanted, entries), "chunk int, state binary")
+        rows = ordered.where(F.col(CHUNK).isin(list(wanted)))
+        folded = rows.mapInPandas(_exits(fold, wanted, entries), "chunk int, state binary")
         for row in folded.collect():
             stale[row["chunk"]].exit = bytes(row["state"])
         rounds += 1
@@ -162,8 +157,9 @@ def chunked_fold(
     keyed = df.withColumn(KEY, key)
     by = [KEY, *order]
     ranged = keyed.repartitionByRange(partitions, *by) if partitions else keyed.repartitionByRange(*by)
-    ordered = checkpoint(ranged.sortWithinPartitions(*by))
-    edges = ordered.select(KEY).mapInPandas(_edges, "chunk int, first string, last string").collect()
+    # The chunk number is stored with the rows: a task's own number changes when its stage has more inputs.
+    ordered = checkpoint(ranged.sortWithinPartitions(*by).withColumn(CHUNK, F.spark_partition_id()))
+    edges = ordered.groupBy(CHUNK).agg(F.min(KEY), F.max(KEY)).collect()
     chunks = [_Chunk(*row) for row in sorted(tuple(r) for r in edges)]
     entries = _settle(ordered, fold, chunks)
     open_ended = {a.index for a, b in zip(chunks, chunks[1:]) if a.last == b.first}

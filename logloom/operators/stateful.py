@@ -157,8 +157,9 @@ def dedup_logs(
     digests = df.select(*ROW_ID, message_digest().alias("digest"))
     few = _few_messages(digests, window_size)
     first = Window.partitionBy("source", "digest").orderBy("seq")
-    ranked = digests.join(few, "source", "left_semi").withColumn("_nth", F.row_number().over(first))
-    native = ranked.where(F.col("_nth") <= max_repeats).select(*ROW_ID)
+    ranked = digests.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= max_repeats)
+    # The ranks come before the join: on rows already spread by source, Spark would not limit them in the map tasks.
+    native = ranked.join(few, "source", "left_semi").select(*ROW_ID)
     folded = chunked_fold(
         digests.join(few, "source", "left_anti"),
         F.col("source"),
@@ -178,8 +179,9 @@ def suppressed_logs(
     require(max_repeats >= 1, "max_repeats must be >= 1")
     digests = df.select(*ROW_ID, message_digest().alias("digest"))
     few = _few_messages(digests, window_size)
-    numbered = with_row_number(digests.join(few, "source", "left_semi"), "occurrence", ["source", "digest"])
-    native = numbered.where(F.col("occurrence") > max_repeats).select(*ROW_ID, "occurrence")
+    numbered = with_row_number(digests, "occurrence", ["source", "digest"])
+    repeats = numbered.where(F.col("occurrence") > max_repeats)
+    native = repeats.join(few, "source", "left_semi").select(*ROW_ID, "occurrence")
     folded = chunked_fold(
         digests.join(few, "source", "left_anti"),
         F.col("source"),

@@ -73,10 +73,10 @@ def test_throttle_matches_model(logs, partitions, limit, step):
 
 
 def test_throttle_of_one_saturated_key_needs_many_rounds(logs):
-    rows = make_rows(random.Random(5), 800, ["a"], 0.05)
-    got = S.throttle_logs(logs(rows), 3, 1, key=F.lit("k"), partitions=40)
+    rows = make_rows(random.Random(5), 400, ["a"], 0.05)
+    got = S.throttle_logs(logs(rows), 3, 1, key=F.lit("k"), partitions=14)
     assert ids(got) == throttle_model(rows, 3, 1, lambda r: "k")
-    got = S.throttle_logs(logs(rows), 3, 4, key=F.lit("k"), partitions=23)
+    got = S.throttle_logs(logs(rows), 3, 4, key=F.lit("k"), partitions=9)
     assert ids(got) == throttle_model(rows, 3, 4, lambda r: "k")
 
 
