@@ -1,6 +1,7 @@
 """Reliable checkpoints in the folder the cluster names."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder; lost executors do not lose it, and partitions stay as they are."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path beside the checkpoints, for tables that a query writes and reads back."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -14,12 +14,17 @@ from logloom.operators.rules import MaskRule, NormalizeRule, RedactRule, Transfo
 ANSI_PATTERN = r"\x1b\[[0-9;]*m"
 
 
+def _replaced(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
+    """Replace columns in one projection: every expression reads the input row (``withColumns`` may chain them)."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in df.columns])
+
+
 def transform_logs(df: DataFrame, rules: Sequence[TransformRule]) -> DataFrame:
     """Regex replacement chain. NULL fields stay NULL."""
     changed: dict[str, Column] = {}
     for rule in rules:
         changed[rule.field] = rule.rewrite(changed.get(rule.field, F.col(rule.field)))
-    return df.withColumns(changed) if changed else df
+    return _replaced(df, changed)
 
 
 def redact_pattern(pattern: str, replacement: str = "[REDACTED]") -> TransformRule:
@@ -29,7 +34,7 @@ def redact_pattern(pattern: str, replacement: str = "[REDACTED]") -> TransformRu
 
 def _without_raw(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
     """The original line would give away what was hidden, so it is dropped."""
-    return df.withColumns({**changed, "raw": F.lit(None).cast("string")})
+    return _replaced(df, {**changed, "raw": F.lit(None).cast("string")})
 
 
 def redact_logs(df: DataFrame, rules: Sequence[RedactRule]) -> DataFrame:
@@ -43,15 +48,21 @@ def redact_logs(df: DataFrame, rules: Sequence[RedactRule]) -> DataFrame:
 
 
 def mask_logs(df: DataFrame, rules: Sequence[MaskRule]) -> DataFrame:
-    """Replace whole values. Every condition looks at the input row; ``raw`` becomes NULL."""
+    """Replace whole values. Every condition looks at the input row; ``raw`` becomes NULL.
+
+    The conditions are columns of their own first: inside the lambda over ``extra``, a name such as ``message``
+    would mean the replaced column of the same projection.
+    """
+    flags = [f"_mask_{i}" for i in range(len(rules))]
+    flagged = df.select("*", *[matches(as_column(r.condition)).alias(f) for r, f in zip(rules, flags)])
     message, extra = F.col("message"), F.col("extra")
-    for rule in rules:
-        holds, mask = matches(as_column(rule.condition)), F.lit(rule.mask_with)
+    for rule, flag in zip(rules, flags):
+        holds, mask = F.col(flag), F.lit(rule.mask_with)
         if "message" in rule.fields:
             message = F.when(holds, mask).otherwise(message)
         keys = [f for f in rule.fields if f != "message"]
         extra = replace_values(extra, keys, lambda v, holds=holds, mask=mask: F.when(holds, mask).otherwise(v))
-    return _without_raw(df, {"message": message, "extra": extra})
+    return _without_raw(flagged, {"message": message, "extra": extra}).drop(*flags)
 
 
 def normalize_logs(df: DataFrame, rules: Sequence[NormalizeRule]) -> DataFrame:
@@ -63,7 +74,7 @@ def normalize_logs(df: DataFrame, rules: Sequence[NormalizeRule]) -> DataFrame:
         if rule.field != "message":
             result = F.when(value != "", result).otherwise(value)
         changed[rule.field] = result
-    return df.withColumns(changed) if changed else df
+    return _replaced(df, changed)
 
 
 def uppercase_level_rule() -> NormalizeRule:

@@ -30,10 +30,16 @@ def _last_match(settings: list[tuple[str, Column, str]]) -> dict[str, Column]:
     return {key: F.coalesce(*options) for key, options in values.items()}
 
 
+def _with_overlay(df: DataFrame, new: Column) -> DataFrame:
+    """Merge a map into ``extra``. It is a column of its own first, so it is computed once per row."""
+    named = df.withColumn("_new", new)
+    return named.withColumn("extra", overlay(F.col("extra"), F.col("_new"))).drop("_new")
+
+
 def _with_extra(df: DataFrame, settings: list[tuple[str, Column, str]]) -> DataFrame:
     if not settings:
         return df
-    return df.withColumn("extra", overlay(F.col("extra"), present(_last_match(settings))))
+    return _with_overlay(df, present(_last_match(settings)))
 
 
 def annotate_logs(df: DataFrame, rules: Sequence[AnnotationRule]) -> DataFrame:
@@ -51,7 +57,7 @@ def enrich_logs(df: DataFrame, rules: Sequence[EnrichRule]) -> DataFrame:
 
     def step(frame: DataFrame, rule: EnrichRule) -> DataFrame:
         value = F.create_map(F.lit(rule.key), as_column(rule.derive).cast("string"))
-        return frame.withColumn("extra", overlay(F.col("extra"), value))
+        return _with_overlay(frame, value)
 
     return reduce(step, rules, df)
 

@@ -1 +1,115 @@
-"""Placeholder."""
+"""Queries that write log rows with a sink and read them back."""
+
+from pyspark.sql import functions as F
+
+from logloom.checkpoints import scratch_path
+from logloom.functions.formats import EXPORT_COLUMNS
+from logloom.operators import aggregate
+from logloom.operators.filters import filter_logs
+from logloom.operators.parse import parse_logs
+from logloom.operators.rules import Route, SplitRule
+from logloom.plans.registry import CONVERSATIONS, DOCUMENTS, EVENTS, PARSED, PLAIN_LINE, TEXT_LINE, query
+from logloom.sinks import files as sinks
+from logloom.sources.files import read_lines, read_logs, replay_logs
+from logloom.sources.tables import conversation_logs, document_logs, event_lines, event_logs
+
+_LINE_SQL = "SELECT level, is_json, message, epoch_us(ts) AS us FROM logs"
+
+
+def _written_lines(spark, sf, **options):
+    path = scratch_path(spark, "lines")
+    event_lines(spark, sf).select("raw").write.text(path, **options)
+    return path
+
+
+@query(f"WITH {PARSED} {_LINE_SQL} WHERE level = 'purchase'")
+def replay_files(spark, sf):
+    logs = read_logs(spark, _written_lines(spark, sf), source="feed")
+    return filter_logs(logs, level="purchase").select("level", "is_json", "message", F.unix_micros("ts").alias("us"))
+
+
+@query(f"WITH {PARSED} {_LINE_SQL} WHERE level IS NULL")
+def replay_gzip(spark, sf):
+    logs = replay_logs(spark, _written_lines(spark, sf, compression="gzip"), F.col("level").isNull())
+    return logs.select("level", "is_json", "message", F.unix_micros("ts").alias("us"))
+
+
+@query(f"WITH {PARSED} SELECT count(*) AS n, count(DISTINCT raw) AS n_raw, true AS unique_seq FROM logs")
+def replay_sequence(spark, sf):
+    """Every line gets its own place in the feed."""
+    lines = read_lines(spark, _written_lines(spark, sf), source="feed")
+    n = F.count("*")
+    return lines.agg(
+        n.alias("n"), F.count_distinct("raw").alias("n_raw"), (F.count_distinct("seq") == n).alias("unique_seq")
+    )
+
+
+@query(f"WITH {DOCUMENTS} SELECT NULL::VARCHAR AS timestamp, NULL::VARCHAR AS level, message, message AS raw FROM logs")
+def export_json_files(spark, sf):
+    path = scratch_path(spark, "json")
+    sinks.write_logs(document_logs(spark, sf), path, "json")
+    return spark.read.schema(", ".join(f"{c} string" for c in EXPORT_COLUMNS)).json(path)
+
+
+@query(f"""WITH {CONVERSATIONS} SELECT '' AS timestamp, level, regexp_replace(message, '\\r\\n?', chr(10), 'g') AS message
+FROM logs""")
+def export_csv_files(spark, sf):
+    """Texts with quotes, commas and line ends. Readers of CSV may turn every line end into LF."""
+    path = scratch_path(spark, "csv")
+    sinks.write_logs(conversation_logs(spark, sf), path, "csv")
+    back = spark.read.csv(
+        path, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    message = F.regexp_replace("message", r"\r\n?", "\n").alias("message")
+    return back.select(F.coalesce("timestamp", F.lit("")).alias("timestamp"), "level", message)
+
+
+@query(f"WITH {PARSED} SELECT {TEXT_LINE} AS value FROM logs")
+def export_text_files(spark, sf):
+    path = scratch_path(spark, "text")
+    sinks.write_logs(parse_logs(event_lines(spark, sf)), path, "text")
+    return spark.read.text(path)
+
+
+@query(f"WITH {PARSED} SELECT {PLAIN_LINE} AS value FROM logs")
+def export_plain_files(spark, sf):
+    path = scratch_path(spark, "plain")
+    sinks.write_logs(parse_logs(event_lines(spark, sf)), path, "plain")
+    return spark.read.text(path)
+
+
+@query(f"""WITH {EVENTS} SELECT CASE WHEN level = 'error' THEN 'errors' ELSE 'rest' END AS bucket, count(*) AS n,
+CAST(sum(seq) AS BIGINT) AS seqs FROM logs GROUP BY ALL""")
+def split_files(spark, sf):
+    path = scratch_path(spark, "split")
+    sinks.write_split(event_logs(spark, sf), [SplitRule("errors", "level = 'error'")], path, "rest")
+    return spark.read.parquet(path).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query(f"""WITH {EVENTS} SELECT 'buy' AS route, count(*) AS n FROM logs WHERE level = 'purchase'
+UNION ALL SELECT 'all', count(*) FROM logs""")
+def route_files(spark, sf):
+    path = scratch_path(spark, "routes")
+    sinks.write_routes(event_logs(spark, sf), [Route("buy", "level = 'purchase'"), Route("all", "true")], path)
+    return spark.read.parquet(path).groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {EVENTS} SELECT 'a' AS sink, source, count(*) AS n FROM logs GROUP BY source
+UNION ALL SELECT 'b', source, count(*) FROM logs GROUP BY source""")
+def tee_files(spark, sf):
+    paths = {name: scratch_path(spark, f"tee-{name}") for name in "ab"}
+    rows = event_logs(spark, sf).select("source", "seq", "message")
+    sinks.tee_logs(rows, {"a": lambda df: df.write.parquet(paths["a"]), "b": lambda df: df.write.json(paths["b"])})
+    both = [
+        spark.read.parquet(paths["a"]).select(F.lit("a").alias("sink"), "source"),
+        spark.read.schema("source string").json(paths["b"]).select(F.lit("b").alias("sink"), "source"),
+    ]
+    return both[0].union(both[1]).groupBy("sink", "source").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CONVERSATIONS} SELECT source, trace_id AS key, count(*) AS count FROM logs GROUP BY ALL
+HAVING count(*) >= 2""")
+def group_report(spark, sf):
+    path = scratch_path(spark, "groups")
+    sinks.write_group_report(aggregate.correlation_groups(conversation_logs(spark, sf), min_group_size=2), path)
+    return spark.read.schema("source string, key string, count long").json(path)

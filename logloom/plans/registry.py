@@ -34,7 +34,7 @@ CONVERSATIONS = """logs AS (
   FROM conversations)"""
 PAGES = "logs AS (SELECT 'pages' AS source, page_id AS seq, url AS service, html AS message FROM pages)"
 LINEITEM = """logs AS (
-  SELECT 'supplier-' || (l_suppkey % 16) AS source, l_orderkey * 16 + l_linenumber AS seq, l_shipdate AS ts,
+  SELECT 'supplier-' || (l_suppkey % 16) AS source, (l_orderkey * 8 + l_linenumber) * 1099511627776 + l_partkey * 65536 + l_suppkey AS seq, l_shipdate AS ts,
          l_returnflag AS level, l_linestatus AS service, 'part ' || l_partkey AS message
   FROM lineitem)"""
 ORDERS = """logs AS (

@@ -148,8 +148,8 @@ def tail_n(spark, sf):
 
 @query(f"WITH {LINEITEM} SELECT source, seq FROM logs QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq) % 7 = 0")
 def sample_nth(spark, sf):
-    """Small blocks, so that sources are numbered across many of them."""
-    return ordered.sample_nth(lineitem_logs(spark, sf), 7, width=1 << 12).select(*ID)
+    """The width spans 4096 order lines, as ``seq`` is sparse here; each source is numbered across many blocks."""
+    return ordered.sample_nth(lineitem_logs(spark, sf), 7, width=1 << 52).select(*ID)
 
 
 @query(f"""WITH {LINEITEM} SELECT source, seq FROM logs

@@ -1 +1,113 @@
-"""Placeholder."""
+"""Structured Streaming queries over the event log, run until all available input is read.
+
+A batch oracle can only know what the watermark has passed, so the SQL forms stop there.
+"""
+
+from pyspark.sql import functions as F
+
+from logloom.checkpoints import scratch_path
+from logloom.operators.rules import AlertRule, Route
+from logloom.plans.registry import EVENTS, PARSED, query
+from logloom.sources.files import stream_logs
+from logloom.sources.tables import event_lines, event_logs_of
+from logloom.streaming import operators as S
+
+ID = ["source", "seq"]
+# The watermark: the latest time less one day, in whole milliseconds.
+_MARK = "(SELECT (epoch_us(max(ts)) - 86400000000) // 1000 * 1000 FROM events)"
+_DAY = "1 day"
+
+
+def _event_stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return event_logs_of(spark.readStream.schema(schema).parquet(sf, pathGlobFilter="events.parquet"))
+
+
+def _finished(spark, stream):
+    """Run the stream over all available input into a table, and read that."""
+    path = scratch_path(spark, "stream")
+    query = (
+        stream.writeStream.format("parquet")
+        .option("checkpointLocation", scratch_path(spark, "stream-state"))
+        .trigger(availableNow=True)
+        .start(path)
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query(f"""WITH {EVENTS}, n AS (SELECT source, CAST(floor(epoch_us(ts) / 3.6e9) * 3600000000 AS BIGINT) AS window_start, level,
+service, count(*) AS total FROM logs GROUP BY ALL)
+SELECT * FROM n WHERE window_start + 3600000000 <= {_MARK}""")
+def stream_tumbling(spark, sf):
+    counts = S.tumbling_counts_stream(_event_stream(spark, sf), 3600, _DAY)
+    done = _finished(spark, counts)
+    return done.select("source", F.unix_micros("window_start").alias("window_start"), "level", "service", "total")
+
+
+@query(f"WITH {EVENTS} SELECT DISTINCT source, level FROM logs")
+def stream_dedup(spark, sf):
+    logs = _event_stream(spark, sf).select(*ID, "ts", "level", F.col("level").alias("message"))
+    return _finished(spark, S.dedup_stream(logs, "60 days")).select("source", "level")
+
+
+@query(f"""WITH RECURSIVE {EVENTS},
+r AS (SELECT source, seq, service AS g, epoch_us(ts) AS t, row_number() OVER (PARTITION BY source, service ORDER BY ts, seq) AS i
+      FROM logs),
+walk(source, g, seq, i, t, live, keep) AS (
+  SELECT source, g, seq, i, t, [t], true FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.source, r.g, r.seq, r.i, r.t,
+         CASE WHEN len(list_filter(live, lambda x: x >= r.t - 36000000000)) < 2 THEN list_append(live, r.t)[-2:] ELSE live END,
+         len(list_filter(live, lambda x: x >= r.t - 36000000000)) < 2
+  FROM walk w JOIN r ON r.source = w.source AND r.g = w.g AND r.i = w.i + 1)
+SELECT source, seq FROM walk WHERE keep AND t <= {_MARK}""")
+def stream_throttle(spark, sf):
+    logs = _event_stream(spark, sf)
+    return _finished(spark, S.throttle_stream(logs, 36_000, 2, F.col("service"), _DAY)).select(*ID)
+
+
+@query(f"WITH {EVENTS} SELECT source, seq FROM logs WHERE epoch_us(ts) <= {_MARK}")
+def stream_rate_limit(spark, sf):
+    """Events of a source are minutes apart, so all of them pass."""
+    return _finished(spark, S.rate_limit_stream(_event_stream(spark, sf), 10, _DAY)).select(*ID)
+
+
+@query(f"""WITH RECURSIVE {EVENTS},
+r AS (SELECT source, seq, epoch_us(ts) AS t, row_number() OVER (PARTITION BY source ORDER BY ts, seq) AS i FROM logs
+      WHERE level = 'error'),
+walk(source, seq, i, t, hits, fired) AS (
+  SELECT source, seq, i, t, [t], false FROM r WHERE i = 1
+  UNION ALL
+  SELECT source, seq, i, t, CASE WHEN len(h) >= 3 THEN CAST([] AS BIGINT[]) ELSE h END, len(h) >= 3
+  FROM (SELECT r.source, r.seq, r.i, r.t, list_append(list_filter(hits, lambda x: x >= r.t - 14400000000), r.t) AS h
+        FROM walk w JOIN r ON r.source = w.source AND r.i = w.i + 1))
+SELECT source, seq, 'burst' AS rule FROM walk
+WHERE fired AND t <= (SELECT (epoch_us(max(ts)) - 86400000000) // 1000 * 1000 FROM logs WHERE level = 'error')""")
+def stream_alert(spark, sf):
+    rule = AlertRule("ERROR", threshold=3, window=14_400, name="burst")
+    return _finished(spark, S.alert_stream(_event_stream(spark, sf), rule, _DAY)).select(*ID, "rule")
+
+
+@query(f"WITH {PARSED} SELECT level, is_json, count(*) AS n FROM logs GROUP BY ALL")
+def stream_files(spark, sf):
+    """Lines written to a directory, followed as a stream, parsed, and handed to a sink per micro-batch."""
+    path, out = scratch_path(spark, "feed"), scratch_path(spark, "followed")
+    event_lines(spark, sf).select("raw").write.text(path)
+    logs = stream_logs(spark, path, source="feed", max_files_per_trigger=1)
+    sinks = {"table": lambda df: df.select("level", "is_json").write.mode("append").parquet(out)}
+    S.tee_stream(logs, sinks, scratch_path(spark, "tee-state")).awaitTermination()
+    return spark.read.parquet(out).groupBy("level", "is_json").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {EVENTS} SELECT 'errors' AS route, count(*) AS n FROM logs WHERE level = 'error'
+UNION ALL SELECT 'rest', count(*) FROM logs WHERE level <> 'error'""")
+def stream_routes(spark, sf):
+    out = scratch_path(spark, "routed")
+
+    def sink(name):
+        return lambda df: df.select(F.lit(name).alias("route"), "seq").write.mode("append").parquet(out)
+
+    routes = [Route("errors", "level = 'error'", True, sink("errors")), Route("rest", "true", sink=sink("rest"))]
+    S.route_stream(_event_stream(spark, sf), routes, scratch_path(spark, "route-state")).awaitTermination()
+    return spark.read.parquet(out).groupBy("route").agg(F.count("*").alias("n"))

@@ -1,7 +1,9 @@
 """Log files as tables of raw lines: plain text or gzip, single files, globs or directories, batch or stream."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,6 @@ _FILE_SHIFT = 44
 _ROW_BITS = (1 << 33) - 1
 
 
-def _file_name() -> Column:
-    return F.col("_metadata.file_name")
-
-
 def source_of_file(name: Column) -> Column:
     """The container a file belongs to: its name without log, rotation and gzip suffixes."""
     return F.regexp_replace(name, FILE_SUFFIX, "")
@@ -35,15 +33,18 @@ def _place() -> Column:
     return F.col("_metadata.file_block_start") + row
 
 
-def _lines(reader, path: str | Sequence[str], source: str | None) -> DataFrame:
-    files = reader.text(path)
-    name = F.lit(source) if source is not None else source_of_file(_file_name())
-    return files.select(
-        name.alias("source"),
-        _place().alias("seq"),
-        F.make_valid_utf8("value").alias("raw"),
-        F.col("_metadata.file_path").alias("_file"),
-    )
+def _lines(files: DataFrame, source: str | None, *columns: Column) -> DataFrame:
+    name = F.lit(source) if source is not None else source_of_file(F.col("_metadata.file_name"))
+    return files.select(name.alias("source"), F.make_valid_utf8("value").alias("raw"), *columns)
+
+
+def _number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same place as :func:`_place`; streams have no row number function, so the task counts its lines."""
+    row = 0
+    for batch in batches:
+        place = batch.column("seq").to_numpy(zero_copy_only=False) + np.arange(row, row + batch.num_rows)
+        row += batch.num_rows
+        yield batch.set_column(batch.schema.get_field_index("seq"), "seq", pa.array(place, pa.int64()))
 
 
 def _rank_files(lines: DataFrame) -> DataFrame:
@@ -53,7 +54,7 @@ def _rank_files(lines: DataFrame) -> DataFrame:
     """
     paths = sorted(lines.inputFiles())
     if len(paths) <= 1:
-        return lines.drop("_file")
+        return lines.select("source", "seq", "raw")
     listing = lines.sparkSession.createDataFrame(list(enumerate(paths)), "_rank long, _path string")
     same = F.col("_file") == F.col("_path")
     ranked = lines.join(F.broadcast(listing) if len(paths) <= 1_000_000 else listing, same)
@@ -69,7 +70,8 @@ def read_lines(
     Every file is its own source, named after it, unless ``source`` names one for all. ``tail`` keeps the
     last lines of each source.
     """
-    lines = _rank_files(_lines(spark.read, path, source))
+    file = F.col("_metadata.file_path").alias("_file")
+    lines = _rank_files(_lines(spark.read.text(path), source, _place().alias("seq"), file))
     return lines if tail is None else tail_logs(lines, tail)
 
 
@@ -93,11 +95,12 @@ def replay_logs(spark: SparkSession, path: str | Sequence[str], predicate: Colum
 def stream_lines(
     spark: SparkSession, path: str, source: str | None = None, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Raw lines of files as they appear in a directory."""
+    """Raw lines of files as they appear in a directory; ``seq`` is the place of a line in its file."""
     reader = spark.readStream
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _lines(reader, path, source).drop("_file")
+    lines = _lines(reader.text(path), source, F.col("_metadata.file_block_start").alias("seq"))
+    return lines.mapInArrow(_number_lines, lines.schema)
 
 
 def stream_logs(

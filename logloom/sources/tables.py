@@ -25,12 +25,16 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def event_logs(spark: SparkSession, directory: str) -> DataFrame:
-    """``events``: eight sources, one service per user, the event type as level."""
+    return event_logs_of(_table(spark, directory, "events"))
+
+
+def event_logs_of(events: DataFrame) -> DataFrame:
+    """``events``, batch or stream: eight sources, one service per user, the event type as level."""
     props = F.from_json("props", "map<string,string>")
     service = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
     fixed = F.create_map(F.lit("level"), F.col("event_type"), F.lit("service"), service)
     return as_logs(
-        _table(spark, directory, "events"),
+        events,
         source=F.concat(F.lit("c"), (F.col("user_id") % 8).cast("string")),
         seq=F.col("event_id"),
         timestamp=F.date_format("ts", TIMESTAMP_FORMAT),
@@ -98,11 +102,15 @@ def page_logs(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def lineitem_logs(spark: SparkSession, directory: str) -> DataFrame:
-    """``lineitem``: shipments as log rows, the return flag as level and the line status as service."""
+    """``lineitem``: shipments as log rows, the return flag as level and the line status as service.
+
+    Order and line number repeat in the table; with part and supplier they name a row.
+    """
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     return as_logs(
         _table(spark, directory, "lineitem"),
         source=F.concat(F.lit("supplier-"), (F.col("l_suppkey") % 16).cast("string")),
-        seq=F.col("l_orderkey") * 16 + F.col("l_linenumber"),
+        seq=line * (1 << 40) + F.col("l_partkey") * (1 << 16) + F.col("l_suppkey"),
         timestamp=F.date_format("l_shipdate", TIMESTAMP_FORMAT),
         ts=F.col("l_shipdate"),
         level=F.col("l_returnflag"),
