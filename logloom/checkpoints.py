@@ -29,3 +29,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path beside the checkpoints, for tables that a query writes and reads back."""
     _ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table written once beside the checkpoints, for results that several branches of a plan read.
+
+    Unlike a checkpoint it computes ``df`` only once, but partitions and row order are not kept.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

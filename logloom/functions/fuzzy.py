@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.workers import ship_package
+
 _PAD = 0x110000
 _WORD = 64
-# Stretches advanced together; bounds the memory of one step whatever the message length.
-_SLICE = 1 << 21
+# Stretches advanced together: few enough for the CPU cache, whatever the message length.
+_SLICE = 1 << 15
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -43,26 +45,30 @@ class PartialScorer:
         at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == codes, at, len(self.alphabet)).astype(np.int32)
 
-    def _lcs(self, symbols: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-        """LCS of the needle with ``symbols[s : s + length]`` for every start."""
-        words = len(self.masks)
-        ones = np.full(len(starts), ~np.uint64(0))
-        rows = [ones.copy() for _ in range(words)]
-        for step in range(length):
-            symbol = symbols[starts + step]
-            carry = np.zeros(len(starts), dtype=np.uint64)
-            for w in range(words):
-                hit = rows[w] & self.masks[w][symbol]
+    def _lcs(self, symbols: np.ndarray, low: int, high: int) -> np.ndarray:
+        """LCS of the needle with the stretch of its own length at every start in ``[low, high)``."""
+        near = symbols[low : high + self.size - 1]
+        masks = [mask[near] for mask in self.masks]
+        n = high - low
+        rows = [np.full(n, ~np.uint64(0)) for _ in masks]
+        for step in range(self.size):
+            carry = None
+            for w, mask in enumerate(masks):
+                hit = rows[w] & mask[step : step + n]
                 total = rows[w] + hit
-                overflow = total < hit
-                total += carry
-                carry = (overflow | (total < carry)).astype(np.uint64)
-                rows[w] = total | (rows[w] - hit)
-        found = np.zeros(len(starts), dtype=np.int64)
-        for w in range(words):
+                rest = rows[w] ^ hit
+                if len(masks) > 1:
+                    overflow = total < hit
+                    if carry is not None:
+                        total += carry
+                        overflow |= total < carry
+                    carry = overflow.astype(np.uint64)
+                rows[w] = total | rest
+        found = np.zeros(n, dtype=np.int64)
+        for w, row in enumerate(rows):
             bits = min(_WORD, self.size - w * _WORD)
-            used = ones if bits == _WORD else np.full_like(ones, (1 << bits) - 1)
-            found += np.bitwise_count(~rows[w] & used)
+            used = ~np.uint64(0) if bits == _WORD else np.uint64((1 << bits) - 1)
+            found += np.bitwise_count(~row & used)
         return found
 
     def _slide(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -83,7 +89,7 @@ class PartialScorer:
             # Characters of the text inside the stretch; the rest is padding at one end.
             offset = starts - first[owner] - (self.size - 1)
             inside = np.minimum(offset + self.size, lengths[owner]) - np.maximum(offset, 0)
-            score = 200.0 * self._lcs(symbols, starts, self.size) / (self.size + inside)
+            score = 200.0 * self._lcs(symbols, low, low + len(starts)) / (self.size + inside)
             np.maximum.at(best, owner, score)
         return best
 
@@ -108,6 +114,7 @@ class PartialScorer:
 def partial_score(message: Column, keyword: str) -> Column:
     """Score column (0..100) of ``keyword`` against ``message``, both in lower case; NULL stays NULL."""
     needle = keyword.lower()
+    ship_package(SparkSession.active())
 
     @F.pandas_udf("long")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

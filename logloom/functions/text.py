@@ -3,17 +3,20 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space, plus the four separators U+001C..U+001F that also count as blank.
-_WS = r"[\s\x1c-\x1f]"
+# Fixed set of the characters that count as white space: the Unicode ones and the separators U+001C..U+001F.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(col: Column) -> Column:
-    """Remove white space of any kind at both ends (``trim`` removes only spaces)."""
-    return F.regexp_replace(col, rf"(?U)^{_WS}+|{_WS}+\z", "")
+    """Remove white space of any kind at both ends (``trim`` alone removes only spaces)."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def is_blank(col: Column) -> Column:
-    return F.rlike(col, F.lit(rf"(?U)^{_WS}*\z"))
+    return strip(col) == ""
 
 
 def or_default(col: Column, default: str) -> Column:

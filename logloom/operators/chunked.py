@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import checkpoint
+from logloom.workers import ship_package
 
 KEY = "_key"
 CHUNK = "_chunk"
@@ -154,6 +155,7 @@ def chunked_fold(
 
     ``key`` is a string. ``order`` must be unique within it. ``df`` should hold only the columns the fold reads.
     """
+    ship_package(df.sparkSession)
     keyed = df.withColumn(KEY, key)
     by = [KEY, *order]
     ranged = keyed.repartitionByRange(partitions, *by) if partitions else keyed.repartitionByRange(*by)

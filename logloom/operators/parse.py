@@ -7,20 +7,26 @@ from logloom.functions.maps import empty_map
 from logloom.functions.text import is_blank, strip
 from logloom.schema import LOG_COLUMNS
 
-# Fixed line format: an ISO timestamp ending in Z, white space, then the body.
-LINE_PATTERN = r"(?Ud)^(\d{4}-\d{2}-\d{2}T[\d:.]+Z)\s+(.+)$"
+# Fixed line format: an ISO timestamp ending in Z, white space, then the body. ``.`` and ``$`` stop at LF only.
+LINE_PATTERN = r"(?Ud)^(\d{4}-\d{2}-\d{2}T[\d:.]+Z)[\s\x1c-\x1f]+(.+)$"
 # Fixed format for level words in plain text lines.
 LEVEL_WORD_PATTERN = r"(?i)\b(trace|debug|info|warn|warning|error|fatal|critical)\b"
 _JSON_OPTIONS = {"allowSingleQuotes": "false"}
 
 
-def _parse_object(text: Column) -> Column:
-    """The members of a JSON object as text, or NULL if ``text`` is not exactly one object."""
+def _with_members(df: DataFrame) -> DataFrame:
+    """Add ``_members``: those of the JSON object in ``_body`` as text, or NULL if it is not exactly one object.
+
+    One projection per step, so that each is evaluated once per row.
+    """
+    text = F.col("_text")
     looks_like = text.startswith("{") & text.endswith("}")
     # Read as the only element of an array: a bare object parse would ignore trailing text.
     wrapped = F.when(looks_like, F.concat(F.lit("["), text, F.lit("]")))
     parsed = F.from_json(wrapped, "array<map<string,string>>", _JSON_OPTIONS)
-    return F.when(F.size(parsed) == 1, parsed[0])
+    steps = df.withColumn("_text", strip(F.col("_body"))).withColumn("_parsed", parsed)
+    only = F.when(F.size("_parsed") == 1, F.col("_parsed")[0])
+    return steps.withColumn("_object", only).withColumn("_members", _last_of_each_key(F.col("_object")))
 
 
 def _last_of_each_key(members: Column) -> Column:
@@ -40,8 +46,7 @@ def parse_logs(df: DataFrame, text_level: bool = False) -> DataFrame:
     split = df.where(~is_blank(F.col("raw"))).select(
         "source", "seq", "raw", first.alias("timestamp"), F.coalesce(second, F.col("raw")).alias("_body")
     )
-    members = split.withColumn("_members", _parse_object(strip(F.col("_body"))))
-    members = members.withColumn("_members", _last_of_each_key(F.col("_members")))
+    members = _with_members(split)
 
     def has(key: str) -> Column:
         return F.map_contains_key("_members", F.lit(key))

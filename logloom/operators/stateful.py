@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.checkpoints import materialize
 from logloom.functions.maps import counts_map
 from logloom.functions.text import contains_ci, equals_ci, strip
 from logloom.operators.aggregate import MICROS, level_name, with_event_time
@@ -137,6 +138,11 @@ def window_summaries(windowed: DataFrame) -> DataFrame:
     return summed.withColumn("window_id", number)
 
 
+def _digests(df: DataFrame) -> DataFrame:
+    """Row ids and message digests, written once: the branches below would each read all messages again."""
+    return materialize(df.select(*ROW_ID, message_digest().alias("digest")), "digests")
+
+
 def _few_messages(digests: DataFrame, window_size: int) -> DataFrame:
     """Sources with at most ``window_size`` distinct messages: for them nothing is ever forgotten."""
     distinct = digests.select("source", "digest").distinct()
@@ -154,7 +160,7 @@ def dedup_logs(
     """
     require(window_size >= 1, "window_size must be >= 1")
     require(max_repeats >= 1, "max_repeats must be >= 1")
-    digests = df.select(*ROW_ID, message_digest().alias("digest"))
+    digests = _digests(df)
     few = _few_messages(digests, window_size)
     first = Window.partitionBy("source", "digest").orderBy("seq")
     ranked = digests.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= max_repeats)
@@ -177,7 +183,7 @@ def suppressed_logs(
     """The rows :func:`dedup_logs` holds back, each with the ``occurrence`` number of its message."""
     require(window_size >= 1, "window_size must be >= 1")
     require(max_repeats >= 1, "max_repeats must be >= 1")
-    digests = df.select(*ROW_ID, message_digest().alias("digest"))
+    digests = _digests(df)
     few = _few_messages(digests, window_size)
     numbered = with_row_number(digests, "occurrence", ["source", "digest"])
     repeats = numbered.where(F.col("occurrence") > max_repeats)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logloom.functions.text import matches
 from logloom.operators.ordered import tail_logs
 from logloom.operators.parse import parse_logs
+from logloom.workers import ship_package
 
 # Fixed list: the suffixes that are not part of a container's name. A rotation number may follow.
 FILE_SUFFIX = r"(\.(log|txt|json|jsonl))?(\.[0-9]+)?(\.gz)?$"
@@ -96,6 +97,7 @@ def stream_lines(
     spark: SparkSession, path: str, source: str | None = None, max_files_per_trigger: int | None = None
 ) -> DataFrame:
     """Raw lines of files as they appear in a directory; ``seq`` is the place of a line in its file."""
+    ship_package(spark)
     reader = spark.readStream
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

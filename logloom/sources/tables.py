@@ -24,6 +24,15 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table with fewer files than the session has cores out to all of them.
+
+    Worth its shuffle before costly work on long texts. Tables of many files, as large ones are, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def event_logs(spark: SparkSession, directory: str) -> DataFrame:
     return event_logs_of(_table(spark, directory, "events"))
 
@@ -59,7 +68,7 @@ def event_lines(spark: SparkSession, directory: str) -> DataFrame:
     )
     plain = F.concat(F.lit("ERROR value "), F.col("value").cast("string"))
     stamp = F.date_format("ts", TIMESTAMP_FORMAT)
-    return _table(spark, directory, "events").select(
+    return spread(_table(spark, directory, "events")).select(
         F.concat(F.lit("c"), (F.col("user_id") % 8).cast("string")).alias("source"),
         F.col("event_id").alias("seq"),
         F.concat(stamp, F.lit(" "), F.when(F.col("event_type") == "error", plain).otherwise(body)).alias("raw"),
@@ -69,7 +78,7 @@ def event_lines(spark: SparkSession, directory: str) -> DataFrame:
 def document_logs(spark: SparkSession, directory: str) -> DataFrame:
     """``documents``: whole texts as messages, without times or levels."""
     return as_logs(
-        _table(spark, directory, "documents"),
+        spread(_table(spark, directory, "documents")),
         source=F.col("source"),
         seq=F.col("doc_id"),
         service=F.col("lang"),
@@ -93,7 +102,7 @@ def conversation_logs(spark: SparkSession, directory: str) -> DataFrame:
 def page_logs(spark: SparkSession, directory: str) -> DataFrame:
     """``pages``: whole pages as messages."""
     return as_logs(
-        _table(spark, directory, "pages"),
+        spread(_table(spark, directory, "pages")),
         source=F.lit("pages"),
         seq=F.col("page_id"),
         service=F.col("url"),

@@ -23,6 +23,7 @@ from logloom.operators.folds import AlertFold, ThrottleFold
 from logloom.operators.rules import AlertRule, Route, require
 from logloom.operators.stateful import alert_hits, message_digest, micros
 from logloom.sinks.files import dispatch_routes, tee_logs
+from logloom.workers import ship_package
 
 
 def tumbling_counts_stream(df: DataFrame, window_seconds: int = 60, delay: str = "1 minute") -> DataFrame:
@@ -72,6 +73,7 @@ def _fold_in_time_order(fold: Fold, columns: Sequence[str]) -> Callable:
 
 
 def _keyed_fold(df: DataFrame, key: Column, fold: Fold, delay: str) -> DataFrame:
+    ship_package(df.sparkSession)
     columns = df.columns
     schema = df.schema
     marked = df.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
