@@ -17,7 +17,9 @@ _JSON_OPTIONS = {"allowSingleQuotes": "false"}
 def _with_members(df: DataFrame) -> DataFrame:
     """Add ``_members``: those of the JSON object in ``_body`` as text, or NULL if it is not exactly one object.
 
-    One projection per step, so that each is evaluated once per row.
+    One projection per step, so that each is evaluated once per row. The last step is a generator that yields
+    one row per row: Catalyst pushes filters on parsed columns no further than that. Through projections it
+    would push them below the parse, and copy the parse into the filter for every column it mentions.
     """
     text = F.col("_text")
     looks_like = text.startswith("{") & text.endswith("}")
@@ -25,8 +27,10 @@ def _with_members(df: DataFrame) -> DataFrame:
     wrapped = F.when(looks_like, F.concat(F.lit("["), text, F.lit("]")))
     parsed = F.from_json(wrapped, "array<map<string,string>>", _JSON_OPTIONS)
     steps = df.withColumn("_text", strip(F.col("_body"))).withColumn("_parsed", parsed)
-    only = F.when(F.size("_parsed") == 1, F.col("_parsed")[0])
-    return steps.withColumn("_object", only).withColumn("_members", _last_of_each_key(F.col("_object")))
+    steps = steps.withColumn("_object", F.when(F.size("_parsed") == 1, F.col("_parsed")[0]))
+    steps = steps.withColumn("_unique", _last_of_each_key(F.col("_object")))
+    one = F.when(F.col("_unique").isNotNull(), F.array("_unique"))
+    return steps.select(*df.columns, F.explode_outer(one).alias("_members"))
 
 
 def _last_of_each_key(members: Column) -> Column:

@@ -1,5 +1,6 @@
 """Log files as tables of raw lines: plain text or gzip, single files, globs or directories, batch or stream."""
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,8 @@ FILE_SUFFIX = r"(\.(log|txt|json|jsonl))?(\.[0-9]+)?(\.gz)?$"
 # Files of one source are told apart in seq by their rank, above the bits for the place in the file.
 _FILE_SHIFT = 44
 _ROW_BITS = (1 << 33) - 1
+# A listing of this many paths is still some tens of megabytes.
+_BROADCAST_FILES = 200_000
 
 
 def source_of_file(name: Column) -> Column:
@@ -48,17 +51,22 @@ def _number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.set_column(batch.schema.get_field_index("seq"), "seq", pa.array(place, pa.int64()))
 
 
-def _rank_files(lines: DataFrame) -> DataFrame:
+def _rank_files(lines: DataFrame, source: str | None) -> DataFrame:
     """Put the files of a source one after the other in ``seq``, in the order of their paths.
 
     The listing is the one Spark's driver already holds for the scan: one row per file.
     """
-    paths = sorted(lines.inputFiles())
-    if len(paths) <= 1:
+    ranks: list[tuple[int, str]] = []
+    sizes: dict[str, int] = {}
+    for path in sorted(lines.inputFiles()):
+        owner = source if source is not None else re.sub(FILE_SUFFIX, "", path.rsplit("/", 1)[-1])
+        ranks.append((sizes.get(owner, 0), path))
+        sizes[owner] = sizes.get(owner, 0) + 1
+    if not any(rank for rank, _ in ranks):
         return lines.select("source", "seq", "raw")
-    listing = lines.sparkSession.createDataFrame(list(enumerate(paths)), "_rank long, _path string")
-    same = F.col("_file") == F.col("_path")
-    ranked = lines.join(F.broadcast(listing) if len(paths) <= 1_000_000 else listing, same)
+    listing = lines.sparkSession.createDataFrame(ranks, "_rank long, _path string")
+    small = len(ranks) <= _BROADCAST_FILES
+    ranked = lines.join(F.broadcast(listing) if small else listing, F.col("_file") == F.col("_path"))
     seq = F.shiftleft("_rank", _FILE_SHIFT) + F.col("seq")
     return ranked.select("source", seq.alias("seq"), "raw")
 
@@ -71,8 +79,9 @@ def read_lines(
     Every file is its own source, named after it, unless ``source`` names one for all. ``tail`` keeps the
     last lines of each source.
     """
-    file = F.col("_metadata.file_path").alias("_file")
-    lines = _rank_files(_lines(spark.read.text(path), source, _place().alias("seq"), file))
+    # Written as in the listing; _metadata.file_path spells local paths differently.
+    file = F.input_file_name().alias("_file")
+    lines = _rank_files(_lines(spark.read.text(path), source, _place().alias("seq"), file), source)
     return lines if tail is None else tail_logs(lines, tail)
 
 

@@ -1,5 +1,4 @@
-from pyspark.sql import functions as F
-
+from logloom.operators.filters import filter_logs
 from logloom.operators.parse import parse_logs
 from logloom.schema import LOG_COLUMNS
 
@@ -73,8 +72,9 @@ def test_text_level_is_opt_in(lines):
     assert rows[0]["level"] == "ERROR" and rows[1]["level"] is None
 
 
-def test_schema_and_pruning(lines):
+def test_filters_do_not_repeat_the_parse(lines):
     logs = parse_logs(lines(["x"]))
     assert logs.columns == LOG_COLUMNS
-    plan = logs.select("source", F.length("raw"))._jdf.queryExecution().optimizedPlan().toString()
-    assert "from_json" not in plan
+    found = filter_logs(logs, "a", level="error").where("service = 's'")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
