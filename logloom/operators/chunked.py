@@ -9,7 +9,8 @@ over a third of the tasks. The result is checkpointed, which fixes what each chu
 2. Those keys' rows at the end of a chunk are folded to the state they hand to the next chunk.
 3. A chunk that lies inside one key hands on a state that depends on the one it received. It is folded again
    when that changes, until nothing does. States usually forget: most settle in one or two rounds. If they do
-   not, rounds follow that fold only the chunks whose incoming state is final, one per crossing key.
+   not, rounds follow that fold only the chunks whose incoming state is final, one per crossing key. Long
+   rows of chunks of one key whose state is a single time skip this: see :mod:`logloom.operators.handover`.
 4. Every chunk is folded from its final incoming state and emits the decisions.
 
 A task streams through Arrow batches and keeps one state, so memory does not grow with the chunk. The driver
@@ -17,7 +18,7 @@ sees two keys and one bounded state per chunk, never rows.
 """
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import checkpoint
+from logloom.operators.handover import Handover, chunk_steps, hand_through
 from logloom.workers import ship_package
 
 KEY = "_key"
@@ -35,6 +37,8 @@ CHUNK = "_chunk"
 _OUTPUT_ROWS = 10_000
 # Rounds in which all stale chunks are folded at once, before folding only those certain to become final.
 SPECULATIVE_ROUNDS = 4
+# Chunks of one key in a row from which on its states are handed through by step functions.
+LONG_CHAIN = 6
 
 
 class Fold:
@@ -51,12 +55,17 @@ class Fold:
         """Decisions left over when the key ends."""
         return None
 
+    def handover(self) -> Handover | None:
+        """How a state of a single time passes through a chunk, if the fold has such states."""
+        return None
+
 
 @dataclass
 class _Chunk:
     index: int
     first: Any
     last: Any
+    latest: int | None = None
     exit: bytes | None = None
 
     @property
@@ -124,19 +133,68 @@ def _joined(frames: list[pd.DataFrame | None]) -> pd.DataFrame:
     return pd.concat([f for f in frames if f is not None and len(f)], ignore_index=True)
 
 
+def _run_exits(ordered: DataFrame, fold: Fold, chunks: Iterable[_Chunk], entries: dict[int, bytes]) -> None:
+    """Fold the last key of the given chunks and note the state each ends in."""
+    by_index = {c.index: c for c in chunks}
+    wanted = {i: c.last for i, c in by_index.items()}
+    # What a chunk receives belongs to its first key, so only a chunk inside one key hands it on.
+    entries = {i: entries[i] for i, c in by_index.items() if c.single and i in entries}
+    rows = ordered.where(F.col(CHUNK).isin(list(wanted)))
+    for row in rows.mapInPandas(_exits(fold, wanted, entries), "chunk int, state binary").collect():
+        by_index[row["chunk"]].exit = bytes(row["state"])
+
+
+def _chains(chunks: list[_Chunk]) -> list[list[_Chunk]]:
+    """Each run of chunks that share a key across their boundaries."""
+    chains: list[list[_Chunk]] = []
+    for a, b in zip(chunks, chunks[1:]):
+        if a.last == b.first:
+            if a.single and chains and chains[-1][-1] is a:
+                chains[-1].append(b)
+            else:
+                chains.append([a, b])
+    return chains
+
+
+def _settle_long(ordered: DataFrame, fold: Fold, chains: list[list[_Chunk]]) -> dict[int, bytes]:
+    """Entry states of long chains, handed through by step functions. Chains that gave up are missing."""
+    handover = fold.handover()
+    _run_exits(ordered, fold, [chain[0] for chain in chains], {})
+    places, reach, heads, lengths = {}, {}, {}, {}
+    for number, chain in enumerate(chains):
+        seen = chain[0].latest
+        # The last chunk only receives, unless it too lies inside the key.
+        for pos, chunk in enumerate(chain[1:-1]):
+            places[chunk.index] = (number, pos)
+            reach[chunk.index] = seen
+            seen = max(seen, chunk.latest)
+        heads[number] = fold.to_time(pickle.loads(chain[0].exit))
+        lengths[number] = len(chain) - 2
+    steps = chunk_steps(ordered, CHUNK, handover, places, reach)
+    through = hand_through(steps, handover, heads, lengths)
+    entries: dict[int, bytes] = {}
+    for number, chain in enumerate(chains):
+        if (number, 0) in through:
+            for pos, chunk in enumerate(chain[1:-1]):
+                entries[chunk.index] = pickle.dumps(fold.from_time(through[(number, pos)][0]))
+            entries[chain[-1].index] = pickle.dumps(fold.from_time(through[(number, lengths[number] - 1)][1]))
+    return entries
+
+
 def _settle(ordered: DataFrame, fold: Fold, chunks: list[_Chunk]) -> dict[int, bytes]:
     """The state each chunk starts from, for the chunks whose first key continues from the one before."""
-    links = [(a, b) for a, b in zip(chunks, chunks[1:]) if a.last == b.first]
+    chains = _chains(chunks)
+    entries: dict[int, bytes] = {}
+    if fold.handover():
+        long = [c for c in chains if len(c) >= LONG_CHAIN]
+        entries = _settle_long(ordered, fold, long) if long else {}
+        chains = [c for c in chains if c[-1].index not in entries]
+    links = [link for chain in chains for link in zip(chain, chain[1:])]
     stale = {a.index: a for a, _ in links}
     feeds = {b.index: a for a, b in links}
-    entries: dict[int, bytes] = {}
     rounds = 0
     while stale:
-        wanted = {i: c.last for i, c in stale.items()}
-        rows = ordered.where(F.col(CHUNK).isin(list(wanted)))
-        folded = rows.mapInPandas(_exits(fold, wanted, entries), "chunk int, state binary")
-        for row in folded.collect():
-            stale[row["chunk"]].exit = bytes(row["state"])
+        _run_exits(ordered, fold, stale.values(), entries)
         rounds += 1
         # Entry states that came out different. A chunk that ends in another key does not pass them on.
         changed = {i: a.exit for i, a in feeds.items() if a.exit is not None and entries.get(i) != a.exit}
@@ -161,7 +219,8 @@ def chunked_fold(
     ranged = keyed.repartitionByRange(partitions, *by) if partitions else keyed.repartitionByRange(*by)
     # The chunk number is stored with the rows: a task's own number changes when its stage has more inputs.
     ordered = checkpoint(ranged.sortWithinPartitions(*by).withColumn(CHUNK, F.spark_partition_id()))
-    edges = ordered.groupBy(CHUNK).agg(F.min(KEY), F.max(KEY)).collect()
+    latest = [F.max("t")] if fold.handover() else []
+    edges = ordered.groupBy(CHUNK).agg(F.min(KEY), F.max(KEY), *latest).collect()
     chunks = [_Chunk(*row) for row in sorted(tuple(r) for r in edges)]
     entries = _settle(ordered, fold, chunks)
     open_ended = {a.index for a, b in zip(chunks, chunks[1:]) if a.last == b.first}

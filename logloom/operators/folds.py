@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 
 from logloom.operators.chunked import Fold
+from logloom.operators.handover import Handover
 
 IDS = ["source", "seq"]
 
@@ -38,6 +39,15 @@ class ThrottleFold(Fold):
             i += 1
         return passed[-self.limit :], kept
 
+    def handover(self):
+        return Handover(self.width, strict=True) if self.limit == 1 else None
+
+    def to_time(self, state: list[int]) -> int:
+        return state[-1]
+
+    def from_time(self, time: int) -> list[int]:
+        return [time]
+
     def step(self, state, rows):
         state, kept = self.passes(state, rows["t"].tolist())
         return state, rows[IDS].iloc[kept]
@@ -84,12 +94,21 @@ class AnchorFold(Fold):
         start, out, i = state, np.empty(len(times), dtype=np.int64), 0
         while i < len(latest):
             if start is None or latest[i] >= start + self.width:
-                start = latest[i]
+                start = int(latest[i])
             j = bisect_left(latest, start + self.width, i)
             out[i:j] = start
             i = j
         return start, out
 
+    def handover(self):
+        return Handover(self.width, strict=False)
+
+    def to_time(self, state: int) -> int:
+        return int(state)
+
+    def from_time(self, time: int) -> int:
+        return time
+
     def step(self, state, rows):
         state, starts = self.starts(state, rows["t"].to_numpy())
         return state, rows[IDS].assign(window_start=starts)
