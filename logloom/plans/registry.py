@@ -1,6 +1,7 @@
 """Named queries over the driver tables, each with the SQL that must give the same rows."""
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,10 +14,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function of (session, table directory) under its own name."""
 
     def register(build: Query) -> Query:
-        QUERIES[build.__name__] = build
+        @wraps(build)
+        def in_utc(spark: SparkSession, directory: str) -> DataFrame:
+            # The tables' times have no zone; they are read as UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return build(spark, directory)
+
+        QUERIES[build.__name__] = in_utc
         if sql is not None:
             ORACLES[build.__name__] = sql
-        return build
+        return in_utc
 
     return register
 
