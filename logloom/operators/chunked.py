@@ -41,17 +41,20 @@ SPECULATIVE_ROUNDS = 4
 LONG_CHAIN = 6
 
 
+Columns = dict[str, np.ndarray]
+
+
 class Fold:
-    """A left fold over the rows of one key, fed slice by slice.
+    """A left fold over the rows of one key, fed slice by slice as arrays by column name.
 
     A state must be small, picklable and comparable with ``==``; None is the state before the first row.
     """
 
-    def step(self, state: Any, rows: pd.DataFrame) -> tuple[Any, pd.DataFrame]:
+    def step(self, state: Any, rows: Columns) -> tuple[Any, Columns | None]:
         """Advance over ``rows``; return the new state and the decisions that became final."""
         raise NotImplementedError
 
-    def finish(self, state: Any) -> pd.DataFrame | None:
+    def finish(self, state: Any) -> Columns | None:
         """Decisions left over when the key ends."""
         return None
 
@@ -73,15 +76,16 @@ class _Chunk:
         return self.first == self.last
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Any, pd.DataFrame]]:
-    """The stretches of one chunk and key in each batch."""
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, Any, Columns]]:
+    """The stretches of one chunk and key in each batch. There may be very many, so they are views of arrays."""
     for pdf in batches:
         if not len(pdf):
             continue
-        chunks, keys = pdf[CHUNK].to_numpy(), pdf[KEY].to_numpy()
+        columns = {name: pdf[name].to_numpy() for name in pdf.columns}
+        chunks, keys = columns.pop(CHUNK), columns.pop(KEY)
         cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (chunks[1:] != chunks[:-1])) + 1
         for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)]):
-            yield chunks[low], keys[low], pdf.iloc[low:high]
+            yield chunks[low], keys[low], {name: values[low:high] for name, values in columns.items()}
 
 
 def _load(entries: dict[int, bytes], chunk: int) -> Any:
@@ -104,35 +108,47 @@ def _exits(fold: Fold, wanted: dict[int, Any], entries: dict[int, bytes]) -> Cal
     return run
 
 
+class _Output:
+    """Decisions gathered into frames of some thousand rows."""
+
+    def __init__(self) -> None:
+        self.parts: list[Columns] = []
+        self.rows = 0
+
+    def add(self, part: Columns | None) -> None:
+        if part is not None and len(part["seq"]):
+            self.parts.append(part)
+            self.rows += len(part["seq"])
+
+    def take(self) -> pd.DataFrame:
+        frame = pd.DataFrame({name: np.concatenate([p[name] for p in self.parts]) for name in self.parts[0]})
+        self.parts, self.rows = [], 0
+        return frame
+
+
 def _decide(fold: Fold, entries: dict[int, bytes], open_ended: set[int]) -> Callable:
     """Fold every key of every chunk and emit the decisions."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state, out, rows_out = None, None, [], 0
+        at, state, out = None, None, _Output()
         for chunk, key, rows in _slices(batches):
             if at != (chunk, key):
                 if at is not None and (at[0] == chunk or at[0] not in open_ended):
-                    out.append(fold.finish(state))
+                    out.add(fold.finish(state))
                 state = None if at is not None and at[0] == chunk else _load(entries, chunk)
                 at = (chunk, key)
             state, decided = fold.step(state, rows)
-            out.append(decided)
-            rows_out += len(decided)
-            if rows_out >= _OUTPUT_ROWS:
-                yield _joined(out)
-                out, rows_out = [], 0
+            out.add(decided)
+            if out.rows >= _OUTPUT_ROWS:
+                yield out.take()
         if at is not None and at[0] not in open_ended:
-            out.append(fold.finish(state))
-        if any(o is not None and len(o) for o in out):
-            yield _joined(out)
+            out.add(fold.finish(state))
+        if out.rows:
+            yield out.take()
 
     return run
 
 
-def _joined(frames: list[pd.DataFrame | None]) -> pd.DataFrame:
-    return pd.concat([f for f in frames if f is not None and len(f)], ignore_index=True)
-
-
 def _run_exits(ordered: DataFrame, fold: Fold, chunks: Iterable[_Chunk], entries: dict[int, bytes]) -> None:
     """Fold the last key of the given chunks and note the state each ends in."""
     by_index = {c.index: c for c in chunks}

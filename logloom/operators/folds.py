@@ -1,6 +1,6 @@
 """The decisions behind the sequential operators, as folds over the time-ordered rows of a key.
 
-Times are epoch microseconds in column ``t``. All of them also serve the streaming operators.
+Times are epoch microseconds in column ``t``. The folds that pick rows also serve the streaming operators.
 """
 
 from bisect import bisect_left, bisect_right
@@ -9,15 +9,24 @@ from heapq import heappush, heappushpop
 from typing import Any
 
 import numpy as np
-import pandas as pd
 
-from logloom.operators.chunked import Fold
+from logloom.operators.chunked import Columns, Fold
 from logloom.operators.handover import Handover
 
-IDS = ["source", "seq"]
 
+class PickFold(Fold):
+    """A fold that picks some of the rows it sees."""
 
-class ThrottleFold(Fold):
+    def pick(self, state: Any, times: list[int]) -> tuple[Any, list[int]]:
+        """The new state and the positions picked."""
+        raise NotImplementedError
+
+    def step(self, state, rows):
+        state, picked = self.pick(state, rows["t"].tolist())
+        return state, {name: rows[name][picked] for name in ("source", "seq")} if picked else None
+
+
+class ThrottleFold(PickFold):
     """Pass a row if fewer than ``limit`` passed rows lie within ``width`` before it, both ends included.
 
     State: the times of the last ``limit`` passed rows.
@@ -26,7 +35,7 @@ class ThrottleFold(Fold):
     def __init__(self, width: int, limit: int):
         self.width, self.limit = width, limit
 
-    def passes(self, state: list[int] | None, times: list[int]) -> tuple[list[int], list[int]]:
+    def pick(self, state: list[int] | None, times: list[int]) -> tuple[list[int], list[int]]:
         passed, kept, i = list(state or ()), [], 0
         while i < len(times):
             if len(passed) >= self.limit:
@@ -48,12 +57,8 @@ class ThrottleFold(Fold):
     def from_time(self, time: int) -> list[int]:
         return [time]
 
-    def step(self, state, rows):
-        state, kept = self.passes(state, rows["t"].tolist())
-        return state, rows[IDS].iloc[kept]
-
 
-class AlertFold(Fold):
+class AlertFold(PickFold):
     """Fire on the row that makes ``threshold`` hits within ``width`` (both ends included), then start over.
 
     State: the times of the hits since the last alert, as far as they are still in reach.
@@ -62,7 +67,7 @@ class AlertFold(Fold):
     def __init__(self, width: int, threshold: int):
         self.width, self.threshold = width, threshold
 
-    def fires(self, state: list[int] | None, times: list[int]) -> tuple[list[int], list[int]]:
+    def pick(self, state: list[int] | None, times: list[int]) -> tuple[list[int], list[int]]:
         hits, fired = list(state or ()), []
         low = 0
         for i, now in enumerate(times):
@@ -74,10 +79,6 @@ class AlertFold(Fold):
                 hits, low = [], 0
         return hits[low:], fired
 
-    def step(self, state, rows):
-        state, fired = self.fires(state, rows["t"].tolist())
-        return state, rows[IDS].iloc[fired]
-
 
 class AnchorFold(Fold):
     """Windows that open at the first row not covered by the last one. Rows come in arrival order.
@@ -110,8 +111,8 @@ class AnchorFold(Fold):
         return time
 
     def step(self, state, rows):
-        state, starts = self.starts(state, rows["t"].to_numpy())
-        return state, rows[IDS].assign(window_start=starts)
+        state, starts = self.starts(state, rows["t"])
+        return state, {"source": rows["source"], "seq": rows["seq"], "window_start": starts}
 
 
 class DedupFold(Fold):
@@ -138,9 +139,9 @@ class DedupFold(Fold):
 
     def step(self, state, rows):
         state, counts = self.occurrences(state, rows["digest"].tolist())
-        decided = rows[IDS].assign(occurrence=np.asarray(counts, dtype=np.int64))
-        keep = decided["occurrence"] > self.max_repeats if self.report else decided["occurrence"] <= self.max_repeats
-        return state, decided[keep.to_numpy()]
+        occurrence = np.asarray(counts, dtype=np.int64)
+        wanted = occurrence > self.max_repeats if self.report else occurrence <= self.max_repeats
+        return state, {"source": rows["source"][wanted], "seq": rows["seq"][wanted], "occurrence": occurrence[wanted]}
 
 
 class ReorderFold(Fold):
@@ -152,14 +153,12 @@ class ReorderFold(Fold):
     def __init__(self, size: int):
         self.size = size
 
-    def _frame(self, source: str, rows: list[tuple[tuple[str, int], int | None]]) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "source": [source] * len(rows),
-                "seq": np.array([item[1] for item, _ in rows], dtype=np.int64),
-                "released_by": pd.array([by for _, by in rows], dtype="Int64"),
-            }
-        )
+    def _released(self, source: str, rows: list[tuple[tuple[str, int], int | None]]) -> Columns:
+        return {
+            "source": np.full(len(rows), source, dtype=object),
+            "seq": np.array([item[1] for item, _ in rows], dtype=np.int64),
+            "released_by": np.array([by for _, by in rows], dtype=object),
+        }
 
     def release(self, heap: list, items: list[tuple[str, int]]) -> list[tuple[tuple[str, int], int]]:
         out = []
@@ -171,14 +170,14 @@ class ReorderFold(Fold):
         return out
 
     def step(self, state, rows):
-        source, heap = state or (rows["source"].iloc[0], [])
+        source, heap = state or (rows["source"][0], [])
         heap = list(heap)
         out = self.release(heap, list(zip(rows["sort_key"].tolist(), rows["seq"].tolist())))
         # A sorted list is a heap, and equal buffers compare equal.
-        return (source, sorted(heap)), self._frame(source, out)
+        return (source, sorted(heap)), self._released(source, out)
 
-    def finish(self, state: Any) -> pd.DataFrame | None:
+    def finish(self, state: Any) -> Columns | None:
         if state is None:
             return None
         source, heap = state
-        return self._frame(source, [(item, None) for item in heap])
+        return self._released(source, [(item, None) for item in heap])

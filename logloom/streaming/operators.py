@@ -18,8 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from logloom.functions.text import or_default
 from logloom.operators.aggregate import MICROS, UNKNOWN, level_name
-from logloom.operators.chunked import Fold
-from logloom.operators.folds import AlertFold, ThrottleFold
+from logloom.operators.folds import AlertFold, PickFold, ThrottleFold
 from logloom.operators.rules import AlertRule, Route, require
 from logloom.operators.stateful import alert_hits, message_digest, micros
 from logloom.sinks.files import dispatch_routes, tee_logs
@@ -49,7 +48,7 @@ def dedup_stream(df: DataFrame, delay: str = "1 minute") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["source", "_digest"]).drop("_digest")
 
 
-def _fold_in_time_order(fold: Fold, columns: Sequence[str]) -> Callable:
+def _fold_in_time_order(fold: PickFold, columns: Sequence[str]) -> Callable:
     """State: the fold's own state, and the rows the watermark has not passed."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -61,9 +60,9 @@ def _fold_in_time_order(fold: Fold, columns: Sequence[str]) -> Callable:
         due = rows[ready].sort_values(["t", "seq"], kind="stable")
         waiting = rows[~ready]
         if len(due):
-            folded, decided = fold.step(folded, due)
-            if len(decided):
-                yield due.loc[decided.index, list(columns)]
+            folded, picked = fold.pick(folded, due["t"].tolist())
+            if picked:
+                yield due[list(columns)].iloc[picked]
         state.update((pickle.dumps((folded, waiting)),))
         if len(waiting):
             # Wake when the watermark passes the oldest waiting row.
@@ -72,7 +71,7 @@ def _fold_in_time_order(fold: Fold, columns: Sequence[str]) -> Callable:
     return run
 
 
-def _keyed_fold(df: DataFrame, key: Column, fold: Fold, delay: str) -> DataFrame:
+def _keyed_fold(df: DataFrame, key: Column, fold: PickFold, delay: str) -> DataFrame:
     ship_package(df.sparkSession)
     columns = df.columns
     schema = df.schema

@@ -24,7 +24,7 @@ def test_steps_agree_with_the_fold(strict):
         parts = [np.array(times[a:b]) for a, b in zip([0, *cuts], [*cuts, n])]
 
         def exit_of(state, part):
-            return fold.passes(state, part.tolist())[0] if strict else fold.starts(state, part)[0]
+            return fold.pick(state, part.tolist())[0] if strict else fold.starts(state, part)[0]
 
         state = exit_of(None, parts[0])
         hand, seen, total = fold.handover(), max(times[: cuts[0]]), None
