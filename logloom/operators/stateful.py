@@ -207,9 +207,11 @@ def sequence_logs(df: DataFrame, buffer_size: int = 50, partitions: int | None =
     """
     require(buffer_size >= 1, "buffer_size must be >= 1")
     narrow = df.select(*ROW_ID, F.coalesce("timestamp", F.lit("")).alias("sort_key"))
-    released = chunked_fold(
+    decided = chunked_fold(
         narrow, F.col("source"), ["seq"], ReorderFold(buffer_size), f"{_IDS}, released_by long", partitions
     )
+    # Read by several branches below: write it, so that the fold runs once.
+    released = materialize(decided, "released")
     pushed = with_row_number(
         released.where(F.col("released_by").isNotNull()), "position", order="released_by"
     ).select(*ROW_ID, "position")
