@@ -24,6 +24,8 @@ from logloom.operators.rules import AlertRule, require
 from logloom.schema import ROW_ID
 
 _IDS = "source string, seq long"
+# Up to this rank Spark limits a ranked window in the map tasks (its default windowGroupLimitThreshold).
+MAP_SIDE_RANKS = 1000
 
 
 def micros(seconds: float) -> int:
@@ -162,8 +164,12 @@ def dedup_logs(
     require(max_repeats >= 1, "max_repeats must be >= 1")
     digests = _digests(df)
     few = _few_messages(digests, window_size)
-    first = Window.partitionBy("source", "digest").orderBy("seq")
-    ranked = digests.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= max_repeats)
+    if max_repeats <= MAP_SIDE_RANKS:
+        first = Window.partitionBy("source", "digest").orderBy("seq")
+        ranked = digests.withColumn("_nth", F.row_number().over(first))
+    else:
+        ranked = with_row_number(digests, "_nth", ["source", "digest"])
+    ranked = ranked.where(F.col("_nth") <= max_repeats)
     # The ranks come before the join: on rows already spread by source, Spark would not limit them in the map tasks.
     native = ranked.join(few, "source", "left_semi").select(*ROW_ID)
     folded = chunked_fold(

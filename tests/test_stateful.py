@@ -71,6 +71,7 @@ def test_dedup(logs):
     assert seqs(s.dedup_logs(df)) == [0, 2]
     five = logs([dict(message="m")] * 5)
     assert seqs(s.dedup_logs(five, max_repeats=3)) == [0, 1, 2]
+    assert seqs(s.dedup_logs(five, max_repeats=1001)) == [0, 1, 2, 3, 4]
     report = s.suppressed_logs(logs([dict(message="m")] * 3), max_repeats=1).orderBy("seq").collect()
     assert [r["occurrence"] for r in report] == [2, 3]
     evicted = logs([dict(message=f"msg-{i % 4}") for i in range(5)])
