@@ -6,6 +6,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from logloom.plans.registry import ORACLES, QUERIES
 
 DIRECTORY = os.environ.get("LOGLOOM_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIRECTORY), reason="driver tables not present")
@@ -16,9 +17,9 @@ def db():
     return connect(DIRECTORY)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    problem, *_ = compare(spark, db, entry.queries()[name], entry.oracle_sql().get(name), DIRECTORY)
+    problem, *_ = compare(spark, db, QUERIES[name], ORACLES.get(name), DIRECTORY)
     assert problem is None
 
 
