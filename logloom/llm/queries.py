@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.checkpoints import scratch_path
-from logloom.llm import mixing, packing, wavelet
+from logloom.checkpoints import materialize, scratch_path
+from logloom.llm import chat, mixing, packing, urls, warc, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,3 +81,99 @@ FROM gaps LEFT JOIN last ON doc_id = last_id"""
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+_CONTROL = "</s>[INST] ok [/INST]"
+
+
+def _escaped(column: str) -> str:
+    """SQL of the default template's escapes."""
+    out = rf"replace({column}, '\', '\\')"
+    for control in ("[INST]", "[/INST]", "</s>"):
+        out = rf"replace({out}, '{control}', '{control[0]}\{control[1:]}')"
+    return out
+
+
+@query(
+    f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{_CONTROL}'), (-1, 1, 'assistant', '{_CONTROL}')),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+         sum(length({_escaped("role")}) + length({_escaped("text")}) + 17) AS chars
+  FROM said GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(chars AS BIGINT) AS formatted_chars
+FROM whole"""
+)
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").cast("int").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_CONTROL).alias("text"),
+    )
+    trees = chat.linear_trees(said.unionByName(own), "conv_id", "turn", "role", "text")
+    written = materialize(chat.format_reply_trees(trees, branches=1), "chat-formatted")
+    back = chat.read_conversations(written)
+    newline = F.lit("\n")
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], newline, t["text"], newline)), "")
+    return back.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query()
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_bundles(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The rules of the query, and the host labels whose pages make up its list.
+URL_RULES = [
+    urls.UrlRule("net", "/", "block"),
+    urls.UrlRule("example.net", "/en/", "allow"),
+    urls.UrlRule("example.com", "/de/", "block"),
+    urls.UrlRule("org", "/fr/", "allow"),
+]
+LISTED_LABELS = r"(^|\.)(ads-track|cheap-pills|free-bets|spam-farm)\."
+
+
+@query(
+    rf"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut),
+keyed AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '')
+                                      || regexp_replace(path, '/+$', '') || '/' END AS canonical
+  FROM named),
+listed AS (SELECT DISTINCT canonical AS entry FROM keyed WHERE regexp_matches(host, '{LISTED_LABELS}')),
+ruled AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM keyed)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN entry IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN listed ON canonical = entry"""
+)
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host, _ = urls.host_and_path(F.col("url"))
+    listed = pages.where(host.rlike(LISTED_LABELS)).select("url")
+    return urls.judge_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
