@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import materialize, scratch_path
-from logloom.llm import chat, mixing, packing, urls, warc, wavelet
+from logloom.llm import boosting, chat, classifier, mixing, packing, urls, warc, wavelet
+from logloom.llm.texts import thirds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,3 +178,18 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     host, _ = urls.host_and_path(F.col("url"))
     listed = pages.where(host.rlike(LISTED_LABELS)).select("url")
     return urls.judge_urls(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = classifier.fit_classifier(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (thirds(F.col("doc_id")) == 1).alias("held_out"), classifier.quality_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query()
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = boosting.fit_rules(docs, table(spark, sf_dir, "labels"))
+    return boosting.quality_rules(docs.select("doc_id", "text"), forest).select("doc_id", "verdict.*")
