@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import materialize, scratch_path
-from logloom.llm import boosting, chat, classifier, mixing, packing, urls, warc, wavelet
+from logloom.llm import boosting, chat, classifier, covertree, mixing, packing, urls, warc, wavelet
 from logloom.llm.texts import thirds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,3 +193,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = boosting.fit_rules(docs, table(spark, sf_dir, "labels"))
     return boosting.quality_rules(docs.select("doc_id", "text"), forest).select("doc_id", "verdict.*")
+
+
+@query(
+    """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+  FROM whole q JOIN whole d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20"""
+)
+def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    vectors = rows.select("vec_id", covertree.integer_vectors(rows).alias("v"))
+    return covertree.top_k_products(vectors, F.col("vec_id") % 20 == 0, k=20)
