@@ -1,11 +1,76 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. Models
+are fitted on the labelled rows of the documents table in ``sf_dir``, so a stage judges alike whatever came before it.
+"""
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from logloom.checkpoints import materialize
+from logloom.llm import boosting, classifier, jaccard, mixing, packing
+from logloom.llm.texts import WORD
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose score is at least one half; null and empty texts are scored, too."""
+    model = classifier.fit_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return docs.where(classifier.quality_score(model, F.col("text")) >= 0.5)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the counted limits and the trees keep; null and empty texts fail."""
+    forest = boosting.fit_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return boosting.quality_rules(docs, forest).where("verdict.kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group. Rows that share an id and a text are one document, and
+    rows without an id, which nothing can name, stay."""
+    groups = jaccard.similarity_components(docs)
+    named = materialize(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")), "stage-groups")
+    kept = docs.join(named.where("stays > 0"), "doc_id")
+    single = kept.where("rows = 1").select(*docs.columns)
+    repeated = kept.where("rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; rows that share an id are told apart by their size."""
+    mixed = mixing.mix_sources(docs)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("size"))
+    taken = materialize(mixed.select("doc_id", nth.alias("nth"), "times"), "stage-mix").where("times > 0")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    numbered = docs.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(size)))
+    same = numbered["doc_id"].eqNullSafe(taken["doc_id"]) & (numbered["nth"] == taken["nth"])
+    return numbered.join(taken, same).select(*(numbered[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), "times")).alias("copy")).drop("copy")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.best_fit_pack(docs, TOKENIZER, capacity=2048, end_id=0)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
+#: SQL cannot express the models, the tokenizer or the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import materialize, scratch_path
-from logloom.llm import boosting, chat, classifier, covertree, mixing, packing, urls, warc, wavelet
+from logloom.llm import boosting, chat, classifier, covertree, jaccard, mixing, packing, urls, warc, wavelet
 from logloom.llm.texts import thirds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,3 +210,8 @@ def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     vectors = rows.select("vec_id", covertree.integer_vectors(rows).alias("v"))
     return covertree.top_k_products(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query()
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_components(table(spark, sf_dir, "documents"), width=4, percent=85)
