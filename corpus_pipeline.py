@@ -28,17 +28,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the counted limits and the trees keep; null and empty texts fail."""
     forest = boosting.fit_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return boosting.quality_rules(docs, forest).where("verdict.kept").select(*docs.columns)
+    return docs.where(boosting.judge(F.col("text").cast("string"), forest)["kept"])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group. Rows that share an id and a text are one document, and
     rows without an id, which nothing can name, stay."""
     groups = jaccard.similarity_components(docs)
-    named = materialize(groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_if(F.col("component_id") == F.col("doc_id")).alias("stays"), F.count("*").alias("rows")), "stage-groups")
-    kept = docs.join(named.where("stays > 0"), "doc_id")
-    single = kept.where("rows = 1").select(*docs.columns)
-    repeated = kept.where("rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    named = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
+    stays = F.count_if(F.col("component_id") == F.col("doc_id")) > 0
+    kept = materialize(named.agg(stays.alias("stays"), (F.count("*") > 1).alias("repeated")).where("stays"), "stage-groups")
+    single = docs.join(kept.where("NOT repeated"), F.col("doc_id") == F.col("_id"), "left_semi")
+    repeated = docs.join(kept.where("repeated"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -46,11 +47,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; rows that share an id are told apart by their size."""
     mixed = mixing.mix_sources(docs)
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("size"))
-    taken = materialize(mixed.select("doc_id", nth.alias("nth"), "times"), "stage-mix").where("times > 0")
+    taken = materialize(mixed.select(F.col("doc_id").alias("_id"), nth.alias("_n"), F.col("times").alias("_times")), "stage-mix")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    numbered = docs.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(size)))
-    same = numbered["doc_id"].eqNullSafe(taken["doc_id"]) & (numbered["nth"] == taken["nth"])
-    return numbered.join(taken, same).select(*(numbered[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), "times")).alias("copy")).drop("copy")
+    numbered = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(size)))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_n"))
+    copies = numbered.join(taken.where("_times > 0"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return copies.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -120,7 +120,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, label: str = "quality", max_la
     Without labelled documents of both kinds there are no trees and only the counted limits decide.
     """
     rows = statistics.labelled_sample(docs, labels, label, max_labelled).toPandas()
-    x = np.array(rows["features"].to_list(), np.float64).reshape(len(rows), -1)
+    x = np.array(rows["features"].to_list(), np.float64).reshape(len(rows), len(statistics.FEATURES))
     y = rows["label"].to_numpy(np.float64)
     order = np.lexsort(np.column_stack([y, x]).T) if len(y) else []
     return boost(x[order], y[order], [FALLING.get(f, 0) for f in statistics.FEATURES], **options)

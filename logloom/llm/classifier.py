@@ -61,7 +61,7 @@ def _summed(rows: DataFrame, sums, fit_tasks: int) -> list[np.ndarray]:
     def run(frames):
         total = None
         for frame in frames:
-            x = np.array(frame["features"].to_list(), np.float64).reshape(len(frame), -1)
+            x = np.array(frame["features"].to_list(), np.float64).reshape(len(frame), len(statistics.FEATURES))
             if len(x):
                 part = sums(x, frame["label"].to_numpy(np.float64), (np.abs(x).sum(axis=1) * 1e6).astype(np.int64) % _FOLDS)
                 total = part if total is None else [a + b for a, b in zip(total, part)]

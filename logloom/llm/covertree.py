@@ -186,7 +186,8 @@ def top_k_products(
     tops = rows.withColumn("n", F.row_number().over(chosen)).where(F.col("n") <= pivots).select("dim", "v").collect()
     by_dim: dict[int, np.ndarray] = {}
     for dim in sorted({r["dim"] for r in tops}):
-        by_dim[dim] = np.unique(np.array([r["v"] for r in tops if r["dim"] == dim], np.float64).reshape(-1, dim), axis=0)
+        own = [r["v"] for r in tops if r["dim"] == dim]
+        by_dim[dim] = np.unique(np.array(own, np.float64).reshape(len(own), dim), axis=0) if dim else np.zeros((1, 0))
     first_cell = dict(zip(by_dim, np.cumsum([0, *map(len, by_dim.values())])))
     centres = [c for points in by_dim.values() for c in points]
 

@@ -47,7 +47,7 @@ def prefix_length(n, percent: int):
 def _pack(**arrays) -> bytes:
     """Arrays of whole numbers, transposed by byte so that high bytes compress."""
     parts = [np.array([len(arrays), *(x for a in arrays.values() for x in (len(a), a.dtype.itemsize))], np.int32).tobytes()]
-    parts += [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays.values()]
+    parts += [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays.values()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -88,7 +88,7 @@ def _blocks(width: int, buckets: int, block_shingles: int):
         order = sorted(range(len(ids)), key=lambda i: (prints[i], not known[i], ids[i] if known[i] else 0))
         leads = [i for j, i in enumerate(order) if len(sets[i]) and (j == 0 or prints[order[j - 1]] != prints[i])]
         hashes = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in leads)]) >> np.uint64(64 - _HASH_BITS)
-        owners = np.repeat(np.array(leads, np.uint32), sizes[leads])
+        owners = np.repeat(np.array(leads, np.uint32), sizes[np.array(leads, np.int64)])
         by_hash = np.argsort(hashes, kind="stable")
         hashes, owners = hashes[by_hash], owners[by_hash]
         kinds, firsts, counts = np.unique(hashes, return_index=True, return_counts=True)
@@ -196,7 +196,7 @@ def _gather(percent: int):
         shared = np.diff(stops)
         own = sizes - shared
         is_lead = np.zeros(len(ids), bool)
-        is_lead[leads] = True
+        is_lead[leads.astype(np.int64)] = True
         open_ = is_lead & (own < prefix_length(sizes, percent)) & (sizes > 0)
         prints = prints.tobytes()
         return pa.table(
