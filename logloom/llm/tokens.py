@@ -5,103 +5,141 @@ characters that are not white space always starts a piece, so the text may be cu
 by the tokenizers library once and then looked up.
 """
 
+import os
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 
-
-class _Pieces(dict):
-    """Piece -> number; unknown pieces are queued."""
-
-    def __init__(self, encoder, lead):
-        super().__init__()
-        self.encoder, self.lead = encoder, lead
-
-    def __missing__(self, piece):
-        self[piece] = number = self.encoder.queue(self.lead + piece, not piece or piece[0].isspace() or piece[-1].isspace())
-        return number
+_FIRST = None  # stands for a text's first word, which has no space before it
+_JOINED = 2048
 
 
 class PieceEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Strings of special tokens in a text are ordinary text. ``max_pieces`` bounds the memory of the table, which is
-    emptied beyond it; results do not depend on it.
+    Strings of special tokens in a text are ordinary text. ``max_pieces`` bounds the memory of the table: beyond it the
+    pieces used least are forgotten. Results do not depend on it.
     """
 
-    def __init__(self, path: str, max_pieces: int = 400_000, max_ids: int = 8_000_000):
+    def __init__(self, path: str, max_pieces: int = 600_000, max_chars: int = 32 << 20):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.max_pieces, self.max_ids = max_pieces, max_ids
+        self.max_pieces, self.max_chars = max_pieces, max_chars
+        # A vocabulary entry has one character for each byte that it stands for.
+        vocabulary = self.tokenizer.get_vocab()
+        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for entry, number in vocabulary.items():
+            self.id_bytes[number] = len(entry)
         self._clear()
 
     def _clear(self):
-        self.first, self.later = _Pieces(self, ""), _Pieces(self, " ")
-        self.pending: list[str] = []
-        self.unsafe: list[bool] = []
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.first: dict[str, int] = {}
+        self.later: dict[str | None, int] = {_FIRST: 0}
+        self.unsafe = np.zeros(1, bool)
+        self.starts = np.zeros(1, np.int64)
+        self.lengths = np.zeros(1, np.int64)
+        self.uses = np.full(1, 1 << 40)
         self.pool = np.zeros(0, np.uint32)
-
-    def queue(self, piece: str, unsafe: bool) -> int:
-        self.pending.append(piece)
-        self.unsafe.append(unsafe)
-        return len(self.unsafe) - 1
-
-    def _encode_pending(self):
-        if not self.pending:
+        self.chars = 0
+
+    def _trim(self):
+        """Keep the more used half."""
+        keep = self.uses > np.sort(self.uses)[-(self.max_pieces // 2)]
+        number = np.cumsum(keep) - 1
+        for pieces in (self.first, self.later):
+            kept = {p: int(number[i]) for p, i in pieces.items() if keep[i]}
+            pieces.clear()
+            pieces.update(kept)
+        lengths = self.lengths[keep]
+        before = np.cumsum(lengths) - lengths
+        self.pool = self.pool[np.repeat(self.starts[keep] - before, lengths) + np.arange(int(lengths.sum()))]
+        self.starts, self.lengths, self.unsafe = before, lengths, self.unsafe[keep]
+        self.uses = self.uses[keep] // 2
+        self.uses[0] = 1 << 40
+        self.chars = sum(len(p or "") for pieces in (self.first, self.later) for p in pieces)
+
+    def _learn(self, words: set, pieces: dict, lead: str):
+        """Encode the words that are not in ``pieces``."""
+        fresh = [w for w in words if w not in pieces]  # the stand-in always is
+        if not fresh:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch(self.pending, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        fresh = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, fresh])
-        self.pending = []
-
-    def _merged(self, words: list[str], bad: np.ndarray) -> list[int]:
-        """Numbers of the pieces of one text, not cut beside white space."""
-        numbers, begin = [], 0
-        for i in range(1, len(words) + 1):
-            if i == len(words) or not (bad[i - 1] or bad[i]):
-                part = " ".join(words[begin:i])
-                numbers.append(self.later[part] if begin else self.first[part])
-                begin = i
-        return numbers
+        unsafe = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in fresh), bool, len(fresh))
+        # Pieces between spaces can be encoded in one text and told apart by their bytes.
+        joined = [w for w, u in zip(fresh, unsafe) if not u] if lead else []
+        alone = [w for w, u in zip(fresh, unsafe) if u] if lead else fresh
+        ids, lengths = [], []
+        for begin in range(0, len(joined), _JOINED):
+            some = joined[begin : begin + _JOINED]
+            found = np.array(self.tokenizer.encode(lead + lead.join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+            last = np.searchsorted(np.cumsum(self.id_bytes[found]), ends) + 1
+            ids.append(found)
+            lengths.append(np.diff(last, prepend=0))
+        if alone:
+            single = [e.ids for e in self.tokenizer.encode_batch([lead + w for w in alone], add_special_tokens=False)]
+            ids.append(np.fromiter((i for x in single for i in x), np.uint32, sum(map(len, single))))
+            lengths.append(np.fromiter(map(len, single), np.int64, len(single)))
+        known = len(self.unsafe)
+        pieces.update(zip(joined + alone, range(known, known + len(fresh))))
+        new = np.concatenate(lengths)
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(new) - new])
+        self.lengths = np.concatenate([self.lengths, new])
+        self.pool = np.concatenate([self.pool, *ids])
+        self.unsafe = np.concatenate([self.unsafe, np.zeros(len(joined), bool), unsafe[unsafe] if lead else unsafe])
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
+        self.chars += sum(map(len, fresh))
+
+    def _look_up(self, per_text: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all pieces, pieces of each text); the first piece of a text has no space before it."""
+        counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
+        first = [words[0] for words in per_text]
+        flat: list[str | None] = []
+        for words in per_text:
+            flat.append(_FIRST)
+            flat += words[1:]
+        self._learn(set(first), self.first, "")
+        self._learn(set(flat), self.later, " ")
+        numbers = np.array(itemgetter(*flat)(self.later), np.int64).reshape(-1)
+        numbers[np.cumsum(counts) - counts] = [self.first[w] for w in first]
+        return numbers, counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, number of ids of each text)."""
-        if len(self.unsafe) > self.max_pieces or len(self.pool) > self.max_ids:
+        if self.chars > self.max_chars:
             self._clear()
+        elif len(self.unsafe) > self.max_pieces:
+            self._trim()
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        first, later = self.first.__getitem__, self.later.__getitem__
-        per_text, words_of = [], []
-        for text in texts:
-            words = text.split(" ")
-            numbers = [first(words[0])]
-            numbers.extend(map(later, words[1:]))
-            per_text.append(numbers)
-            words_of.append(words)
-        counts = np.fromiter(map(len, per_text), np.int64, len(texts))
-        flat = np.fromiter((n for numbers in per_text for n in numbers), np.int64, int(counts.sum()))
-        bad = np.array(self.unsafe, bool)[flat]
-        ends = np.cumsum(counts)
-        broken = np.unique(np.searchsorted(ends, np.flatnonzero(bad), side="right"))
-        if len(broken):
-            for t in broken:
-                per_text[t] = self._merged(words_of[t], bad[ends[t] - counts[t] : ends[t]])
-            counts = np.fromiter(map(len, per_text), np.int64, len(texts))
-            flat = np.fromiter((n for numbers in per_text for n in numbers), np.int64, int(counts.sum()))
-        self._encode_pending()
-        lengths = self.lengths[flat]
+        per_text = [text.split(" ") for text in texts]
+        numbers, counts = self._look_up(per_text)
+        bad = self.unsafe[numbers]
+        if bad.any():
+            ends = np.cumsum(counts)
+            for t in np.unique(np.searchsorted(ends, np.flatnonzero(bad), side="right")):
+                per_text[t] = _merged(per_text[t], bad[ends[t] - counts[t] : ends[t]])
+            numbers, counts = self._look_up(per_text)
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        lengths = self.lengths[numbers]
         before = np.cumsum(lengths) - lengths
-        ids = self.pool[np.repeat(self.starts[flat] - before, lengths) + np.arange(int(lengths.sum()))]
+        ids = self.pool[np.repeat(self.starts[numbers] - before, lengths) + np.arange(int(lengths.sum()))]
         return ids, np.add.reduceat(lengths, np.cumsum(counts) - counts)
 
 
+def _merged(words: list[str], bad: np.ndarray) -> list[str]:
+    """The words of one text, not cut beside white space."""
+    out, begin = [], 0
+    for i in range(1, len(words) + 1):
+        if i == len(words) or not (bad[i - 1] or bad[i]):
+            out.append(" ".join(words[begin:i]))
+            begin = i
+    return out
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker process."""

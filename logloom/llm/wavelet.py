@@ -35,7 +35,7 @@ def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray, block_bits: int =
     rest = ids.astype(np.uint16 if width <= 16 else np.uint32)
     body, planes = bytearray(), []
     for level in range(width - 1, -1, -1):
-        ones = ((rest >> level) & 1).astype(bool)
+        ones = (rest & rest.dtype.type(1 << level)).astype(bool)
         offsets, before, total = [], [], 0
         for begin in range(0, len(ones), block_bits):
             block = ones[begin : begin + block_bits]
