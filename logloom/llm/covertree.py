@@ -27,9 +27,11 @@ from logloom.workers import ship_package
 
 class CoverTree:
     """Nodes cover their points within ``radius``; children are centres more than ``radius / base`` apart, the first of
-    them the node's own, so scales shrink by ``base`` from level to level."""
+    them the node's own, so scales shrink by ``base`` from level to level. A node of at most ``leaf_size`` points is a leaf,
+    and so is one that would fall apart into children of less than an eighth of that on average: among points that lie equally far
+    from each other no split prunes, and one matrix product is faster."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray, rows: np.ndarray, leaf_size: int = 64, base: float = 1.3):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, rows: np.ndarray, leaf_size: int = 256, base: float = 1.3):
         order, nodes = [], []  # node: [centre, radius, begin, end, children]
         squares = np.einsum("ij,ij->i", points, points)
 
@@ -41,21 +43,23 @@ class CoverTree:
             """The number of the new node over ``members`` at distances ``d``; its points become a range of ``order``."""
             number, radius, begin = len(nodes), float(d.max()), len(order)
             nodes.append([centre, radius, begin, 0, []])
-            if len(members) <= leaf_size or radius <= 1e-9:
-                order.extend(members.tolist())
-            else:
-                near, owner, centres = d.copy(), np.zeros(len(members), np.int64), [centre]
-                while near.max() > radius / base:
-                    pick = int(near.argmax())
-                    centres.append(int(members[pick]))
-                    d_new = distances(members, members[pick])
-                    d_new[pick] = 0
-                    closer = d_new < near
-                    owner[closer], near[closer] = len(centres) - 1, d_new[closer]
+            near, owner, centres = d.copy(), np.zeros(len(members), np.int64), [centre]
+            split = len(members) > leaf_size and radius > 1e-9
+            while split and near.max() > radius / base:
+                pick = int(near.argmax())
+                centres.append(int(members[pick]))
+                d_new = distances(members, members[pick])
+                d_new[pick] = 0
+                closer = d_new < near
+                owner[closer], near[closer] = len(centres) - 1, d_new[closer]
+                split = len(centres) * leaf_size <= 8 * len(members)
+            if split:
                 for k, c in enumerate(centres):
                     mine = owner == k
                     if mine.any():
                         nodes[number][4].append(add(members[mine], c, near[mine]))
+            else:
+                order.extend(members.tolist())
             nodes[number][3] = len(order)
             return number
 
@@ -95,16 +99,25 @@ class Best:
         return self.score[:, -1]
 
     def offer(self, at: slice, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        useful = (score >= self.kth[at, None]) & (score > -np.inf)
-        columns = np.flatnonzero(useful.any(axis=0))
-        if not len(columns):
+        """Scores (queries x points) of the queries in ``at``."""
+        top = score.max(axis=1)
+        useful = np.flatnonzero((top >= self.kth[at]) & (top > -np.inf))
+        if not len(useful):
             return
-        n = len(score)
-        all_scores = np.concatenate([self.score[at], score[:, columns]], axis=1)
-        all_ids = np.concatenate([self.ids[at], np.broadcast_to(ids[columns], (n, len(columns)))], axis=1)
-        all_rows = np.concatenate([self.rows[at], np.broadcast_to(rows[columns], (n, len(columns)))], axis=1)
-        best = np.lexsort((all_rows, all_ids, -all_scores), axis=-1)[:, : self.k]
-        self.score[at], self.ids[at], self.rows[at] = (np.take_along_axis(a, best, 1) for a in (all_scores, all_ids, all_rows))
+        score, mine = score[useful], useful + at.start
+        least = self.kth[mine]
+        if score.shape[1] > self.k:
+            least = np.maximum(least, np.partition(score, -self.k, axis=1)[:, -self.k])
+        query, point = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        before = np.repeat(np.arange(len(mine)), self.k)
+        query_all = np.concatenate([before, query])
+        score_all = np.concatenate([self.score[mine].ravel(), score[query, point]])
+        ids_all = np.concatenate([self.ids[mine].ravel(), ids[point]])
+        rows_all = np.concatenate([self.rows[mine].ravel(), rows[point]])
+        order = np.lexsort((rows_all, ids_all, -score_all, query_all))
+        starts = np.searchsorted(query_all[order], np.arange(len(mine)))
+        best = order[starts[:, None] + np.arange(self.k)]
+        self.score[mine], self.ids[mine], self.rows[mine] = score_all[best], ids_all[best], rows_all[best]
 
 
 def _bounds(queries: CoverTree, q: int, data: CoverTree, nodes: np.ndarray) -> np.ndarray:
@@ -151,10 +164,10 @@ def dual_search(queries: CoverTree, data: CoverTree, best: Best) -> None:
             best.offer(at, score, data.ids[points], rows)
 
 
-def _tree_of(frame: pd.DataFrame) -> CoverTree:
+def _tree_of(frame: pd.DataFrame, leaf_size: int) -> CoverTree:
     frame = frame.sort_values("row")
     points = np.stack([np.asarray(v, np.float64) for v in frame["v"]])
-    return CoverTree(points, frame["vec_id"].to_numpy(np.int64), frame["row"].to_numpy(np.int64))
+    return CoverTree(points, frame["vec_id"].to_numpy(np.int64), frame["row"].to_numpy(np.int64), leaf_size)
 
 
 def integer_vectors(table: DataFrame, vector: str = "embedding", scale: int = 64) -> Column:
@@ -165,7 +178,7 @@ def integer_vectors(table: DataFrame, vector: str = "embedding", scale: int = 64
 
 
 def top_k_products(
-    vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 32, block_rows: int = 4096, group_rows: int = 256
+    vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 32, block_rows: int = 4096, group_rows: int = 256, leaf_size: int = 256
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k highest inner products of each query row with all rows but itself.
 
@@ -220,15 +233,15 @@ def top_k_products(
         parts = F.create_map(*(F.lit(x) for c, n in sorted(by.items()) for x in (c, max(n, 1))))
         return F.pmod(F.xxhash64("row"), parts[F.col("cell")].cast("long"))
 
-    def plant(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cell": frame["cell"].iloc[:1], "chunk": frame["chunk"].iloc[:1], "tree": [_tree_of(frame).pack()]})
+    def trees(of: DataFrame, by: dict[int, int], leaf_size: int, name: str) -> DataFrame:
+        def plant(frame: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"cell": frame["cell"].iloc[:1], "chunk": frame["chunk"].iloc[:1], "tree": [_tree_of(frame, leaf_size).pack()]})
 
-    def trees(of: DataFrame, by: dict[int, int], name: str) -> DataFrame:
         keyed = of.select("row", "vec_id", "v", "cell", dealt(by).alias("chunk"))
         return materialize(keyed.groupBy("cell", "chunk").applyInPandas(plant, "cell int, chunk long, tree binary"), name)
 
-    data = trees(placed, blocks, "cover-trees").withColumnRenamed("tree", "data")
-    asked = trees(placed.where("query"), groups, "query-trees").withColumnsRenamed({"cell": "group_cell", "chunk": "group_chunk", "tree": "queries"})
+    data = trees(placed, blocks, leaf_size, "cover-trees").withColumnRenamed("tree", "data")
+    asked = trees(placed.where("query"), groups, leaf_size // 4, "query-trees").withColumnsRenamed({"cell": "group_cell", "chunk": "group_chunk", "tree": "queries"})
     dims = np.array([len(c) for c in centres])
 
     def seeds(frames):

@@ -22,14 +22,14 @@ def table(spark, rows):
     return spark.createDataFrame([(i, None if v is None else [float(x) for x in v], "x", "y") for i, v in rows], "vec_id long, v array<double>, row string, cell string")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, leaf_size", [(1, 8), (2, 64)])
+def test_equals_brute_force(spark, seed, leaf_size):
     r = random.Random(seed)
     rows = [(i, [r.gauss(0, 9) // 1 for _ in range(8)]) for i in range(400)]
     rows += [(400 + i, rows[7][1]) for i in range(150)]  # copies of one vector: ties
     rows += [(600 + i, [c + r.randint(-1, 1) for c in rows[3][1]]) for i in range(100)]
     rows += [(800, None), (801, []), (800, []), (805, [1.0, 2.0]), (810, [3.0, -4.0]), (815, [0.0, 0.0]), (820, [7.0] * 3), (0, rows[0][1])]
-    got = covertree.top_k_products(table(spark, rows), F.col("vec_id") % 5 == 0, k=7, pivots=6, block_rows=64, group_rows=16)
+    got = covertree.top_k_products(table(spark, rows), F.col("vec_id") % 5 == 0, k=7, pivots=6, block_rows=64, group_rows=16, leaf_size=leaf_size)
     assert sorted(map(tuple, got.collect())) == brute(rows, 5, 7)
 
 
