@@ -26,6 +26,7 @@ def test_pieces_equal_the_tokenizer(tokenizer, tokenizer_path, odd_texts):
 
     check()
     rows = [t or "" for t in odd_texts]
+    rows += [rows[7] * 5, (rows[7] + "  \n ") * 5, "é" * 1_100_000 + " a", " ".join(rows[7] for _ in range(4))]
     ids, lengths = large.encode(rows)
     assert ids.tolist() == [i for e in tokenizer.encode_batch(rows, add_special_tokens=False) for i in e.ids]
 
