@@ -133,7 +133,20 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS bits FROM pages),
+named AS (
+  SELECT page_id, html, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * get_bit(bits, CAST(5 * i AS INTEGER)) + 8 * get_bit(bits, CAST(5 * i + 1 AS INTEGER)) + 4 * get_bit(bits, CAST(5 * i + 2 AS INTEGER))
+      + 2 * get_bit(bits, CAST(5 * i + 3 AS INTEGER)) + get_bit(bits, CAST(5 * i + 4 AS INTEGER)), 1)), '') AS digest,
+    max(page_id) OVER (PARTITION BY html) AS largest
+  FROM payloads)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM named"""
+)
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_bundles(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return warc.read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -212,6 +225,27 @@ def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k_products(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
-@query()
+@query(
+    r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split WHERE len(words) >= 4),
+windows AS (
+  SELECT doc_id, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w AS shingle
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY place)),
+shingles AS (
+  SELECT DISTINCT doc_id, shingle FROM windows WHERE shingle IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM split WHERE len(words) BETWEEN 1 AND 3),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)"""
+)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(table(spark, sf_dir, "documents"), width=4, percent=85)
