@@ -1,8 +1,8 @@
 """Operators that depend on arrival order and need no running state: numbering, tail, sampling.
 
-A source may hold a large part of all rows, so no window here spans a whole source. Rows are numbered in
-blocks of a fixed width of ``seq``: a block holds at most that many rows, because ``seq`` is unique in its
-source. The counts per block are small, and their running sums give the number at which a block starts.
+A source may hold a large part of all rows, so no window here spans a whole source. Row ids are range-partitioned by
+source and order, so a source is spread over as many tasks as its rows need; each task notes the place of its rows, and
+the first number of a source in a task is a running sum over the tasks that hold some of it.
 """
 
 from collections.abc import Sequence
@@ -10,53 +10,45 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logloom.checkpoints import materialize
 from logloom.operators.rules import require
 
-BLOCK_WIDTH = 1 << 18
+# monotonically_increasing_id: the task above these bits, the place in the task in them.
+_PLACE_BITS = 33
 
 
-def _with_block(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
-
-
-def with_row_number(
-    df: DataFrame,
-    column: str,
-    by: Sequence[str] = ("source",),
-    order: str = "seq",
-    width: int = BLOCK_WIDTH,
-) -> DataFrame:
+def _numbers(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """``by``, ``order``, ``_number`` (from 1) and ``_of`` (rows in all) of each row."""
+    by = list(by)
+    ranged = df.select(*by, order).repartitionByRange(*by, order).sortWithinPartitions(*by, order)
+    # Written once: the ranges come from a sample, and both branches below must see the same ones.
+    placed = materialize(ranged.withColumn("_place", F.monotonically_increasing_id()), "places")
+    task = F.shiftright("_place", _PLACE_BITS).alias("_task")
+    stretches = placed.groupBy(*by, task).agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+    # At most one row per task.
+    keys, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_task")
+    starts = stretches.select(
+        *by, "_task", (F.sum("_rows").over(before) - F.col("_rows") + 1 - F.col("_first")).alias("_shift"), F.sum("_rows").over(keys).alias("_of")
+    )
+    numbered = placed.withColumn("_task", task).join(starts, [*by, "_task"])
+    return numbered.select(*by, order, (F.col("_place") + F.col("_shift")).alias("_number"), "_of")
+
+
+def with_row_number(df: DataFrame, column: str, by: Sequence[str] = ("source",), order: str = "seq") -> DataFrame:
     """Add the 1-based position of each row within ``by``, in the order of the integer column ``order``.
 
     ``order`` must be unique within ``by``; neither may be NULL.
     """
-    by = list(by)
-    blocked = _with_block(df, order, width)
-    counts = blocked.groupBy(*by, "_block").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    # Join and window share their keys, so the rows are shuffled once.
-    joined = blocked.join(starts, [*by, "_block"]).select(*blocked.columns, "_start")
-    inside = Window.partitionBy(*by, "_block").orderBy(order)
-    number = F.col("_start") + F.row_number().over(inside)
-    return joined.withColumn(column, number.cast("long")).drop("_block", "_start")
-
+    numbers = _numbers(df, by, order).select(*by, order, F.col("_number").alias(column))
+    # Joined on the row's own id, which no source can skew.
+    return df.join(numbers, [*by, order]).select(*df.columns, column)
 
-def tail_logs(df: DataFrame, n: int, width: int = BLOCK_WIDTH) -> DataFrame:
-    """The last ``n`` rows of each source. Apply before parsing and filtering.
 
-    Block counts first tell which blocks can hold them, so only those rows are shuffled.
-    """
+def tail_logs(df: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` rows of each source. Apply before parsing and filtering."""
     require(n >= 0, "n must not be negative")
-    blocked = _with_block(df, "seq", width)
-    counts = blocked.groupBy("source", "_block").agg(F.count("*").alias("_rows"))
-    after = Window.partitionBy("source").orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    newer = F.coalesce(F.sum("_rows").over(after), F.lit(0))
-    wanted = counts.select("source", "_block", newer.alias("_newer")).where(F.col("_newer") < n)
-    latest = Window.partitionBy("source").orderBy(F.desc("seq"))
-    near_end = blocked.join(wanted, ["source", "_block"], "left_semi").select(*blocked.columns)
-    ranked = near_end.withColumn("_rank", F.row_number().over(latest))
-    return ranked.where(F.col("_rank") <= n).drop("_block", "_rank")
+    last = _numbers(df, ["source"], "seq").where(F.col("_number") > F.col("_of") - n)
+    return df.join(last.select("source", "seq"), ["source", "seq"], "left_semi").select(*df.columns)
 
 
 def backfill_logs(df: DataFrame, backfill: int = 0) -> DataFrame:
@@ -65,12 +57,13 @@ def backfill_logs(df: DataFrame, backfill: int = 0) -> DataFrame:
     return tail_logs(df, backfill) if backfill else df
 
 
-def sample_nth(df: DataFrame, n: int, width: int = BLOCK_WIDTH) -> DataFrame:
+def sample_nth(df: DataFrame, n: int) -> DataFrame:
     """Rows number n, 2n, 3n, ... of each source."""
     require(n >= 1, "n must be >= 1")
     if n == 1:
         return df
-    return with_row_number(df, "_position", width=width).where(F.col("_position") % n == 0).drop("_position")
+    chosen = _numbers(df, ["source"], "seq").where(F.col("_number") % n == 0)
+    return df.join(chosen.select("source", "seq"), ["source", "seq"], "left_semi").select(*df.columns)
 
 
 _HASH_BITS = 32
@@ -104,3 +97,13 @@ def sort_logs(df: DataFrame) -> DataFrame:
     return df.orderBy("source", F.coalesce("timestamp", F.lit("")), "seq")
 
 
+def with_rank(ordered: DataFrame, column: str = "rank") -> DataFrame:
+    """Add the 1-based position of each row of a globally ordered frame, without gathering it in one task."""
+    placed = materialize(ordered.withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    task = F.shiftright("_place", _PLACE_BITS)
+    counts = placed.groupBy(task.alias("_task")).agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+    # One row per task.
+    shift = F.sum("_rows").over(Window.orderBy("_task")) - F.col("_rows") + 1 - F.col("_first")
+    shifts = counts.select("_task", shift.alias("_shift"))
+    numbered = placed.withColumn("_task", task).join(shifts, "_task")
+    return numbered.select(*ordered.columns, (F.col("_place") + F.col("_shift")).alias(column))

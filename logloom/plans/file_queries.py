@@ -6,9 +6,10 @@ from logloom.checkpoints import scratch_path
 from logloom.functions.formats import EXPORT_COLUMNS
 from logloom.operators import aggregate
 from logloom.operators.filters import filter_logs
+from logloom.operators.ordered import with_row_number
 from logloom.operators.parse import parse_logs
 from logloom.operators.rules import Route, SplitRule
-from logloom.plans.registry import CONVERSATIONS, DOCUMENTS, EVENTS, PARSED, PLAIN_LINE, TEXT_LINE, query
+from logloom.plans.registry import CONVERSATIONS, DOCUMENTS, EVENTS, LINES, PARSED, PLAIN_LINE, TEXT_LINE, query
 from logloom.sinks import files as sinks
 from logloom.sources.files import read_lines, read_logs, replay_logs
 from logloom.sources.tables import conversation_logs, document_logs, event_lines, event_logs
@@ -34,14 +35,54 @@ def replay_gzip(spark, sf):
     return logs.select("level", "is_json", "message", F.unix_micros("ts").alias("us"))
 
 
-@query(f"WITH {PARSED} SELECT count(*) AS n, count(DISTINCT raw) AS n_raw, true AS unique_seq FROM logs")
+@query(f"WITH {LINES}, feed AS (SELECT raw, row_number() OVER (ORDER BY seq) AS place FROM lines) SELECT * FROM feed")
 def replay_sequence(spark, sf):
-    """Every line gets its own place in the feed."""
-    lines = read_lines(spark, _written_lines(spark, sf), source="feed")
-    n = F.count("*")
-    return lines.agg(
-        n.alias("n"), F.count_distinct("raw").alias("n_raw"), (F.count_distinct("seq") == n).alias("unique_seq")
-    )
+    """Every line has its own place in the feed, in the order of its files and lines."""
+    path = scratch_path(spark, "lines")
+    event_lines(spark, sf).orderBy("seq").select("raw").write.text(path)
+    return with_row_number(read_lines(spark, path, source="feed"), "place").select("raw", "place")
+
+
+def _rotated(spark, sf):
+    """A folder with app.log and its rotated forerunners, the older half of them zipped: as many as Spark's tasks write."""
+    folder, lines = scratch_path(spark, "rotated"), event_lines(spark, sf)
+    middle = lines.agg(F.max("seq")).first()[0] // 2
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = files.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = []
+    for part, older in ((f"{folder}/older", True), (f"{folder}/newer", False)):
+        rows = lines.where((F.col("seq") <= middle) == older).orderBy("seq")
+        rows.select("raw").write.text(part, compression="gzip" if older else "none")
+        found = [s.getPath() for s in store.listStatus(files.Path(part))]
+        written += sorted((f for f in found if f.getName().startswith("part-")), key=lambda f: f.getName())
+    store.mkdirs(files.Path(f"{folder}/logs"))
+    for age, file in enumerate(reversed(written)):
+        target = "app.log" + (f".{age}" if age else "") + (".gz" if file.getName().endswith(".gz") else "")
+        store.rename(file, files.Path(f"{folder}/logs/{target}"))
+    return f"{folder}/logs"
+
+
+@query(f"WITH {LINES} SELECT 'app' AS source, raw, row_number() OVER (ORDER BY seq) AS place FROM lines")
+def replay_rotated(spark, sf):
+    """Rotated files, plain and zipped, come oldest first."""
+    lines = read_lines(spark, _rotated(spark, sf))
+    return with_row_number(lines, "place").select("source", "raw", "place")
+
+
+@query(f"WITH {LINES} SELECT 'app' AS source, raw FROM lines ORDER BY seq DESC LIMIT 3000")
+def tail_files(spark, sf):
+    """The last lines of a source that is spread over several files."""
+    return read_lines(spark, _rotated(spark, sf), tail=3000).select("source", "raw")
+
+
+@query(f"""WITH {CONVERSATIONS} SELECT level, message, row_number() OVER (ORDER BY source, seq) AS place FROM logs""")
+def export_json_array(spark, sf):
+    """One array over all part files, put together again."""
+    path = scratch_path(spark, "array")
+    sinks.write_json_array(conversation_logs(spark, sf), path)
+    lines = read_lines(spark, path, source="array")
+    item = F.from_json(F.regexp_replace(F.regexp_replace("raw", r"^\[", ""), r"[,\]]$", ""), "level string, message string")
+    return with_row_number(lines.withColumn("item", item), "place").select("item.*", "place")
 
 
 @query(f"WITH {DOCUMENTS} SELECT NULL::VARCHAR AS timestamp, NULL::VARCHAR AS level, message, message AS raw FROM logs")
@@ -86,25 +127,21 @@ def split_files(spark, sf):
     return spark.read.parquet(path).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
-@query(f"""WITH {EVENTS} SELECT 'buy' AS route, count(*) AS n FROM logs WHERE level = 'purchase'
-UNION ALL SELECT 'all', count(*) FROM logs""")
+@query(f"""WITH {EVENTS} SELECT 'buy' AS route, source, seq FROM logs WHERE level = 'purchase'
+UNION ALL SELECT 'all', source, seq FROM logs""")
 def route_files(spark, sf):
     path = scratch_path(spark, "routes")
     sinks.write_routes(event_logs(spark, sf), [Route("buy", "level = 'purchase'"), Route("all", "true")], path)
-    return spark.read.parquet(path).groupBy("route").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select("route", "source", "seq")
 
 
-@query(f"""WITH {EVENTS} SELECT 'a' AS sink, source, count(*) AS n FROM logs GROUP BY source
-UNION ALL SELECT 'b', source, count(*) FROM logs GROUP BY source""")
+@query(f"""WITH {EVENTS} SELECT 'a' AS sink, source, seq, message FROM logs UNION ALL SELECT 'b', source, seq, message FROM logs""")
 def tee_files(spark, sf):
     paths = {name: scratch_path(spark, f"tee-{name}") for name in "ab"}
     rows = event_logs(spark, sf).select("source", "seq", "message")
     sinks.tee_logs(rows, {"a": lambda df: df.write.parquet(paths["a"]), "b": lambda df: df.write.json(paths["b"])})
-    both = [
-        spark.read.parquet(paths["a"]).select(F.lit("a").alias("sink"), "source"),
-        spark.read.schema("source string").json(paths["b"]).select(F.lit("b").alias("sink"), "source"),
-    ]
-    return both[0].union(both[1]).groupBy("sink", "source").agg(F.count("*").alias("n"))
+    read = [spark.read.parquet(paths["a"]), spark.read.schema(rows.schema).json(paths["b"])]
+    return read[0].withColumn("sink", F.lit("a")).unionByName(read[1].withColumn("sink", F.lit("b")))
 
 
 @query(f"""WITH {CONVERSATIONS} SELECT source, trace_id AS key, count(*) AS count FROM logs GROUP BY ALL

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from logloom.checkpoints import materialize
 from logloom.functions.formats import EXPORT_COLUMNS, json_line, plain_line, text_line
+from logloom.operators.ordered import with_rank
 from logloom.operators.rules import Route, RuleError, SplitRule, require
 from logloom.operators.tag import explode_routes, route_logs, split_logs
 
@@ -41,14 +43,16 @@ def write_logs(df: DataFrame, path: str, fmt: str = "text", mode: str = "errorif
         raise RuleError(f"unsupported format {fmt!r}; use one of {FORMATS}")
 
 
-def json_array(df: DataFrame, max_rows: int = 10_000) -> str:
-    """The export columns of a small result as one JSON array, in ``(source, seq)`` order.
+def write_json_array(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The export columns as one JSON array in ``(source, seq)`` order: the part files, one after the other.
 
-    An array is one value, so it is refused beyond ``max_rows``; write JSON lines instead.
+    Tasks write the brackets and commas, too, so an array may be of any size; an empty frame gives ``[]``.
     """
-    rows = df.select("source", "seq", json_line().alias("line")).orderBy("source", "seq").limit(max_rows + 1).collect()
-    require(len(rows) <= max_rows, f"more than {max_rows} rows; use write_logs(df, path, 'json')")
-    return "[" + ",\n".join(r["line"] for r in rows) + "]"
+    ranked = materialize(with_rank(df.select("source", "seq", json_line().alias("line")).orderBy("source", "seq"), "nth"), "json-array")
+    last = ranked.agg(F.coalesce(F.max("nth"), F.lit(0)).alias("last")).first()["last"]
+    line = F.concat(F.when(F.col("nth") == 1, "[").otherwise(""), "line", F.when(F.col("nth") == last, "]").otherwise(","))
+    lines = ranked.select("nth", line.alias("value")) if last else df.sparkSession.range(1).select(F.lit(1).alias("nth"), F.lit("[]").alias("value"))
+    lines.orderBy("nth").select("value").write.mode(mode).text(path)
 
 
 def write_group_report(groups: DataFrame, path: str, mode: str = "errorifexists") -> None:

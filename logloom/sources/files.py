@@ -18,8 +18,8 @@ FILE_SUFFIX = r"(\.(log|txt|json|jsonl))?(\.[0-9]+)?(\.gz)?$"
 # Files of one source are told apart in seq by their rank, above the bits for the place in the file.
 _FILE_SHIFT = 44
 _ROW_BITS = (1 << 33) - 1
-# A listing of this many paths is still some tens of megabytes.
-_BROADCAST_FILES = 200_000
+# In streams a file's numbers start at a place drawn from its path and time, below this.
+_STREAM_BASE = (1 << 62) - 1
 
 
 def source_of_file(name: Column) -> Column:
@@ -51,22 +51,27 @@ def _number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.set_column(batch.schema.get_field_index("seq"), "seq", pa.array(place, pa.int64()))
 
 
+def arrival_key(path: str) -> tuple[bool, int, str]:
+    """Sorts the files of a source by age: rotated ones from the highest number down, then the others by path."""
+    rotation = re.search(r"\.([0-9]+)(\.gz)?$", path)
+    return rotation is None, -int(rotation[1]) if rotation else 0, path
+
+
 def _rank_files(lines: DataFrame, source: str | None) -> DataFrame:
-    """Put the files of a source one after the other in ``seq``, in the order of their paths.
+    """Put the files of a source one after the other in ``seq``, oldest first.
 
     The listing is the one Spark's driver already holds for the scan: one row per file.
     """
     ranks: list[tuple[int, str]] = []
     sizes: dict[str, int] = {}
-    for path in sorted(lines.inputFiles()):
+    for path in sorted(lines.inputFiles(), key=arrival_key):
         owner = source if source is not None else re.sub(FILE_SUFFIX, "", path.rsplit("/", 1)[-1])
         ranks.append((sizes.get(owner, 0), path))
         sizes[owner] = sizes.get(owner, 0) + 1
     if not any(rank for rank, _ in ranks):
         return lines.select("source", "seq", "raw")
     listing = lines.sparkSession.createDataFrame(ranks, "_rank long, _path string")
-    small = len(ranks) <= _BROADCAST_FILES
-    ranked = lines.join(F.broadcast(listing) if small else listing, F.col("_file") == F.col("_path"))
+    ranked = lines.join(listing, F.col("_file") == F.col("_path"))
     seq = F.shiftleft("_rank", _FILE_SHIFT) + F.col("seq")
     return ranked.select("source", seq.alias("seq"), "raw")
 
@@ -76,8 +81,9 @@ def read_lines(
 ) -> DataFrame:
     """Raw lines as ``(source, seq, raw)``. Bytes that are not UTF-8 are replaced. A missing path is an error.
 
-    Every file is its own source, named after it, unless ``source`` names one for all. ``tail`` keeps the
-    last lines of each source.
+    Every file is its own source, named after it, unless ``source`` names one for all. Rotated files of a source come
+    oldest first: ``app.log.10``, ``app.log.2.gz``, ``app.log.1``, ``app.log``; files without a number by path. ``tail``
+    keeps the last lines of each source.
     """
     # Written as in the listing; _metadata.file_path spells local paths differently.
     file = F.input_file_name().alias("_file")
@@ -105,12 +111,17 @@ def replay_logs(spark: SparkSession, path: str | Sequence[str], predicate: Colum
 def stream_lines(
     spark: SparkSession, path: str, source: str | None = None, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Raw lines of files as they appear in a directory; ``seq`` is the place of a line in its file."""
+    """Raw lines of files as they appear in a directory.
+
+    ``seq`` grows along a file. A stream cannot number its files, so each starts at a hash of its path and modification
+    time in 2^62 places: two files of a gigabyte share an id with a probability of 2^-31.
+    """
     ship_package(spark)
     reader = spark.readStream
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = _lines(reader.text(path), source, F.col("_metadata.file_block_start").alias("seq"))
+    file = F.xxhash64("_metadata.file_path", "_metadata.file_modification_time").bitwiseAND(F.lit(_STREAM_BASE))
+    lines = _lines(reader.text(path), source, (file + F.col("_metadata.file_block_start")).alias("seq"))
     return lines.mapInArrow(_number_lines, lines.schema)
 
 

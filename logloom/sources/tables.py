@@ -24,15 +24,6 @@ def _table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a table with fewer files than the session has cores out to all of them.
-
-    Worth its shuffle before costly work on long texts. Tables of many files, as large ones are, stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def event_logs(spark: SparkSession, directory: str) -> DataFrame:
     return event_logs_of(_table(spark, directory, "events"))
 
@@ -56,6 +47,11 @@ def event_logs_of(events: DataFrame) -> DataFrame:
     )
 
 
+def dense_times(logs: DataFrame) -> DataFrame:
+    """Event times 5,000 times as close together, so that a source has several rows in a second."""
+    return logs.withColumn("ts", F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 5000)))
+
+
 def event_lines(spark: SparkSession, directory: str) -> DataFrame:
     """``events`` rendered as raw lines: JSON bodies, except that errors are plain text."""
     body = F.to_json(
@@ -68,7 +64,7 @@ def event_lines(spark: SparkSession, directory: str) -> DataFrame:
     )
     plain = F.concat(F.lit("ERROR value "), F.col("value").cast("string"))
     stamp = F.date_format("ts", TIMESTAMP_FORMAT)
-    return spread(_table(spark, directory, "events")).select(
+    return _table(spark, directory, "events").select(
         F.concat(F.lit("c"), (F.col("user_id") % 8).cast("string")).alias("source"),
         F.col("event_id").alias("seq"),
         F.concat(stamp, F.lit(" "), F.when(F.col("event_type") == "error", plain).otherwise(body)).alias("raw"),
@@ -78,7 +74,7 @@ def event_lines(spark: SparkSession, directory: str) -> DataFrame:
 def document_logs(spark: SparkSession, directory: str) -> DataFrame:
     """``documents``: whole texts as messages, without times or levels."""
     return as_logs(
-        spread(_table(spark, directory, "documents")),
+        _table(spark, directory, "documents"),
         source=F.col("source"),
         seq=F.col("doc_id"),
         service=F.col("lang"),
@@ -92,7 +88,7 @@ def conversation_logs(spark: SparkSession, directory: str) -> DataFrame:
     return as_logs(
         _table(spark, directory, "conversations"),
         source=F.concat(F.lit("conv"), (F.col("conv_id") % 4).cast("string")),
-        seq=F.col("conv_id") * 10_000 + F.col("turn"),
+        seq=F.shiftleft("conv_id", 32) + F.col("turn"),
         level=F.col("role"),
         message=F.col("text"),
         extra=trace,
@@ -102,7 +98,7 @@ def conversation_logs(spark: SparkSession, directory: str) -> DataFrame:
 def page_logs(spark: SparkSession, directory: str) -> DataFrame:
     """``pages``: whole pages as messages."""
     return as_logs(
-        spread(_table(spark, directory, "pages")),
+        _table(spark, directory, "pages"),
         source=F.lit("pages"),
         seq=F.col("page_id"),
         service=F.col("url"),

@@ -85,9 +85,21 @@ def test_exports(logs, tmp_path):
     assert plain[1] == "  UNKNOWN   padded " and plain[2] == "  VERYLONGLEVEL  two"
     with pytest.raises(RuleError):
         k.write_logs(df, f"{tmp_path}/x", "xml")
-    assert [r["raw"] for r in json.loads(k.json_array(df))] == ["r1", "#r2", "r3"]
-    with pytest.raises(RuleError):
-        k.json_array(df, max_rows=2)
+    k.write_json_array(df, f"{tmp_path}/a")
+    assert [r["raw"] for r in json.loads(text_of(f"{tmp_path}/a"))] == ["r1", "#r2", "r3"]
+    k.write_json_array(df.limit(0), f"{tmp_path}/e")
+    assert json.loads(text_of(f"{tmp_path}/e")) == []
+
+
+def test_rotated_files_come_oldest_first(spark, tmp_path):
+    texts = {"app.log": "new", "app.log.1": "mid", "app.log.2.gz": "old", "app.log.10": "older", "app.log.11.gz": "oldest", "web.log": "w"}
+    for name, text in texts.items():
+        data = f"{text}1\n{text}2\n".encode()
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith(".gz") else data)
+    rows = read_lines(spark, str(tmp_path)).orderBy("source", "seq").collect()
+    assert [r["raw"] for r in rows if r["source"] == "app"] == [f"{t}{i}" for t in ("oldest", "older", "old", "mid", "new") for i in (1, 2)]
+    kept = read_lines(spark, str(tmp_path), tail=3).where("source = 'app'").orderBy("seq").collect()
+    assert [r["raw"] for r in kept] == ["mid2", "new1", "new2"]
 
 
 def test_split_and_routes(spark, logs, tmp_path):
@@ -141,5 +153,4 @@ def test_followed_files(spark, feed, tmp_path):
     query.awaitTermination()
     got = spark.read.parquet(str(target)).orderBy("source", "seq").collect()
     assert [r["message"] for r in got if r["source"] == "web"] == ["one", "two", "plain three"]
-    batch = read_lines(spark, str(feed)).orderBy("source", "seq").collect()
-    assert {(r["source"], r["seq"]) for r in got} <= {(r["source"], r["seq"]) for r in batch}
+    assert len({(r["source"], r["seq"]) for r in got}) == len(got)
