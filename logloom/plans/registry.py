@@ -34,9 +34,11 @@ EVENTS = """logs AS (
          strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, json_extract_string(props, '$.k') AS k,
          event_type || ' value ' || CAST(value AS VARCHAR) AS message
   FROM events)"""
+# The same events 5,000 times as close together, so that a source has several rows in a second.
+DENSE = "dense AS (SELECT * EXCLUDE (ts), epoch_us(ts) // 5000 AS us FROM logs)"
 DOCUMENTS = "logs AS (SELECT source, doc_id AS seq, lang AS service, text AS message FROM documents)"
 CONVERSATIONS = """logs AS (
-  SELECT 'conv' || (conv_id % 4) AS source, conv_id * 10000 + turn AS seq, role AS level, text AS message,
+  SELECT 'conv' || (conv_id % 4) AS source, (conv_id << 32) + turn AS seq, role AS level, text AS message,
          CAST(conv_id AS VARCHAR) AS trace_id
   FROM conversations)"""
 PAGES = "logs AS (SELECT 'pages' AS source, page_id AS seq, url AS service, html AS message FROM pages)"
@@ -56,6 +58,7 @@ LINES = """lines AS (
            ELSE '{"level":"' || event_type || '","service":"user-' || user_id || '","msg":"' || event_type || ' value '
                 || CAST(value AS VARCHAR) || '","k":"' || json_extract_string(props, '$.k') || '"}' END AS raw
   FROM events)"""
+# The line pattern is a fixed value, as in operators/parse.py.
 _BODY = r"""body AS (
   SELECT *, regexp_extract(raw, '^(\d{4}-\d{2}-\d{2}T[\d:.]+Z)\s+(.+)$', 1) AS timestamp,
          regexp_extract(raw, '^(\d{4}-\d{2}-\d{2}T[\d:.]+Z)\s+(.+)$', 2) AS body

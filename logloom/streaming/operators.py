@@ -1,32 +1,71 @@
 """Streaming forms of the operators.
 
 Row-wise operators (filters, rewriting, tagging) and the parser take streaming frames as they are. The ones
-here keep state. All use event time and need a ``delay``: rows later than the watermark are dropped.
+here keep state. All use event time and need a ``delay``: rows later than the watermark are dropped. Rows without a time
+cannot wait for a watermark: they are decided as they arrive.
 
 The sequential operators depend on order, so rows wait in state until the watermark has passed them, are then
 taken in time order, and run through the same fold as the batch operator. Their results agree with the batch
-operator on all rows the watermark has passed.
+operator on all rows the watermark has passed. A bounded run passes the last rows, too, by :func:`closable` and
+:func:`close`. A key's state goes once nothing waits and nothing it remembers is in reach.
 """
 
 import pickle
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
+from functools import partial
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructType, TimestampType
 
 from logloom.functions.text import or_default
 from logloom.operators.aggregate import MICROS, UNKNOWN, level_name
-from logloom.operators.folds import AlertFold, PickFold, ThrottleFold
+from logloom.operators.folds import AlertFold, AnchorFold, DedupFold, PickFold, ThrottleFold
 from logloom.operators.rules import AlertRule, Route, require
 from logloom.operators.stateful import alert_hits, message_digest, micros
 from logloom.sinks.files import dispatch_routes, tee_logs
 from logloom.workers import ship_package
 
+#: The source of the row that ends a stream.
+END = "\0end"
+_END_TIME = "2200-01-01 00:00:00"  # pandas counts nanoseconds up to 2262
+#: In folds: no memory is ever out of reach.
+_FOREVER = 1 << 62
+
+Step = Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]]
+Reach = Callable[[object], int]
+
+
+def closable(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a stream that :func:`close` can end; ``path`` is an empty folder of its own in shared storage."""
+    spark = df.sparkSession
+    spark.createDataFrame([], df.schema).write.mode("ignore").parquet(path)
+    return df.unionByName(spark.readStream.schema(df.schema).parquet(path))
+
+
+def close(spark: SparkSession, path: str, schema: StructType) -> None:
+    """Write the row that moves the watermark past all others. Then run the query once more, from its checkpoint."""
+    end = {"source": F.lit(END), "ts": F.lit(_END_TIME).cast("timestamp"), "seq": F.lit(0)}
+    row = spark.range(1).select(*(end.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+    row.write.mode("append").parquet(path)
+
+
+def run_closed(stream: DataFrame, start: Callable, path: str, schema: StructType) -> None:
+    """Run a closable stream over all available input, end it, and run it to its end. ``start`` starts the query."""
+    start().awaitTermination()
+    close(stream.sparkSession, path, schema)
+    start().awaitTermination()
+
 
 def tumbling_counts_stream(df: DataFrame, window_seconds: int = 60, delay: str = "1 minute") -> DataFrame:
-    """Counts per source, epoch-aligned window, level and service; final once the watermark passes a window."""
+    """Counts per source, epoch-aligned window, level and service; final once the watermark passes a window.
+
+    Rows without a time are in no window; route them to a table of their own.
+    """
     require(window_seconds > 0, "window_seconds must be positive")
     return (
         df.withWatermark("ts", delay)
@@ -45,45 +84,73 @@ def tumbling_counts_stream(df: DataFrame, window_seconds: int = 60, delay: str =
 def dedup_stream(df: DataFrame, delay: str = "1 minute") -> DataFrame:
     """The first row of each message per source, remembered for ``delay`` (bounded by time, not by count)."""
     keyed = df.withColumn("_digest", message_digest()).withWatermark("ts", delay)
-    return keyed.dropDuplicatesWithinWatermark(["source", "_digest"]).drop("_digest")
+    return keyed.dropDuplicatesWithinWatermark(["source", "_digest"]).where(F.col("source") != END).drop("_digest")
 
 
-def _fold_in_time_order(fold: PickFold, columns: Sequence[str]) -> Callable:
-    """State: the fold's own state, and the rows the watermark has not passed."""
+def _in_time_order(step: Step, reach: Reach) -> Callable:
+    """State: what ``step`` keeps, and the rows the watermark has not passed."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        folded, waiting = pickle.loads(state.get[0]) if state.exists else (None, None)
+        kept, waiting = pickle.loads(state.get[0]) if state.exists else (None, None)
         mark = state.getCurrentWatermarkMs() * 1000
         arrived = [b for b in batches if len(b)]
-        rows = pd.concat([w for w in [waiting, *arrived] if w is not None], ignore_index=True)
-        ready = (rows["t"] <= mark).to_numpy()
-        due = rows[ready].sort_values(["t", "seq"], kind="stable")
-        waiting = rows[~ready]
-        if len(due):
-            folded, picked = fold.pick(folded, due["t"].tolist())
-            if picked:
-                yield due[list(columns)].iloc[picked]
-        state.update((pickle.dumps((folded, waiting)),))
-        if len(waiting):
-            # Wake when the watermark passes the oldest waiting row.
-            state.setTimeoutTimestamp(max(int(waiting["t"].min() // 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        parts = [w for w in [waiting, *arrived] if w is not None and len(w)]
+        oldest = None
+        if parts:
+            rows = pd.concat(parts, ignore_index=True)
+            ready = (rows["t"] <= mark).to_numpy()
+            due = rows[ready].sort_values(["t", "seq"], kind="stable").reset_index(drop=True)
+            waiting = rows[~ready]
+            if len(due):
+                kept, out = step(kept, due)
+                if len(out):
+                    yield out
+            oldest = int(waiting["t"].min()) if len(waiting) else None
+        expires = reach(kept) if kept is not None else -_FOREVER
+        if oldest is None and expires < mark:
+            if state.exists:
+                state.remove()
+            return
+        state.update((pickle.dumps((kept, waiting)),))
+        wake = oldest if oldest is not None else expires
+        if wake < _FOREVER // 2:
+            # When the watermark passes the oldest waiting row, or all that is remembered.
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
     return run
 
 
-def _keyed_fold(df: DataFrame, key: Column, fold: PickFold, delay: str) -> DataFrame:
+def _keyed(df: DataFrame, key: Column, step: Step, reach: Reach, schema: StructType, delay: str, untimed: int | None = None) -> DataFrame:
+    """Rows without a time take part at the time ``untimed``, if given."""
     ship_package(df.sparkSession)
-    columns = df.columns
-    schema = df.schema
-    marked = df.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
-    prepared = marked.withColumn("_key", key).withColumn("t", F.unix_micros("ts"))
-    return prepared.groupBy("source", "_key").applyInPandasWithState(
-        _fold_in_time_order(fold, columns),
-        schema,
-        "state binary",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    time = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = df if untimed is not None else df.where(F.col("ts").isNotNull())
+    prepared = timed.withWatermark("ts", delay).withColumn("_key", key)
+    prepared = prepared.withColumn("t", F.coalesce(time, F.lit(untimed)) if untimed is not None else time)
+    out = prepared.groupBy("source", "_key").applyInPandasWithState(
+        _in_time_order(step, reach), schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return out.where(F.col("source") != END)
+
+
+def _picking(fold: PickFold, columns: Sequence[str]) -> Step:
+    def step(kept, due):
+        kept, picked = fold.pick(kept, due["t"].tolist())
+        return kept, due[list(columns)].iloc[picked]
+
+    return step
+
+
+def _last_time(width: int, times) -> int:
+    return max(times, default=-_FOREVER) + width
+
+
+def _picked(df: DataFrame, key: Column, fold: PickFold, delay: str, untimed: int | None = None) -> DataFrame:
+    return _keyed(df, key, _picking(fold, df.columns), partial(_last_time, fold.width), df.schema, delay, untimed)
+
+
+def _with_untimed(df: DataFrame, passed: DataFrame) -> DataFrame:
+    return passed.unionByName(df.where(F.col("ts").isNull()))
 
 
 def throttle_stream(
@@ -97,37 +164,110 @@ def throttle_stream(
     require(window_seconds > 0, "window_seconds must be positive")
     require(max_allowed >= 1, "max_allowed must be >= 1")
     text = F.coalesce(F.col("message") if key is None else key.cast("string"), F.lit(""))
-    return _keyed_fold(df, F.md5(F.encode(text, "UTF-8")), ThrottleFold(micros(window_seconds), max_allowed), delay)
+    fold = ThrottleFold(micros(window_seconds), max_allowed)
+    return _with_untimed(df, _picked(df, F.md5(F.encode(text, "UTF-8")), fold, delay))
 
 
 def rate_limit_stream(df: DataFrame, max_per_second: float, delay: str = "1 minute") -> DataFrame:
     """Per source, at most ``max_per_second`` rows in any closed second."""
     require(max_per_second > 0, "max_per_second must be positive")
-    return _keyed_fold(df, F.lit(""), ThrottleFold(MICROS, -int(-max_per_second // 1)), delay)
+    return _with_untimed(df, _picked(df, F.lit(""), ThrottleFold(MICROS, -int(-max_per_second // 1)), delay))
 
 
 def alert_stream(df: DataFrame, rule: AlertRule, delay: str = "1 minute") -> DataFrame:
-    """The rows on which ``rule`` fires, per source."""
-    hits = df.where(alert_hits(rule))
-    if rule.threshold > 1:
-        width = micros(rule.window) if rule.window else 1 << 62
-        hits = _keyed_fold(hits, F.lit(""), AlertFold(width, rule.threshold), delay)
+    """The rows on which ``rule`` fires, per source.
+
+    Without a time limit all hits count, those without a time as soon as they arrive.
+    """
+    hits = df.where(alert_hits(rule) | (F.col("source") == END))
+    if rule.threshold == 1:
+        hits = hits.where(F.col("source") != END)
+    elif rule.window:
+        hits = _picked(hits, F.lit(""), AlertFold(micros(rule.window), rule.threshold), delay)
+    else:
+        hits = _picked(hits, F.lit(""), AlertFold(_FOREVER, rule.threshold), delay, untimed=-_FOREVER // 2)
     return hits.withColumn("rule", F.lit(rule.name))
 
 
+def anchored_windows_stream(df: DataFrame, window_seconds: float, delay: str = "1 minute") -> DataFrame:
+    """Add ``window_start`` and ``window_end`` of windows that open at their first row, per source, in time order.
+
+    Rows without a time are in no window; both are NULL there.
+    """
+    require(window_seconds > 0, "window_seconds must be positive")
+    width, columns = micros(window_seconds), df.columns
+    fold = AnchorFold(width)
+
+    def step(start, due):
+        start, starts = fold.starts(start, due["t"].to_numpy())
+        times = {name: pd.to_datetime(starts + add, unit="us", utc=True) for name, add in (("window_start", 0), ("window_end", width))}
+        return start, due[columns].assign(**times)
+
+    schema = StructType(df.schema.fields[:]).add("window_start", TimestampType()).add("window_end", TimestampType())
+    windowed = _keyed(df, F.lit(""), step, lambda start: start + width, schema, delay)
+    none = F.lit(None).cast("timestamp")
+    return windowed.unionByName(df.where(F.col("ts").isNull()).withColumns({"window_start": none, "window_end": none}))
+
+
+def dedup_count_stream(
+    df: DataFrame, window_size: int = 256, max_repeats: int = 1, report: bool = False, delay: str = "1 minute"
+) -> DataFrame:
+    """The first ``max_repeats`` rows of each message, remembering ``window_size`` messages per source.
+
+    In time order, rows without a time first. ``report`` gives the rows held back instead. Both add ``occurrence``.
+    """
+    require(window_size >= 1, "window_size must be >= 1")
+    require(max_repeats >= 1, "max_repeats must be >= 1")
+    fold, columns = DedupFold(window_size, max_repeats, report), df.columns
+
+    def step(seen, due):
+        seen, counts = fold.occurrences(seen, due["_digest"].tolist())
+        counts = np.asarray(counts, np.int64)
+        wanted = counts > max_repeats if report else counts <= max_repeats
+        return seen, due[columns].assign(occurrence=counts)[wanted]
+
+    schema = StructType(df.schema.fields[:]).add("occurrence", LongType())
+    digested = df.withColumn("_digest", message_digest())
+    return _keyed(digested, F.lit(""), step, lambda _: _FOREVER, schema, delay, untimed=-_FOREVER // 2)
+
+
+def numbered_stream(df: DataFrame, column: str = "position", every: int = 1, delay: str = "1 minute") -> DataFrame:
+    """Add the running number of each row in its source, in time order; keep every ``every``-th row only.
+
+    Serves the index, the Nth sample and the reorder buffer: rows leave in time order, and numbers tell that order.
+    """
+    require(every >= 1, "every must be >= 1")
+    columns = df.columns
+
+    def step(count, due):
+        numbers = np.arange(1, len(due) + 1) + (count or 0)
+        return int(numbers[-1]), due[columns].assign(**{column: numbers})[numbers % every == 0]
+
+    schema = StructType(df.schema.fields[:]).add(column, LongType())
+    return _keyed(df, F.lit(""), step, lambda _: _FOREVER, schema, delay, untimed=-_FOREVER // 2)
+
+
 def tee_stream(
-    df: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], checkpoint: str, fail_fast: bool = True, **trigger
+    df: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, fail_fast: bool = True, **trigger
 ):
-    """Start a query that hands every micro-batch to all sinks."""
+    """Start a query that hands every micro-batch and its number to all sinks.
+
+    A batch may be repeated after a failure; a sink that overwrites a path named by the number writes it once.
+    """
+
+    def hand_on(batch: DataFrame, number: int) -> None:
+        tee_logs(batch, {name: lambda rows, s=sink: s(rows, number) for name, sink in sinks.items()}, fail_fast)
+
     writer = df.writeStream.option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(
-        lambda batch, _: tee_logs(batch, sinks, fail_fast)
-    ).start()
+    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(hand_on).start()
 
 
 def route_stream(df: DataFrame, routes: Sequence[Route], checkpoint: str, **trigger):
-    """Start a query that hands every micro-batch's rows to the sinks of the routes they take."""
+    """Start a query that hands every micro-batch's rows, and its number, to the sinks of the routes they take."""
+
+    def hand_on(batch: DataFrame, number: int) -> None:
+        numbered = [replace(r, sink=lambda rows, s=r.sink: s(rows, number)) if r.sink else r for r in routes]
+        dispatch_routes(batch, numbered)
+
     writer = df.writeStream.option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(
-        lambda batch, _: dispatch_routes(batch, routes)
-    ).start()
+    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(hand_on).start()
