@@ -9,8 +9,8 @@ over a third of the tasks. The result is checkpointed, which fixes what each chu
 2. Those keys' rows at the end of a chunk are folded to the state they hand to the next chunk.
 3. A chunk that lies inside one key hands on a state that depends on the one it received. It is folded again
    when that changes, until nothing does. States usually forget: most settle in one or two rounds. If they do
-   not, rounds follow that fold only the chunks whose incoming state is final, one per crossing key. Long
-   rows of chunks of one key whose state is a single time skip this: see :mod:`logloom.operators.handover`.
+   not, rounds follow that fold only the chunks whose incoming state is final, one per crossing key. States that
+   are a single time skip this: see :mod:`logloom.operators.handover`. So do states that merge.
 4. Every chunk is folded from its final incoming state and emits the decisions.
 
 A task streams through Arrow batches and keeps one state, so memory does not grow with the chunk. The driver
@@ -37,8 +37,6 @@ CHUNK = "_chunk"
 _OUTPUT_ROWS = 10_000
 # Rounds in which all stale chunks are folded at once, before folding only those certain to become final.
 SPECULATIVE_ROUNDS = 4
-# Chunks of one key in a row from which on its states are handed through by step functions.
-LONG_CHAIN = 6
 
 
 Columns = dict[str, np.ndarray]
@@ -58,6 +56,9 @@ class Fold:
         """Decisions left over when the key ends."""
         return None
 
+    #: ``merge(entry, own)``: the state after a chunk, from the one it receives and the one it would reach from nothing.
+    merge: Callable[[Any, Any], Any] | None = None
+
     def handover(self) -> Handover | None:
         """How a state of a single time passes through a chunk, if the fold has such states."""
         return None
@@ -172,10 +173,14 @@ def _chains(chunks: list[_Chunk]) -> list[list[_Chunk]]:
     return chains
 
 
-def _settle_long(ordered: DataFrame, fold: Fold, chains: list[list[_Chunk]]) -> dict[int, bytes]:
-    """Entry states of long chains, handed through by step functions. Chains that gave up are missing."""
+def _settle_by_steps(ordered: DataFrame, fold: Fold, chains: list[list[_Chunk]]) -> dict[int, bytes]:
+    """Entry states of chains, handed through by step functions."""
     handover = fold.handover()
     _run_exits(ordered, fold, [chain[0] for chain in chains], {})
+    entries = {chain[1].index: chain[0].exit for chain in chains if len(chain) == 2}
+    chains = [chain for chain in chains if len(chain) > 2]
+    if not chains:
+        return entries
     places, reach, heads, lengths = {}, {}, {}, {}
     for number, chain in enumerate(chains):
         seen = chain[0].latest
@@ -188,24 +193,28 @@ def _settle_long(ordered: DataFrame, fold: Fold, chains: list[list[_Chunk]]) ->
         lengths[number] = len(chain) - 2
     steps = chunk_steps(ordered, CHUNK, handover, places, reach)
     through = hand_through(steps, handover, heads, lengths)
-    entries: dict[int, bytes] = {}
     for number, chain in enumerate(chains):
-        if (number, 0) in through:
-            for pos, chunk in enumerate(chain[1:-1]):
-                entries[chunk.index] = pickle.dumps(fold.from_time(through[(number, pos)][0]))
-            entries[chain[-1].index] = pickle.dumps(fold.from_time(through[(number, lengths[number] - 1)][1]))
+        for pos, chunk in enumerate(chain[1:-1]):
+            entries[chunk.index] = pickle.dumps(fold.from_time(through[(number, pos)][0]))
+        entries[chain[-1].index] = pickle.dumps(fold.from_time(through[(number, lengths[number] - 1)][1]))
     return entries
 
 
 def _settle(ordered: DataFrame, fold: Fold, chunks: list[_Chunk]) -> dict[int, bytes]:
     """The state each chunk starts from, for the chunks whose first key continues from the one before."""
     chains = _chains(chunks)
-    entries: dict[int, bytes] = {}
     if fold.handover():
-        long = [c for c in chains if len(c) >= LONG_CHAIN]
-        entries = _settle_long(ordered, fold, long) if long else {}
-        chains = [c for c in chains if c[-1].index not in entries]
+        return _settle_by_steps(ordered, fold, chains) if chains else {}
+    entries: dict[int, bytes] = {}
     links = [link for chain in chains for link in zip(chain, chain[1:])]
+    if fold.merge and links:
+        # One job for what each chunk adds, then a running merge.
+        _run_exits(ordered, fold, {a.index: a for a, _ in links}.values(), {})
+        for a, b in links:
+            own = pickle.loads(a.exit)
+            through = a.single and a.index in entries
+            entries[b.index] = pickle.dumps(fold.merge(pickle.loads(entries[a.index]), own) if through else own)
+        return entries
     stale = {a.index: a for a, _ in links}
     feeds = {b.index: a for a, b in links}
     rounds = 0

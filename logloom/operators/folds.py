@@ -80,6 +80,17 @@ class AlertFold(PickFold):
         return hits[low:], fired
 
 
+class RuleFolds(Fold):
+    """One alert fold per rule; keys hold the rows of one rule and source, with the rule's number in ``rule``."""
+
+    def __init__(self, folds: dict[int, AlertFold]):
+        self.folds = folds
+
+    def step(self, state, rows):
+        state, picked = self.folds[int(rows["rule"][0])].pick(state, rows["t"].tolist())
+        return state, {name: rows[name][picked] for name in ("source", "seq", "rule")} if picked else None
+
+
 class AnchorFold(Fold):
     """Windows that open at the first row not covered by the last one. Rows come in arrival order.
 
@@ -169,6 +180,10 @@ class ReorderFold(Fold):
                 out.append((heappushpop(heap, item), item[1]))
         return out
 
+    def merge(self, entry, own):
+        """The buffer keeps the ``size`` largest rows of all it has seen, so states of stretches merge."""
+        return entry[0], sorted([*entry[1], *own[1]])[-self.size :]
+
     def step(self, state, rows):
         source, heap = state or (rows["source"][0], [])
         heap = list(heap)

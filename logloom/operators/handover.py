@@ -7,12 +7,12 @@ functions compose, and chains that meet stay together, so composed ones get smal
 
 The functions of a chain of chunks are composed in groups of ``FAN``, those again, and so on (up); then the known
 time at the head of the chain is followed down the same tree, which gives the time each chunk starts from. Every
-group is one task of at most ``FAN`` functions. A function with more than ``MAX_STEPS`` steps is given up, and
-its chain is left to the general way.
+group is one task of at most ``FAN`` functions. A chunk's function has at most as many steps as the chunk has rows.
 """
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from logloom.checkpoints import materialize
 
 FAN = 32
-MAX_STEPS = 1 << 20
 _SCHEMA = "chain int, pos int, bounds array<long>, exits array<long>, last long"
 
 
@@ -88,9 +87,7 @@ def _read(pdf: pd.DataFrame) -> list[Steps]:
     ]
 
 
-def _row(chain: int, pos: int, steps: Steps | None, limit: int) -> pd.DataFrame:
-    if steps is None or len(steps.exits) > limit:
-        steps = Steps(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+def _row(chain: int, pos: int, steps: Steps) -> pd.DataFrame:
     frame = pd.DataFrame({"chain": [chain], "pos": [pos], "bounds": [steps.bounds], "exits": [steps.exits], "last": [steps.last]})
     return frame.astype({"chain": "int32", "pos": "int32"})
 
@@ -99,7 +96,6 @@ def chunk_steps(
     ordered: DataFrame, chunk: str, handover: Handover, places: dict[int, tuple[int, int]], reach: dict[int, int]
 ) -> DataFrame:
     """One row per chunk with its step function; ``places`` gives each chunk's chain and position in it."""
-    limit = MAX_STEPS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         times: dict[int, list[np.ndarray]] = {}
@@ -107,21 +103,15 @@ def chunk_steps(
             for number, rows in pdf.groupby(chunk, sort=False):
                 times.setdefault(int(number), []).append(rows["t"].to_numpy())
         for number, parts in times.items():
-            yield _row(*places[number], handover.steps(np.concatenate(parts), reach[number]), limit)
+            yield _row(*places[number], handover.steps(np.concatenate(parts), reach[number]))
 
     rows = ordered.where(F.col(chunk).isin(list(places))).select(chunk, "t")
     return materialize(rows.mapInPandas(run, _SCHEMA), "steps")
 
 
 def _up(level: DataFrame, handover: Handover) -> DataFrame:
-    limit = MAX_STEPS
-
     def compose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        functions = _read(pdf)
-        total = functions[0] if all(len(f.exits) for f in functions) else None
-        for then in functions[1:]:
-            total = total if total is None else handover.compose(total, then)
-        return _row(int(key[0]), int(key[1]), total, limit)
+        return _row(int(key[0]), int(key[1]), reduce(handover.compose, _read(pdf)))
 
     grouped = level.groupBy("chain", F.floor(F.col("pos") / FAN).cast("int").alias("parent"))
     return materialize(grouped.applyInPandas(compose, _SCHEMA), "steps")
@@ -153,14 +143,9 @@ def hand_through(
     while longest > FAN:
         levels.append(_up(levels[-1], handover))
         longest = -(-longest // FAN)
-    given_up = levels[-1].where(F.size("exits") == 0)
-    for lower in levels[:-1]:
-        given_up = given_up.unionByName(lower.where(F.size("exits") == 0))
-    broken = {r["chain"] for r in given_up.select("chain").distinct().collect()}
-    received = {(chain, 0): time for chain, time in heads.items() if chain not in broken}
+    received = {(chain, 0): time for chain, time in heads.items()}
     through: dict[tuple[int, int], tuple[int, int]] = {}
     for current in reversed(levels):
-        kept = current.where(~F.col("chain").isin(list(broken))) if broken else current
-        through = _down(kept, handover, received)
+        through = _down(current, handover, received)
         received = {place: got for place, (got, _) in through.items()}
     return through

@@ -18,14 +18,12 @@ from logloom.functions.maps import counts_map
 from logloom.functions.text import contains_ci, equals_ci, strip
 from logloom.operators.aggregate import MICROS, level_name, with_event_time
 from logloom.operators.chunked import chunked_fold
-from logloom.operators.folds import AlertFold, AnchorFold, DedupFold, ReorderFold, ThrottleFold
+from logloom.operators.folds import AlertFold, AnchorFold, DedupFold, ReorderFold, RuleFolds, ThrottleFold
 from logloom.operators.ordered import with_row_number
 from logloom.operators.rules import AlertRule, require
 from logloom.schema import ROW_ID
 
 _IDS = "source string, seq long"
-# Up to this rank Spark limits a ranked window in the map tasks (its default windowGroupLimitThreshold).
-MAP_SIDE_RANKS = 1000
 
 
 def micros(seconds: float) -> int:
@@ -87,40 +85,55 @@ def alert_hits(rule: AlertRule) -> Column:
     return hit & contains_ci(F.col("message"), rule.keyword) if rule.keyword else hit
 
 
-def _alerts_of(df: DataFrame, rule: AlertRule, partitions: int | None) -> DataFrame:
-    hits = df.where(alert_hits(rule))
-    if rule.threshold == 1:
-        fired = hits
-    elif rule.window == 0:
-        numbered = with_row_number(hits, "_hit")
-        fired = numbered.where(F.col("_hit") % rule.threshold == 0).drop("_hit")
-    else:
-        fold = AlertFold(micros(rule.window), rule.threshold)
-        narrow = _timed(hits).select(*ROW_ID, "t")
-        fired = _keep(hits, chunked_fold(narrow, F.col("source"), ["t", "seq"], fold, _IDS, partitions))
-    return fired.withColumn("rule", F.lit(rule.name))
-
-
 def alert_logs(df: DataFrame, rules: Sequence[AlertRule], partitions: int | None = None) -> DataFrame:
-    """The rows on which each rule fires, with the rule's name. Rules are independent; sources too."""
+    """The rows on which each rule fires, with the rule's name. Rules are independent; sources too.
+
+    One pass finds the hits of all rules; then hits of rules with a time limit are folded, and those of the others numbered, all rules together.
+    """
     require(bool(rules), "at least one rule is needed")
-    return reduce(DataFrame.unionByName, [_alerts_of(df, rule, partitions) for rule in rules])
+    hit = F.array_compact(F.array(*(F.when(alert_hits(rule), F.lit(i)) for i, rule in enumerate(rules))))
+    hits = df.withColumn("_rule", F.explode(hit))
+
+    def of(wanted) -> tuple[DataFrame, list[int]]:
+        numbers = [i for i, rule in enumerate(rules) if wanted(rule)]
+        return hits.where(F.col("_rule").isin(numbers)), numbers
+
+    parts = []
+    each, numbers = of(lambda r: r.threshold == 1)
+    if numbers:
+        parts.append(each)
+    counted, numbers = of(lambda r: r.threshold > 1 and r.window == 0)
+    if numbers:
+        every = F.create_map(*(F.lit(x) for i in numbers for x in (i, rules[i].threshold)))
+        numbered = with_row_number(counted, "_hit", ["source", "_rule"])
+        parts.append(numbered.where(F.col("_hit") % every[F.col("_rule")] == 0).drop("_hit"))
+    limited, numbers = of(lambda r: r.threshold > 1 and r.window > 0)
+    if numbers:
+        folds = {i: AlertFold(micros(rules[i].window), rules[i].threshold) for i in numbers}
+        narrow = _timed(limited).select(*ROW_ID, "t", F.col("_rule").alias("rule"))
+        key = F.concat_ws("\n", F.col("rule").cast("string"), "source")
+        fired = chunked_fold(narrow, key, ["t", "seq"], RuleFolds(folds), f"{_IDS}, rule int", partitions)
+        same = [*ROW_ID, "_rule"]
+        parts.append(limited.join(fired.withColumnRenamed("rule", "_rule"), same, "left_semi").select(*hits.columns))
+    names = F.array(*(F.lit(rule.name) for rule in rules))
+    return reduce(DataFrame.unionByName, parts).withColumn("rule", F.element_at(names, F.col("_rule") + 1)).drop("_rule")
 
 
 def anchored_windows(
-    df: DataFrame, window_seconds: float, null_ts: str = "drop", partitions: int | None = None
+    df: DataFrame, window_seconds: float, null_ts: str = "keep", partitions: int | None = None
 ) -> DataFrame:
     """Add ``window_start`` and ``window_end`` of windows that open at their first row, per source.
 
-    In arrival order, a row at or past the end of the current window opens the next one at its own time.
+    In arrival order, a row at or past the end of the current window opens the next one at its own time. Rows without a
+    time are in no window and keep NULL bounds, unless ``null_ts`` says otherwise.
     """
     require(window_seconds > 0, "window_seconds must be positive")
     timed = with_event_time(df, null_ts)
     width = micros(window_seconds)
-    narrow = timed.select(*ROW_ID, F.unix_micros("ts").alias("t"))
+    narrow = _timed(timed).select(*ROW_ID, "t")
     schema = f"{_IDS}, window_start long"
     starts = chunked_fold(narrow, F.col("source"), ["seq"], AnchorFold(width), schema, partitions)
-    joined = timed.join(starts, ROW_ID)
+    joined = timed.join(starts, ROW_ID, "left")
     return joined.select(
         *df.columns,
         F.timestamp_micros("window_start").alias("window_start"),
@@ -135,9 +148,9 @@ def window_summaries(windowed: DataFrame) -> DataFrame:
     summed = counts.groupBy(*keys).agg(
         F.sum("_n").alias("total"), counts_map(F.col("_level"), F.col("_n")).alias("levels")
     )
-    # One row per window is left here, so a source's windows fit one task.
-    number = F.row_number().over(Window.partitionBy("source").orderBy("window_start"))
-    return summed.withColumn("window_id", number)
+    # A window without bounds comes first; windows of a source start at different times.
+    placed = summed.withColumn("_start", F.coalesce(F.unix_micros("window_start"), F.lit(-(1 << 62))))
+    return with_row_number(placed, "window_id", order="_start").drop("_start")
 
 
 def _digests(df: DataFrame) -> DataFrame:
@@ -149,7 +162,8 @@ def _few_messages(digests: DataFrame, window_size: int) -> DataFrame:
     """Sources with at most ``window_size`` distinct messages: for them nothing is ever forgotten."""
     distinct = digests.select("source", "digest").distinct()
     sizes = distinct.groupBy("source").agg(F.count("*").alias("_messages"))
-    return sizes.where(F.col("_messages") <= window_size).select("source")
+    # Written, so that a join with it shuffles both sides and a large source is split.
+    return materialize(sizes.where(F.col("_messages") <= window_size).select("source"), "few-messages")
 
 
 def dedup_logs(
@@ -157,20 +171,13 @@ def dedup_logs(
 ) -> DataFrame:
     """Pass the first ``max_repeats`` rows of each message, remembering ``window_size`` messages per source.
 
-    Sources with few messages need no memory limit: there the first rows of each message are found with a
-    partial limit in the map tasks. Only the others are folded.
+    Sources with few messages need no memory limit: there rows are numbered by message. Only the others are folded.
     """
     require(window_size >= 1, "window_size must be >= 1")
     require(max_repeats >= 1, "max_repeats must be >= 1")
     digests = _digests(df)
     few = _few_messages(digests, window_size)
-    if max_repeats <= MAP_SIDE_RANKS:
-        first = Window.partitionBy("source", "digest").orderBy("seq")
-        ranked = digests.withColumn("_nth", F.row_number().over(first))
-    else:
-        ranked = with_row_number(digests, "_nth", ["source", "digest"])
-    ranked = ranked.where(F.col("_nth") <= max_repeats)
-    # The ranks come before the join: on rows already spread by source, Spark would not limit them in the map tasks.
+    ranked = with_row_number(digests, "_nth", ["source", "digest"]).where(F.col("_nth") <= max_repeats)
     native = ranked.join(few, "source", "left_semi").select(*ROW_ID)
     folded = chunked_fold(
         digests.join(few, "source", "left_anti"),

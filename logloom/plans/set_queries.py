@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 from logloom.operators import aggregate, ordered, stateful, tag
 from logloom.operators.filters import level_equals
 from logloom.operators.rules import AlertRule, SplitRule
-from logloom.plans.registry import CONVERSATIONS, DOCUMENTS, EVENTS, LINEITEM, ORDERS, query
+from logloom.plans.registry import CONVERSATIONS, DENSE, DOCUMENTS, EVENTS, LINEITEM, ORDERS, query
 from logloom.sources.tables import (
     TIMESTAMP_FORMAT,
     conversation_logs,
+    dense_times,
     document_logs,
     event_logs,
     lineitem_logs,
@@ -148,8 +149,8 @@ def tail_n(spark, sf):
 
 @query(f"WITH {LINEITEM} SELECT source, seq FROM logs QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq) % 7 = 0")
 def sample_nth(spark, sf):
-    """The width spans 4096 order lines, as ``seq`` is sparse here; each source is numbered across many blocks."""
-    return ordered.sample_nth(lineitem_logs(spark, sf), 7, width=1 << 52).select(*ID)
+    """``seq`` is sparse here."""
+    return ordered.sample_nth(lineitem_logs(spark, sf), 7).select(*ID)
 
 
 @query(f"""WITH {LINEITEM} SELECT source, seq FROM logs
@@ -163,6 +164,12 @@ def row_numbers(spark, sf):
     return ordered.with_row_number(event_logs(spark, sf), "position").select(*ID, "position")
 
 
+@query(f"""WITH {LINEITEM} SELECT source, seq, row_number() OVER (ORDER BY source, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ'), seq) AS rank
+FROM logs""")
+def sort_logs(spark, sf):
+    return ordered.with_rank(ordered.sort_logs(lineitem_logs(spark, sf)).select(*ID))
+
+
 # Sequential operators. The SQL forms walk each source or key row by row with the state in a list.
 
 
@@ -173,14 +180,25 @@ def dedup_exact(spark, sf):
     return stateful.dedup_logs(document_logs(spark, sf), window_size=1 << 20).select(*ID)
 
 
-@query(f"""WITH {DOCUMENTS}, keyed AS (SELECT source, seq, md5(trim(message, e' \\t\\n\\r')) AS d FROM logs),
-numbered AS (SELECT source, seq, row_number() OVER (PARTITION BY source, d ORDER BY seq) AS occurrence FROM keyed)
-SELECT * FROM numbered WHERE occurrence > 1""")
-def dedup_suppressed(spark, sf):
-    return stateful.suppressed_logs(document_logs(spark, sf), window_size=1 << 20).select(*ID, "occurrence")
+_BY_SOURCE = "row_number() OVER (PARTITION BY source ORDER BY seq) AS i"
 
 
-_BY_SOURCE = "row_number() OVER (PARTITION BY source ORDER BY seq) AS i"
+# The memory of messages: a list of (message, count) in the order of entry; the first goes when there are more than 40.
+_COUNTED = f"""r AS (SELECT source, seq, k AS d, {_BY_SOURCE} FROM logs),
+walk(source, seq, i, seen, n) AS (
+  SELECT source, seq, i, [{{'d': d, 'n': 1}}], 1 FROM r WHERE i = 1
+  UNION ALL
+  SELECT source, seq, i, CASE WHEN n = 1 AND len(seen) >= 40 THEN list_append(seen[2:], {{'d': d, 'n': 1}})
+         WHEN n = 1 THEN list_append(seen, {{'d': d, 'n': 1}})
+         ELSE list_transform(seen, lambda x: CASE WHEN x.d = d THEN {{'d': d, 'n': n}} ELSE x END) END, n
+  FROM (SELECT r.source, r.seq, r.i, r.d, w.seen, coalesce(list_filter(w.seen, lambda x: x.d = r.d)[1].n, 0) + 1 AS n
+        FROM walk w JOIN r ON r.source = w.source AND r.i = w.i + 1))"""
+
+
+@query(f"WITH RECURSIVE {EVENTS}, {_COUNTED} SELECT source, seq, CAST(n AS BIGINT) AS occurrence FROM walk WHERE n > 1")
+def dedup_suppressed(spark, sf):
+    logs = event_logs(spark, sf).withColumn("message", F.element_at("extra", F.lit("k")))
+    return stateful.suppressed_logs(logs, window_size=40).select(*ID, "occurrence")
 
 
 @query(f"""WITH RECURSIVE {EVENTS}, r AS (SELECT source, seq, k AS d, {_BY_SOURCE} FROM logs),
@@ -224,10 +242,19 @@ def throttle_source(spark, sf):
     return stateful.throttle_logs(event_logs(spark, sf), 5400, key=F.lit("all")).select(*ID)
 
 
-@query(f"WITH {LINEITEM} SELECT source, seq FROM logs QUALIFY row_number() OVER (PARTITION BY source, ts ORDER BY seq) <= 3")
+@query(f"""WITH RECURSIVE {EVENTS}, {DENSE},
+r AS (SELECT source, seq, us AS t, row_number() OVER (PARTITION BY source ORDER BY us, seq) AS i FROM dense),
+walk(source, seq, i, live, keep) AS (
+  SELECT source, seq, i, [t], true FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.source, r.seq, r.i,
+         CASE WHEN len(list_filter(live, lambda x: x >= r.t - 1000000)) < 2 THEN list_append(live, r.t)[-2:] ELSE live END,
+         len(list_filter(live, lambda x: x >= r.t - 1000000)) < 2
+  FROM walk w JOIN r ON r.source = w.source AND r.i = w.i + 1)
+SELECT source, seq FROM walk WHERE keep""")
 def rate_limit(spark, sf):
-    """Times are whole days here, so every second with rows is far from the next. 2.5 per second pass 3."""
-    return stateful.rate_limit_logs(lineitem_logs(spark, sf), 2.5).select(*ID)
+    """Several rows a second, so that the second slides and rows are dropped. 1.5 per second pass 2."""
+    return stateful.rate_limit_logs(dense_times(event_logs(spark, sf)), 1.5).select(*ID)
 
 
 _ERRORS = "errors AS (SELECT * FROM logs WHERE level = 'error')"
@@ -246,6 +273,21 @@ def alert_unbounded(spark, sf):
     return stateful.alert_logs(event_logs(spark, sf), [rule]).select(*ID, "rule")
 
 
+@query(f"""WITH {EVENTS}, {_ERRORS}
+SELECT source, seq, 'each' AS rule FROM errors WHERE contains(message, '7')
+UNION ALL SELECT source, seq, 'fifth' FROM (SELECT * FROM errors QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq) % 5 = 0)
+UNION ALL SELECT source, seq, 'third' FROM
+  (SELECT * FROM logs WHERE level = 'click' QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq) % 3 = 0)""")
+def alert_rules(spark, sf):
+    """Several rules in one pass; they do not see each other's hits."""
+    rules = [
+        AlertRule("ERROR", "7", threshold=1, name="each"),
+        AlertRule("ERROR", threshold=5, window=0, name="fifth"),
+        AlertRule("click", threshold=3, window=0, name="third"),
+    ]
+    return stateful.alert_logs(event_logs(spark, sf), rules).select(*ID, "rule")
+
+
 @query(f"""WITH RECURSIVE {EVENTS}, {_ERRORS},
 r AS (SELECT source, seq, epoch_us(ts) AS t, row_number() OVER (PARTITION BY source ORDER BY ts, seq) AS i FROM errors),
 walk(source, seq, i, hits, fired) AS (

@@ -72,6 +72,29 @@ def test_throttle_matches_model(logs, partitions, limit, step):
     assert ids(got) == throttle_model(rows, 10, limit, lambda r: r["message"])
 
 
+def jobs_of(spark, run):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("count-jobs", "count jobs")
+    before = len(tracker.getJobIdsForGroup("count-jobs"))
+    run()
+    after = len(tracker.getJobIdsForGroup("count-jobs"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return after - before
+
+
+def test_jobs_do_not_grow_with_chunks(spark, logs):
+    """Step functions and merging buffers settle a key of any number of chunks alike."""
+    rows = make_rows(random.Random(5), 400, ["a"], 0.05, jitter=2.0)
+    df = logs([dict(r, timestamp=r["ts"].isoformat()) for r in rows])
+    for operator in (
+        lambda n: S.throttle_logs(df, 3, 1, key=F.lit("k"), partitions=n),
+        lambda n: S.anchored_windows(df, 3, partitions=n),
+        lambda n: S.sequence_logs(df, 20, partitions=n),
+    ):
+        few, many = (jobs_of(spark, lambda n=n: operator(n).count()) for n in (5, 25))
+        assert abs(many - few) <= 2
+
+
 def test_throttle_of_one_saturated_key_needs_many_rounds(logs):
     rows = make_rows(random.Random(5), 400, ["a"], 0.05)
     got = S.throttle_logs(logs(rows), 3, 1, key=F.lit("k"), partitions=14)

@@ -41,14 +41,14 @@ def test_steps_agree_with_the_fold(strict):
 def small_tree(monkeypatch):
     monkeypatch.setattr(handover, "FAN", 3)
     calls = []
-    real = chunked._settle_long
+    real = chunked._settle_by_steps
 
     def record(*args):
         entries = real(*args)
         calls.append(dict(entries))
         return entries
 
-    monkeypatch.setattr(chunked, "_settle_long", record)
+    monkeypatch.setattr(chunked, "_settle_by_steps", record)
     return calls
 
 
@@ -72,11 +72,3 @@ def test_anchored_windows_of_one_large_source(logs, small_tree):
     base = int(BASE.timestamp()) * 1_000_000
     assert {r["seq"]: r["w"] - base for r in got.select("seq", F.unix_micros("window_start").alias("w")).collect()} == expected
     assert small_tree and small_tree[0]
-
-
-def test_functions_with_too_many_steps_are_given_up(logs, small_tree, monkeypatch):
-    monkeypatch.setattr(handover, "MAX_STEPS", 0)
-    rows = make_rows(random.Random(2), 200, ["a"], 0.05)
-    got = stateful.throttle_logs(logs(rows), 2, key=F.lit("k"), partitions=9)
-    assert ids(got) == throttle_model(rows, 2, 1, lambda r: "k")
-    assert small_tree == [{}]
