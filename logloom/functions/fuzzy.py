@@ -22,6 +22,8 @@ _PAD = 0x110000
 _WORD = 64
 # Stretches advanced together: few enough for the CPU cache, whatever the message length.
 _SLICE = 1 << 15
+# Code points laid out together; a longer text comes alone.
+_LAID_OUT = 1 << 22
 
 
 def _code_points(text: str) -> np.ndarray:
@@ -99,15 +101,23 @@ class PartialScorer:
             # Two empty texts are alike; an empty keyword is unlike any other text.
             return np.array([0 if t else 100 for t in texts], dtype=np.int64)
         codes = [_code_points(t) for t in texts]
-        long = [i for i, c in enumerate(codes) if len(c) >= self.size]
-        if long:
-            out[long] = np.rint(self._slide([codes[i] for i in long]))
-        needle = self.needle.tobytes().decode("utf-32-le", "surrogatepass")
-        for i, text in enumerate(texts):
-            # The shorter text is the one that slides; of equal ones, both do.
-            if text and len(codes[i]) <= self.size:
-                other = np.rint(PartialScorer(text)._slide([_code_points(needle)])[0])
-                out[i] = max(out[i], int(other))
+        lengths = np.array([len(c) for c in codes])
+        batch, held = [], 0
+        for i in np.flatnonzero(lengths >= self.size).tolist():
+            if batch and held + lengths[i] > _LAID_OUT:
+                out[batch] = np.rint(self._slide([codes[j] for j in batch]))
+                batch, held = [], 0
+            batch.append(i)
+            held += int(lengths[i]) + self.size
+        if batch:
+            out[batch] = np.rint(self._slide([codes[j] for j in batch]))
+        # The shorter text is the one that slides; of equal ones, both do. Equal texts are scored once.
+        needle = [_code_points(self.needle.tobytes().decode("utf-32-le", "surrogatepass"))]
+        known: dict[str, int] = {}
+        for i in np.flatnonzero((lengths <= self.size) & (lengths > 0)).tolist():
+            if texts[i] not in known:
+                known[texts[i]] = int(np.rint(PartialScorer(texts[i])._slide(needle)[0]))
+            out[i] = max(out[i], known[texts[i]])
         return out
 
 

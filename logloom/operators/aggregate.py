@@ -31,48 +31,56 @@ def service_name() -> Column:
 
 
 def with_event_time(df: DataFrame, null_ts: str) -> DataFrame:
-    """Rows without a time are left out (``drop``) or take the time of the query (``now``)."""
-    require(null_ts in ("drop", "now"), "null_ts must be 'drop' or 'now'")
+    """What becomes of rows without a time: they stay so (``keep``), are left out (``drop``) or take the query's (``now``)."""
+    require(null_ts in ("keep", "drop", "now"), "null_ts must be 'keep', 'drop' or 'now'")
     if null_ts == "now":
         # Taken once on the driver: every job of the query must see the same time.
         return df.withColumn("ts", F.coalesce("ts", F.lit(datetime.now(timezone.utc)).cast("timestamp")))
-    return df.where(F.col("ts").isNotNull())
+    return df.where(F.col("ts").isNotNull()) if null_ts == "drop" else df
 
 
-def tumbling_counts_long(df: DataFrame, window_seconds: int = 60, null_ts: str = "drop") -> DataFrame:
-    """One row per source, epoch-aligned window, level and service with its count."""
+def _with_window(df: DataFrame, window_seconds: int, null_ts: str) -> DataFrame:
+    """Epoch-aligned ``window_start`` and ``window_end``; both are NULL where there is no time."""
     require(window_seconds > 0, "window_seconds must be positive")
-    level, service = level_name().alias("level"), or_default(F.col("service"), UNKNOWN).alias("service")
-    return (
-        with_event_time(df, null_ts)
-        .groupBy("source", F.window("ts", f"{window_seconds} seconds").alias("window"), level, service)
-        .agg(F.count("*").alias("total"))
-        .select("source", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                "level", "service", "total")
+    time, width = F.unix_micros(F.col("ts").cast("timestamp")), window_seconds * MICROS
+    start = time - F.pmod(time, F.lit(width))
+    return with_event_time(df, null_ts).withColumns(
+        {"window_start": F.timestamp_micros(start), "window_end": F.timestamp_micros(start + width)}
     )
 
 
-def _count_maps(counts: DataFrame, keys: Sequence[str], breakdowns: dict[str, str]) -> DataFrame:
-    """Roll counted rows up to ``keys`` with a total and one map per breakdown column.
+def tumbling_counts_long(df: DataFrame, window_seconds: int = 60, null_ts: str = "keep") -> DataFrame:
+    """One row per source, epoch-aligned window, level and service with its count.
+
+    Rows without a time are counted under a NULL window unless ``null_ts`` says otherwise.
+    """
+    level, service = level_name().alias("level"), or_default(F.col("service"), UNKNOWN).alias("service")
+    windowed = _with_window(df, window_seconds, null_ts)
+    return windowed.groupBy("source", "window_start", "window_end", level, service).agg(F.count("*").alias("total"))
+
+
+def _count_maps(df: DataFrame, keys: Sequence[str], breakdowns: dict[str, Column], **extra: tuple) -> DataFrame:
+    """Per ``keys`` a total and one map of counts per breakdown, in two shuffles.
 
-    ``breakdowns`` maps output names to columns of ``counts``. All breakdowns share one pass.
+    Every row is counted once per breakdown, with partial counts in the map tasks. ``extra`` names further results:
+    (aggregate function, column), for functions that may be applied twice.
     """
-    kinds = [F.struct(F.lit(name).alias("kind"), F.col(col).alias("value")) for name, col in breakdowns.items()]
-    first = next(iter(breakdowns))
-    spread = counts.select(*keys, "total", F.explode(F.array(*kinds)).alias("_b"))
-    summed = spread.groupBy(*keys, "_b.kind", "_b.value").agg(F.sum("total").alias("n"))
-    value, n = F.col("value"), F.col("n")
-    return summed.groupBy(*keys).agg(
+    kinds = [F.struct(F.lit(name).alias("kind"), value.alias("value")) for name, value in breakdowns.items()]
+    spread = df.select(*keys, *(c.alias(name) for name, (_, c) in extra.items()), F.explode(F.array(*kinds)).alias("_b"))
+    counted = spread.groupBy(*keys, "_b.kind", "_b.value").agg(F.count("*").alias("n"), *(f(name).alias(name) for name, (f, _) in extra.items()))
+    value, n, first = F.col("value"), F.col("n"), next(iter(breakdowns))
+    return counted.groupBy(*keys).agg(
         F.sum(F.when(F.col("kind") == first, n)).alias("total"),
         *[counts_map(F.when(F.col("kind") == name, value), n).alias(name) for name in breakdowns],
+        *(f(name).alias(name) for name, (f, _) in extra.items()),
     )
 
 
-def tumbling_counts(df: DataFrame, window_seconds: int = 60, null_ts: str = "drop") -> DataFrame:
+def tumbling_counts(df: DataFrame, window_seconds: int = 60, null_ts: str = "keep") -> DataFrame:
     """Per source and epoch-aligned window: total, counts by level and by service. Empty windows are absent."""
-    counts = tumbling_counts_long(df, window_seconds, null_ts)
-    keys = ["source", "window_start", "window_end"]
-    return _count_maps(counts, keys, {"by_level": "level", "by_service": "service"})
+    windowed = _with_window(df, window_seconds, null_ts)
+    names = {"by_level": level_name(), "by_service": or_default(F.col("service"), UNKNOWN)}
+    return _count_maps(windowed, ["source", "window_start", "window_end"], names)
 
 
 def bucket_line() -> Column:
@@ -86,24 +94,8 @@ def bucket_line() -> Column:
 
 def stats(df: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
     """Total, counts by level and by service, first and last time, per ``by`` (``()`` for the whole table)."""
-    keys = list(by)
-    counts = df.groupBy(*keys, level_name().alias("_level"), service_name().alias("_service")).agg(
-        F.count("*").alias("total"), F.min("ts").alias("_first"), F.max("ts").alias("_last")
-    )
-    kinds = [F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("value")) for k in ("level", "service")]
-    summed = (
-        counts.select(*keys, "total", "_first", "_last", F.explode(F.array(*kinds)).alias("_b"))
-        .groupBy(*keys, "_b.kind", "_b.value")
-        .agg(F.sum("total").alias("n"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
-    )
-    value, n, kind = F.col("value"), F.col("n"), F.col("kind")
-    return summed.groupBy(*keys).agg(
-        F.sum(F.when(kind == "level", n)).alias("total"),
-        counts_map(F.when(kind == "level", value), n).alias("by_level"),
-        counts_map(F.when(kind == "service", value), n).alias("by_service"),
-        F.min("_first").alias("first_ts"),
-        F.max("_last").alias("last_ts"),
-    )
+    times = {"first_ts": (F.min, F.col("ts")), "last_ts": (F.max, F.col("ts"))}
+    return _count_maps(df, list(by), {"by_level": level_name(), "by_service": service_name()}, **times)
 
 
 def time_range(df: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
@@ -165,11 +157,9 @@ def correlation_groups(
 ) -> DataFrame:
     """Per source and key: row count, counts by level as written, and the sorted distinct services."""
     require(min_group_size >= 1, "min_group_size must be >= 1")
-    key = correlation_key(field, window_seconds).alias("key")
-    level = or_default(F.col("level"), UNKNOWN).alias("level")
-    service = F.nullif(F.col("service"), F.lit("")).alias("service")
-    counts = df.groupBy("source", key, level, service).agg(F.count("*").alias("total"))
-    groups = _count_maps(counts, ["source", "key"], {"levels": "level", "_services": "service"})
+    keyed = df.withColumn("key", correlation_key(field, window_seconds))
+    names = {"levels": or_default(F.col("level"), UNKNOWN), "_services": F.nullif(F.col("service"), F.lit(""))}
+    groups = _count_maps(keyed, ["source", "key"], names)
     return (
         groups.withColumn("services", F.sort_array(F.map_keys("_services")))
         .where(F.col("total") >= min_group_size)

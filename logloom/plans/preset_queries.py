@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from logloom.operators.aggregate import match_count
 from logloom.plans import presets
 from logloom.plans.registry import LINES, PARSED, PLAIN_LINE, TEXT_LINE, parsed_tail, query
 from logloom.sources.tables import event_lines
@@ -31,6 +32,14 @@ def preset_stats(spark, sf):
     return stats.select("source", "total", first, last, unknown)
 
 
+@query(f"""WITH {parsed_tail(500)}, n AS (
+SELECT source, 'level' AS kind, lower(coalesce(level, 'unknown')) AS value, count(*) AS count FROM logs GROUP BY ALL
+UNION ALL SELECT source, 'service', coalesce(service, 'unknown'), count(*) FROM logs GROUP BY ALL)
+SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY source, kind ORDER BY count DESC, value) <= 3""")
+def preset_stats_top(spark, sf):
+    return presets.stats_top(event_lines(spark, sf), top=3)
+
+
 @query(f"""WITH {parsed_tail(500)}, n AS (SELECT source, message, count(*) AS count, min(seq) AS first FROM logs GROUP BY ALL)
 SELECT source, message, count FROM n QUALIFY row_number() OVER (PARTITION BY source ORDER BY count DESC, first) <= 3""")
 def preset_top_messages(spark, sf):
@@ -49,6 +58,16 @@ def preset_replay(spark, sf):
     return presets.replay(event_lines(spark, sf), level="view", exact="42").select(*OUT)
 
 
+@query(f"WITH {PARSED} SELECT source, seq, {PLAIN_LINE} AS line FROM logs WHERE level = 'view' AND contains(message, '42')")
+def preset_replay_plain(spark, sf):
+    return presets.replay(event_lines(spark, sf), level="view", exact="42", plain=True).select(*OUT)
+
+
+@query(f"WITH {PARSED} SELECT count(*) AS matched FROM logs WHERE level = 'view' AND contains(message, '42')")
+def preset_replay_count(spark, sf):
+    return match_count(presets.replay(event_lines(spark, sf), level="view", exact="42"))
+
+
 @query(f"""WITH {parsed_tail(100)} SELECT source, seq, {PLAIN_LINE} AS line FROM logs WHERE level = 'signup'
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq) % 3 = 0""")
 def preset_sample(spark, sf):
@@ -62,6 +81,26 @@ def preset_dedup(spark, sf):
     return found.select(*ID)
 
 
+# Lines whose text is their level only, so that messages repeat.
+_LEVELS = """said AS (SELECT source, seq, coalesce(level, 'plain') AS message FROM logs),
+nth AS (SELECT *, row_number() OVER (PARTITION BY source, message ORDER BY seq) AS occurrence FROM said)"""
+
+
+def _level_lines(spark, sf):
+    level = F.coalesce(F.get_json_object(F.regexp_extract("raw", r"(\{.*)", 1), "$.level"), F.lit("plain"))
+    return event_lines(spark, sf).withColumn("raw", F.concat(F.regexp_extract("raw", r"^(\S+ )", 1), level))
+
+
+@query(f"WITH {parsed_tail(300)}, {_LEVELS} SELECT source, seq FROM nth WHERE occurrence <= 2")
+def preset_dedup_levels(spark, sf):
+    return presets.dedup(_level_lines(spark, sf), max_repeats=2, tail=300).select(*ID)
+
+
+@query(f"WITH {parsed_tail(300)}, {_LEVELS} SELECT source, seq, occurrence FROM nth WHERE occurrence > 2")
+def preset_dedup_report(spark, sf):
+    return presets.dedup_report(_level_lines(spark, sf), max_repeats=2, tail=300).select(*ID, "occurrence")
+
+
 @query(f"""WITH {parsed_tail(200)}, n AS (SELECT source, floor(epoch_us(ts) / 8.64e10) * 86400 AS start,
 coalesce(level, 'unknown') AS level, count(*) AS n FROM logs GROUP BY ALL)
 SELECT source, '[00:00:00-00:00:00] total=' || CAST(sum(n) AS BIGINT) || ' levels=('
@@ -91,10 +130,12 @@ def preset_annotate(spark, sf):
     return logs.where(F.col("level").isNull()).select(*OUT)
 
 
-@query(f"WITH {parsed_tail(100)} SELECT source, seq, {PLAIN_LINE} AS line FROM logs")
+@query(f"""WITH {parsed_tail(500)} SELECT source, seq FROM logs
+QUALIFY row_number() OVER (PARTITION BY source, date_trunc('day', ts) ORDER BY seq) <= 10""")
 def preset_rate_limit(spark, sf):
-    """Events are minutes apart, so all of them pass."""
-    return presets.rate_limit(event_lines(spark, sf)).select(*OUT)
+    """All times of a day become its first second, so that rows are dropped."""
+    lines = event_lines(spark, sf).withColumn("raw", F.regexp_replace("raw", r"^(.{10})T[0-9:.]+Z", "$1T00:00:00Z"))
+    return presets.rate_limit(lines, tail=500).select(*ID)
 
 
 @query(f"""WITH {parsed_tail(100)}, hits AS (
@@ -131,9 +172,13 @@ def preset_classify(spark, sf):
     return presets.classify(event_lines(spark, sf), keywords, "none").select(*OUT)
 
 
-@query(f"""WITH {parsed_tail(200)} SELECT source, seq, row_number() OVER (PARTITION BY source ORDER BY seq) AS position FROM logs""")
+@query(f"""WITH {LINES}, late AS (SELECT source, 1000000000 - seq AS seq, raw FROM lines),
+recent AS (SELECT * FROM late QUALIFY row_number() OVER (PARTITION BY source ORDER BY seq DESC) <= 200)
+SELECT source, seq, row_number() OVER (PARTITION BY source ORDER BY substr(raw, 1, 27), seq) AS position FROM recent""")
 def preset_sequence(spark, sf):
-    return presets.sequence(event_lines(spark, sf)).select(*ID, "position")
+    """Lines that arrive last first, through a buffer that holds them all."""
+    lines = event_lines(spark, sf).withColumn("seq", 1_000_000_000 - F.col("seq"))
+    return presets.sequence(lines, buffer=200).select(*ID, "position")
 
 
 @query(f"WITH {parsed_tail(50)} SELECT source, seq, {PLAIN_LINE} AS line FROM logs WHERE level = 'purchase'")

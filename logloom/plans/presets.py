@@ -5,6 +5,7 @@ the filters.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,19 @@ def stats(lines: DataFrame, tail: int = 500) -> DataFrame:
     return aggregate.stats(_recent(lines, tail))
 
 
+def stats_top(lines: DataFrame, tail: int = 500, top: int = 5, level: bool = True, service: bool = True) -> DataFrame:
+    """``source, kind, value, count``: the ``top`` most frequent levels and services of recent lines."""
+    logs = _recent(lines, tail)
+    parts = []
+    for wanted, kind, counts in ((level, "level", aggregate.level_breakdown), (service, "service", aggregate.service_breakdown)):
+        if wanted:
+            found = counts(logs, top=top)
+            parts.append(found.select("source", F.lit(kind).alias("kind"), F.col(kind).alias("value"), "count"))
+    if not parts:
+        raise RuleError("nothing to break down by")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_messages(lines: DataFrame, tail: int = 500, top: int = 5) -> DataFrame:
     return aggregate.top_messages(_recent(lines, tail), top)
 
@@ -58,11 +72,14 @@ def alert(
 
 
 def replay(
-    lines: DataFrame, level: str | None = None, search: str | None = None, exact: str | None = None
+    lines: DataFrame, level: str | None = None, search: str | None = None, exact: str | None = None, plain: bool = False
 ) -> DataFrame:
-    """Saved lines that pass the filters, as ``[timestamp] message``; ``search`` is fuzzy."""
+    """Saved lines that pass the filters, as ``[timestamp] message`` or, ``plain``, as level lines; ``search`` is fuzzy.
+
+    :func:`logloom.operators.aggregate.match_count` counts them.
+    """
     found = filter_logs(parse_logs(lines), exact, level=level)
-    return _with_line(filter_logs(found, search, fuzzy=True) if search else found, text_line())
+    return _with_line(filter_logs(found, search, fuzzy=True) if search else found, plain_line() if plain else text_line())
 
 
 def sample(
@@ -90,6 +107,19 @@ def dedup(
     return _with_line(stateful.dedup_logs(found, window, max_repeats))
 
 
+def dedup_report(
+    lines: DataFrame,
+    window: int = 256,
+    max_repeats: int = 1,
+    level: str | None = None,
+    search: str | None = None,
+    tail: int = 100,
+) -> DataFrame:
+    """The lines that :func:`dedup` holds back, with the ``occurrence`` of their message."""
+    found = filter_logs(_recent(lines, tail), search, level=level)
+    return _with_line(stateful.suppressed_logs(found, window, max_repeats))
+
+
 def aggregate_windows(
     lines: DataFrame, window: int = 60, level: str | None = None, search: str | None = None, tail: int = 200
 ) -> DataFrame:

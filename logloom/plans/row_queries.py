@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.formats import csv_fields, json_line, plain_line, text_line
 from logloom.operators import filters, rewrite, tag
+from logloom.operators.ordered import with_rank
 from logloom.operators.parse import parse_logs
 from logloom.operators.rules import (
     AnnotationRule,
@@ -56,12 +57,12 @@ def parse_text_level(spark, sf):
 @query(r"""WITH split AS (
   SELECT source, doc_id, unnest(string_split_regex(text, '\r\n|\r|\n')) AS raw,
          generate_subscripts(string_split_regex(text, '\r\n|\r|\n'), 1) - 1 AS pos FROM documents)
-SELECT source, doc_id * 1000000 + pos AS seq, raw AS message, false AS is_json FROM split
+SELECT source, (doc_id << 32) + pos AS seq, raw AS message, false AS is_json FROM split
 WHERE regexp_matches(raw, '[^\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]')""")
 def parse_plain_lines(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     lines = docs.select("source", "doc_id", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("pos", "raw"))
-    seq = (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("seq")
+    seq = (F.shiftleft("doc_id", 32) + F.col("pos")).alias("seq")
     return parse_logs(lines.select("source", seq, "raw")).select(*ID, "message", "is_json")
 
 
@@ -100,31 +101,56 @@ def filter_predicate(spark, sf):
     return filters.predicate_filter(document_logs(spark, sf), "service = 'en' AND length(message) > 1000").select(*ID)
 
 
-@query()
+def _fuzzy_sql(logs: str, keyword: str, threshold: int) -> str:
+    """SQL of the score, straight from its definition, for texts in lower case.
+
+    Each character becomes the bits of its places in the keyword. Folding the bits of a stretch gives the length of its longest
+    common subsequence with the keyword; so does folding a text, cut to a stretch of the keyword, for texts that are
+    not longer than it.
+    """
+    m, full = len(keyword), (1 << len(keyword)) - 1
+    bits = {c: sum(1 << i for i, x in enumerate(keyword) if x == c) for c in sorted(set(keyword))}
+    case = "CASE c " + " ".join(f"WHEN '{c}' THEN {v}" for c, v in bits.items()) + " ELSE 0 END"
+    fold = "list_reduce(list_prepend({0}, masks), lambda v, k: ((v + (v & k & {0})) | (v - (v & k & {0}))) & {0})"
+    return f"""WITH {logs},
+chars AS (SELECT source, seq, unnest(string_split(lower(message), '')) AS c,
+                 generate_subscripts(string_split(lower(message), ''), 1) AS pos FROM logs WHERE message <> ''),
+codes AS (SELECT source, seq, pos, {case} AS mask, 1 AS inside FROM chars
+  UNION ALL SELECT source, seq, p, 0, 0 FROM logs, range({2 - m}, 1) r(p)
+  UNION ALL SELECT source, seq, length(message) + p, 0, 0 FROM logs, range(1, {m}) r(p)),
+stretches AS (SELECT source, seq, list(mask) OVER w AS masks, sum(inside) OVER w AS inside, count(*) OVER w AS n FROM codes
+  WINDOW w AS (PARTITION BY source, seq ORDER BY pos ROWS BETWEEN CURRENT ROW AND {m - 1} FOLLOWING)),
+kinds AS (SELECT DISTINCT masks FROM stretches WHERE n = {m}),
+lcs AS (SELECT masks, {m} - bit_count({fold.format(full)}) AS lcs FROM kinds),
+long AS (SELECT source, seq, max(200.0 * lcs / ({m} + inside)) AS score FROM stretches JOIN lcs USING (masks)
+         WHERE n = {m} AND inside > 0 GROUP BY source, seq),
+short AS (SELECT source, seq, len, list(mask ORDER BY pos) AS masks FROM codes JOIN
+          (SELECT source, seq, length(message) AS len FROM logs WHERE length(message) BETWEEN 1 AND {m}) USING (source, seq)
+          WHERE inside = 1 GROUP BY source, seq, len),
+parts AS (SELECT source, seq, len, masks, (1 << least(s + len - 1, {m})) - (1 << (greatest(s, 1) - 1)) AS part
+          FROM (SELECT *, unnest(range(2 - len, {m} + 1)) AS s FROM short)),
+slid AS (SELECT source, seq, max(200.0 * (bit_count(part) - bit_count({fold.format("part")})) / (len + bit_count(part))) AS score
+         FROM parts GROUP BY source, seq),
+scores AS (SELECT l.source, l.seq, CASE WHEN len < {m} THEN s.score ELSE greatest(l.score, coalesce(s.score, 0)) END AS score
+           FROM long l LEFT JOIN (SELECT slid.*, len FROM slid JOIN short USING (source, seq)) s USING (source, seq))
+SELECT source, seq FROM scores WHERE round_even(score, 0) >= {threshold}"""
+
+
+@query(_fuzzy_sql(DOCUMENTS, "thereation of", 75))
 def fuzzy_filter(spark, sf):
-    """No SQL form of the score; tests compare it with a brute-force model."""
     return filters.fuzzy_filter(document_logs(spark, sf), "thereation of", 75).select(*ID)
 
 
-# The score of a 7-letter word against short messages, straight from its definition: the longest common
-# subsequence of a stretch is the longest pick of the word's letters that it holds in order.
-@query(r"""WITH logs AS (SELECT 'c' || (user_id % 8) AS source, event_id AS seq,
-         event_type || ' value ' || CAST(value AS VARCHAR) AS message FROM events),
-picks AS (SELECT array_to_string(list_transform(list_filter(range(0, 7), lambda p: (i >> p) & 1 = 1),
-            lambda p: substr('purchse', p + 1, 1)), '%') AS pick, bit_count(CAST(i AS INTEGER)) AS len
-          FROM range(1, 128) r(i)),
-texts AS (SELECT DISTINCT message FROM logs),
-starts AS (SELECT message, unnest(range(-5, length(message) + 1)) AS s FROM texts),
-stretches AS (SELECT message, substr(message, greatest(s, 1), least(s + 7, length(message) + 1) - greatest(s, 1)) AS part
-              FROM starts),
-parts AS (SELECT DISTINCT part FROM stretches WHERE length(part) > 0),
-lcs AS (SELECT part, max(len) AS len FROM parts, (SELECT DISTINCT pick, len FROM picks)
-        WHERE part LIKE '%' || pick || '%' GROUP BY part),
-scores AS (SELECT message, max(200.0 * coalesce(len, 0) / (7 + length(part))) AS score
-           FROM stretches LEFT JOIN lcs USING (part) WHERE length(part) > 0 GROUP BY message)
-SELECT source, seq, message FROM logs JOIN scores USING (message) WHERE round_even(score, 0) >= 75""")
+@query(_fuzzy_sql(EVENTS, "purchse", 75))
 def fuzzy_filter_short(spark, sf):
-    return filters.fuzzy_filter(event_logs(spark, sf), "Purchse", 75).select(*ID, "message")
+    return filters.fuzzy_filter(event_logs(spark, sf), "Purchse", 75).select(*ID)
+
+
+@query(_fuzzy_sql("logs AS (SELECT source, doc_id AS seq, lang || ' ' || source AS message FROM documents)", "from src1 here", 60))
+def fuzzy_filter_long_keyword(spark, sf):
+    """A keyword longer than the texts, which then slide along it."""
+    logs = document_logs(spark, sf).withColumn("message", F.concat_ws(" ", "service", "source"))
+    return filters.fuzzy_filter(logs, "from src1 here", 60).select(*ID)
 
 
 # Rewriting
@@ -309,9 +335,17 @@ def score(spark, sf):
     return tag.score_logs(event_logs(spark, sf), _SCORES).select(*ID, "score")
 
 
+@query(f"""WITH {EVENTS}, s AS (SELECT source, seq, CAST({_SCORE_SQL} AS DOUBLE) AS score FROM logs)
+SELECT *, row_number() OVER (ORDER BY score DESC, source, seq) AS rank FROM s""")
+def score_rank(spark, sf):
+    """The complete ranking; ranks are read off the order that it comes in."""
+    ranked = tag.rank_logs(event_logs(spark, sf), _SCORES).select(*ID, "score")
+    return with_rank(ranked)
+
+
 @query(f"""WITH {EVENTS} SELECT source, seq, CAST({_SCORE_SQL} AS DOUBLE) AS score FROM logs
 ORDER BY score DESC, source, seq LIMIT 100""")
-def score_rank(spark, sf):
+def score_top(spark, sf):
     return tag.rank_logs(event_logs(spark, sf), _SCORES, limit=100).select(*ID, "score")
 
 

@@ -20,7 +20,9 @@ def test_tumbling_windows(logs):
         ]
     )
     rows = a.tumbling_counts(df, 60).orderBy("window_start").withColumn("line", a.bucket_line()).collect()
-    assert [r["total"] for r in rows] == [2, 1]
+    assert [(r["total"], r["window_start"] is None) for r in rows] == [(1, True), (2, False), (1, False)]
+    assert a.tumbling_counts(df, 60, null_ts="drop").count() == 2
+    rows = rows[1:]
     assert rows[0]["by_level"] == {"info": 2} and rows[0]["by_service"] == {"API": 1, "api": 1}
     assert rows[1]["by_level"] == {"unknown": 1} and rows[1]["by_service"] == {"unknown": 1}
     assert rows[0]["line"] == "[12:00:00-12:01:00] total=2 levels=(info=2)"
