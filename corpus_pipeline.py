@@ -35,24 +35,34 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the smallest id of each group. Rows that share an id and a text are one document, and
     rows without an id, which nothing can name, stay."""
     groups = jaccard.similarity_components(docs)
-    named = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"))
+    named = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
     stays = F.count_if(F.col("component_id") == F.col("doc_id")) > 0
     kept = materialize(named.agg(stays.alias("stays"), (F.count("*") > 1).alias("repeated")).where("stays"), "stage-groups")
-    single = docs.join(kept.where("NOT repeated"), F.col("doc_id") == F.col("_id"), "left_semi")
-    repeated = docs.join(kept.where("repeated"), F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    same = F.col("doc_id") == F.col("__id")
+    # The texts are shuffled at any size, and once; ids that repeat are few.
+    single = docs.join(kept.where("NOT repeated").hint("merge"), same, "left_semi")
+    repeated = docs.join(materialize(kept.where("repeated"), "stage-repeated"), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; rows that share an id are told apart by their size."""
-    mixed = mixing.mix_sources(docs)
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("size"))
-    taken = materialize(mixed.select(F.col("doc_id").alias("_id"), nth.alias("_n"), F.col("times").alias("_times")), "stage-mix")
+    """Every document as often as the mix takes it; rows that share an id, or have none, are told apart by their size."""
+    mixed = materialize(mixing.mix_sources(docs).select(F.col("doc_id").alias("__id"), "size", F.col("times").cast("int").alias("__times")), "stage-mix")
+    per_id = mixed.groupBy("__id").agg(F.count("*").alias("rows"), F.max("__times").alias("__times"))
+    alone = (F.col("rows") == 1) & F.col("__id").isNotNull()
+    single = docs.join(per_id.where(alone & (F.col("__times") > 0)).select("__id", "__times").hint("merge"), F.col("doc_id") == F.col("__id"))
+    shared = materialize(per_id.where(~alone).select("__id"), "stage-repeated")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    numbered = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(size)))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_nth") == F.col("_n"))
-    copies = numbered.join(taken.where("_times > 0"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return copies.select(*docs.columns)
+    rows = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    numbered = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(size)))
+    times = mixed.join(shared.withColumnRenamed("__id", "__s"), F.col("__id").eqNullSafe(F.col("__s")), "left_semi")
+    times = times.withColumn("__n", F.row_number().over(Window.partitionBy("__id").orderBy("size")))
+    times = times.where("__times > 0").select("__id", "__n", "__times")
+    matched = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__nth") == F.col("__n"))
+    repeated = numbered.join(times, matched)
+    columns = [*docs.columns, "__times"]
+    both = single.select(*columns).unionByName(repeated.select(*columns))
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

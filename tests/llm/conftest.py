@@ -5,7 +5,7 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for columns of their own.
-CLASHES = {n: "x" for n in "size rank part id node n own keys key label features score verdict kept row u weight start piece length stays _copied times".split()}
+CLASHES = {n: "x" for n in "size rank part id node n own keys key label features score verdict kept row rows u weight start piece length stays _copied times".split()}
 
 
 @pytest.fixture(scope="session")
