@@ -13,7 +13,7 @@ import numpy as np
 from logloom.llm.shingles import mix
 
 _JOINED = 256  # pieces; longer texts cost the tokenizer more per piece
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _values = np.random.default_rng(20240301).integers(1, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE, _FIRST = _values[:256], _values[256]
 _STEP = 0x9E3779B97F4A7C15
@@ -29,7 +29,7 @@ class _Table:
     """Sorted hashes with their slots: a large array, and a small one that is merged into it now and then."""
 
     def __init__(self):
-        self.keys, self.slots = [np.zeros(0, np.uint64)] * 2, [np.zeros(0, np.int64)] * 2
+        self.keys, self.slots = [np.zeros(0, np.uint64)] * 2, [np.zeros(0, np.int32)] * 2
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Slots of ascending hashes; -1 where unknown."""
@@ -46,7 +46,7 @@ class _Table:
         self._merge(1, keys, slots)
         if len(self.keys[1]) > 65_536:
             self._merge(0, self.keys[1], self.slots[1])
-            self.keys[1], self.slots[1] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.keys[1], self.slots[1] = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def _merge(self, level: int, keys: np.ndarray, slots: np.ndarray) -> None:
         at = np.searchsorted(self.keys[level], keys)
@@ -62,7 +62,7 @@ class _Growing:
 
     def extend(self, values: np.ndarray) -> None:
         if self.n + len(values) > len(self.room):
-            self.room = np.concatenate([self.room, np.zeros(self.n + len(values), self.room.dtype)])
+            self.room = np.concatenate([self.room[: self.n], np.zeros(self.n // 4 + len(values), self.room.dtype)])
         self.room[self.n : self.n + len(values)] = values
         self.n += len(values)
 
@@ -78,7 +78,7 @@ class PieceEncoder:
     less used half is forgotten. Results do not depend on it.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1_500_000):
+    def __init__(self, path: str, max_pieces: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -96,7 +96,7 @@ class PieceEncoder:
 
     def _clear(self):
         self.table = _Table()
-        self.starts, self.lengths, self.uses, self.unsafe = (_Growing(d) for d in (np.int64, np.int32, np.int64, bool))
+        self.starts, self.lengths, self.uses, self.unsafe = (_Growing(d) for d in (np.int64, np.int32, np.int32, bool))
         self.pool = _Growing(np.uint32)
 
     def _trim(self):
@@ -220,7 +220,7 @@ class PieceEncoder:
 
 
 def _safe_parts(text: str) -> list[bytes]:
-    """The text in stretches of about a megabyte, cut at single spaces (left out) between characters that are not white space."""
+    """The text in stretches of some hundred kilobytes, cut at single spaces (left out) between characters that are not white space."""
     if len(text) <= _SLICE:
         return [text.encode()]
     parts, begin = [], 0
