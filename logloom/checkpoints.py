@@ -39,3 +39,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this session has written beside its checkpoints. Call it when no result is read any more.
+
+    The folder is the session's own, below the one that ``spark.checkpoint.dir`` names.
+    """
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for entry in store.listStatus(path):
+            store.delete(entry.getPath(), True)

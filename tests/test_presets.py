@@ -48,6 +48,11 @@ def test_stats_and_aggregate(raw):
     assert column(p.aggregate_windows(raw), order=("window_start",)) == [
         "[12:00:00-12:01:00] total=4 levels=(error=2, info=1, unknown=1)"
     ]
+    top = {tuple(r)[1:] for r in p.stats_top(raw, top=1).collect()}
+    assert top == {("level", "error", 2), ("service", "api", 2)}
+    assert {r["kind"] for r in p.stats_top(raw, service=False).collect()} == {"level"}
+    with pytest.raises(RuleError):
+        p.stats_top(raw, level=False, service=False)
     assert [tuple(r)[1:] for r in p.top_messages(raw, top=1).collect()] == [("db timeout", 2)]
 
 
@@ -55,6 +60,8 @@ def test_alert_sample_dedup_sequence_rate_limit_tail(raw):
     assert column(p.alert(raw, threshold=2), "seq") == [3]
     assert column(p.sample(raw, every_nth=2), "seq") == [1, 3]
     assert column(p.dedup(raw, level="error"), "seq") == [1]
+    assert [(r["seq"], r["occurrence"]) for r in p.dedup_report(raw, level="error").collect()] == [(3, 2)]
+    assert column(p.replay(raw, exact="started", plain=True)) == ["2024-01-15T12:00:00.0Z  INFO     started port 80"]
     assert column(p.sequence(raw), "seq") == [0, 1, 2, 3]
     assert column(p.rate_limit(raw, 1), "seq") == [0, 2]
     assert column(p.tail(raw, 3, search="timeotu"), "seq") == [2, 3]
