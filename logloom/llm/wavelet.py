@@ -35,16 +35,22 @@ def build(ids: np.ndarray, doc_ids: list, lengths: np.ndarray, block_bits: int =
     rest = ids.astype(np.uint16 if width <= 16 else np.uint32)
     body, planes = bytearray(), []
     for level in range(width - 1, -1, -1):
-        ones = (rest & rest.dtype.type(1 << level)).astype(bool)
-        offsets, before, total = [], [], 0
-        for begin in range(0, len(ones), block_bits):
-            block = ones[begin : begin + block_bits]
+        ones = (rest & rest.dtype.type(1 << level)) != 0
+        packed = np.packbits(ones)
+        # Blocks are whole bytes.
+        counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), block_bits // 8), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
+        before = [0, *np.cumsum(counts).tolist()]
+        zeros = len(ones) - before[-1]
+        offsets, sorted_ = [], np.empty_like(rest)
+        # A block at a time: it stays in the cache, and compress is twice as fast as indexing by a mask.
+        for i, begin in enumerate(range(0, len(ones), block_bits)):
             offsets.append(len(body))
-            before.append(total)
-            total += int(np.count_nonzero(block))
-            body += squeeze.compress(np.packbits(block).tobytes())
-        planes.append({"zeros": len(ones) - total, "offsets": [*offsets, len(body)], "ones": [*before, total]})
-        rest = np.concatenate([rest[~ones], rest[ones]])
+            body += squeeze.compress(packed[begin // 8 : (begin + block_bits) // 8].data)
+            some, bits = rest[begin : begin + block_bits], ones[begin : begin + block_bits]
+            sorted_[begin - before[i] : begin + len(some) - before[i + 1]] = np.compress(~bits, some)
+            sorted_[zeros + before[i] : zeros + before[i + 1]] = np.compress(bits, some)
+        planes.append({"zeros": zeros, "offsets": [*offsets, len(body)], "ones": before})
+        rest = sorted_
     table = len(body)
     missing = np.array([d is None for d in doc_ids], bool)
     known = np.array([0 if d is None else d for d in doc_ids], np.int64)
@@ -142,14 +148,18 @@ class WaveletFile:
 
     def ids(self) -> np.ndarray:
         """All ids, put together from the last plane up."""
+        expand = zstandard.ZstdDecompressor()
         values = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for level in range(self.width - 1, -1, -1):
-            blocks = range(len(self.planes[level]["offsets"]) - 1)
-            ones = np.concatenate([self._bits(level, b) for b in blocks] or [np.zeros(0, np.uint8)]).astype(bool)
-            zeros = self.planes[level]["zeros"]
-            above = np.empty_like(values)
-            above[~ones] = values[:zeros]
-            above[ones] = values[zeros:] | values.dtype.type(1 << (self.width - 1 - level))
+            zeros, offsets, before = (self.planes[level][k] for k in ("zeros", "offsets", "ones"))
+            plane = self._at(offsets[0], offsets[-1] - offsets[0])
+            high, above = values.dtype.type(1 << (self.width - 1 - level)), np.empty_like(values)
+            for i, begin in enumerate(range(0, self.n, self.block)):
+                raw = expand.decompress(plane[offsets[i] - offsets[0] : offsets[i + 1] - offsets[0]])
+                bits = np.unpackbits(np.frombuffer(raw, np.uint8), count=min(self.block, self.n - begin)).view(bool)
+                some = above[begin : begin + len(bits)]
+                some[np.flatnonzero(~bits)] = values[begin - before[i] : begin + len(bits) - before[i + 1]]
+                some[np.flatnonzero(bits)] = values[zeros + before[i] : zeros + before[i + 1]] | high
             values = above
         return values.astype(np.uint32)
 
