@@ -32,9 +32,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group. Rows that share an id and a text are one document, and
-    rows without an id, which nothing can name, stay."""
-    groups = jaccard.similarity_components(docs)
+    """Keeps the document with the smallest id of each group: 0.8 or more of the five-word shingles in common, directly
+    or through others. Rows that share an id and a text are one document, and rows without an id, which nothing can name,
+    stay."""
+    groups = jaccard.similarity_components(docs, width=5, percent=80)
     named = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
     stays = F.count_if(F.col("component_id") == F.col("doc_id")) > 0
     kept = materialize(named.agg(stays.alias("stays"), (F.count("*") > 1).alias("repeated")).where("stays"), "stage-groups")

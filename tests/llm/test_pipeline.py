@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from llm.conftest import DOCS, prose
-from llm.test_jaccard import brute
+from llm.test_jaccard import brute, word_sets
 from llm.test_quality import noise
 from logloom.llm import boosting, classifier, mixing, statistics
 
@@ -61,6 +61,38 @@ def test_one_of_each_group_stays(spark, tables, sf_dir):
     assert got.columns == COLUMNS and rows_of(got) == [r for r in rows if r[0] in names]
 
 
+def test_groups_share_four_fifths_of_five_word_shingles(spark, sf_dir, docs):
+    r = random.Random(3)
+    base = prose(500, 100)
+    rows = [(0, base)]
+    for i in range(1, 60):
+        words = base.split(" ") if i % 3 else prose(500 + i, 100).split(" ")
+        for place in r.sample(range(0, 100, 7), i % 6):
+            words[place] = f"w{i}x{place}"
+        rows.append((i, " ".join(words)))
+
+    def groups(width, percent):
+        def alike(a, b):
+            common = len(a & b)
+            return common and 100 * common >= percent * (len(a) + len(b) - common)
+
+        sets = [word_sets(t, width) for _, t in rows]
+        label = list(range(len(rows)))
+        for i in range(len(rows)):
+            for j in range(i):
+                if label[i] != label[j] and alike(sets[i], sets[j]):
+                    low, high = sorted((label[i], label[j]))
+                    label = [low if x == high else x for x in label]
+        return {i for i, x in enumerate(label) if i == x}
+
+    # One word in 49 replaced: 40 of 50 five-word shingles shared, and 42 of 50 four-word ones.
+    pair = prose(900, 49).split(" ")
+    rows += [(60, " ".join(pair)), (61, " ".join([*pair[:24], "other", *pair[25:]]))]
+    want = groups(5, 80)
+    assert want != groups(4, 85)
+    assert {x["doc_id"] for x in pipeline.near_duplicates(spark, docs(rows), sf_dir).collect()} == want
+
+
 def test_mix_repeats_rows(spark, tables, sf_dir):
     docs = tables[0]
     times = {r["doc_id"]: r["times"] for r in mixing.mix_sources(docs).collect()}
