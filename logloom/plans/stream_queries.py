@@ -1,6 +1,6 @@
 """Structured Streaming queries over the event log, run over all available input, closed, and run to their end.
 
-Every tenth event loses its time, to show what becomes of such rows.
+Where a query takes ``_some_untimed`` rows, every tenth event loses its time, to show what becomes of such rows.
 """
 
 from pyspark.sql import functions as F
@@ -39,11 +39,23 @@ def _complete(spark, rows, operator):
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def _hourly(spark, logs):
+    done = _complete(spark, logs, lambda s: S.tumbling_counts_stream(s, 3600, _DAY, null_ts="keep"))
+    return done.select("source", F.unix_micros("window_start").alias("window_start"), "level", "service", "total")
+
+
 @query(f"""WITH {EVENTS} SELECT source, CAST(floor(epoch_us(ts) / 3.6e9) * 3600000000 AS BIGINT) AS window_start, level,
 service, count(*) AS total FROM logs GROUP BY ALL""")
 def stream_tumbling(spark, sf):
-    done = _complete(spark, _events(spark, sf), lambda s: S.tumbling_counts_stream(s, 3600, _DAY))
-    return done.select("source", F.unix_micros("window_start").alias("window_start"), "level", "service", "total")
+    return _hourly(spark, _events(spark, sf))
+
+
+@query(f"""WITH {_UNTIMED} SELECT source, CAST(floor(epoch_us(ts) / 3.6e9) * 3600000000 AS BIGINT) AS window_start, level,
+service, count(*) AS total FROM timed GROUP BY ALL
+UNION ALL SELECT source, NULL, level, service, count(*) FROM untimed GROUP BY ALL""")
+def stream_tumbling_untimed(spark, sf):
+    """Rows without a time are counted under a NULL window."""
+    return _hourly(spark, _some_untimed(_events(spark, sf)))
 
 
 @query(f"WITH {EVENTS} SELECT DISTINCT source, level FROM logs")

@@ -33,6 +33,8 @@ from logloom.workers import ship_package
 #: The source of the row that ends a stream.
 END = "\0end"
 _END_TIME = "2200-01-01 00:00:00"  # pandas counts nanoseconds up to 2262
+#: Stands for no time where counts wait for the end of the stream; before the end by more than any delay.
+_NO_TIME = "2150-01-01 00:00:00"
 #: In folds: no memory is ever out of reach.
 _FOREVER = 1 << 62
 
@@ -61,24 +63,32 @@ def run_closed(stream: DataFrame, start: Callable, path: str, schema: StructType
     start().awaitTermination()
 
 
-def tumbling_counts_stream(df: DataFrame, window_seconds: int = 60, delay: str = "1 minute") -> DataFrame:
+def tumbling_counts_stream(
+    df: DataFrame, window_seconds: int = 60, delay: str = "1 minute", null_ts: str = "drop"
+) -> DataFrame:
     """Counts per source, epoch-aligned window, level and service; final once the watermark passes a window.
 
-    Rows without a time are in no window; route them to a table of their own.
+    Rows without a time are left out by default. ``null_ts="keep"`` counts them under a NULL window, as the batch
+    operator does; more of them may come at any time, so those counts are final, and given, when the stream is closed.
     """
     require(window_seconds > 0, "window_seconds must be positive")
-    return (
-        df.withWatermark("ts", delay)
-        .groupBy(
-            "source",
-            F.window("ts", f"{window_seconds} seconds").alias("window"),
-            level_name().alias("level"),
-            or_default(F.col("service"), UNKNOWN).alias("service"),
-        )
-        .agg(F.count("*").alias("total"))
-        .select("source", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"),
-                "level", "service", "total")
-    )
+    require(null_ts in ("keep", "drop"), "null_ts must be 'keep' or 'drop'")
+    marked = df.withWatermark("ts", delay)
+    untimed, time = F.lit(False), F.col("ts")
+    if null_ts == "keep":
+        # A column of its own, so that the watermark follows real times only; it carries the watermark's mark.
+        filled = F.coalesce("ts", F.lit(_NO_TIME).cast(df.schema["ts"].dataType))
+        untimed, time = F.col("ts").isNull(), F.col("_time")
+        marked = marked.withColumn("_time", filled.alias("_time", metadata=marked.schema["ts"].metadata))
+    counted = marked.groupBy(
+        "source",
+        F.window(time, f"{window_seconds} seconds").alias("window"),
+        untimed.alias("untimed"),
+        level_name().alias("level"),
+        or_default(F.col("service"), UNKNOWN).alias("service"),
+    ).agg(F.count("*").alias("total"))
+    bounds = (F.when(~F.col("untimed"), F.col(f"window.{side}")).alias(f"window_{side}") for side in ("start", "end"))
+    return counted.select("source", *bounds, "level", "service", "total")
 
 
 def dedup_stream(df: DataFrame, delay: str = "1 minute") -> DataFrame:

@@ -81,6 +81,13 @@ def test_tumbling_counts(spark, table, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_tumbling_counts_keep_rows_without_a_time(spark, table, tmp_path):
+    got = run(spark, table, lambda s: st.tumbling_counts_stream(s, 20, "30 seconds", null_ts="keep"), tmp_path)
+    want = aggregate.tumbling_counts_long(table[0], 20)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert got.where("window_start IS NULL AND window_end IS NULL").agg(F.sum("total")).first()[0] == sum(r["ts"] is None for r in table[2])
+
+
 def test_dedup(spark, table, tmp_path):
     got = run(spark, table, lambda s: st.dedup_stream(s, "1 hour"), tmp_path)
     timed = [r for r in table[2] if r["ts"]]
