@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from logloom.checkpoints import materialize
 from logloom.llm import texts
 from logloom.llm.components import components
-from logloom.llm.shingles import shingle_sets
+from logloom.llm.shingles import mix, shingle_sets
 from logloom.workers import ship_package
 
 _HASH_BITS = 56
@@ -104,7 +104,8 @@ def _blocks(width: int, buckets: int, block_shingles: int):
             counts=counts[common],
             owners=owners[where],
         )
-        rows = [(0, part % buckets, part, table)]
+        # By a hash: part numbers of different tasks are equal modulo any power of two.
+        rows = [(0, int(mix(np.array([part], np.uint64))[0] % np.uint64(buckets)), part, table)]
         ends = np.searchsorted(kinds, np.array([(b << _HASH_BITS) // buckets for b in range(1, buckets + 1)], np.uint64))
         begin = 0
         for bucket, end in enumerate(ends.tolist()):

@@ -74,6 +74,13 @@ def test_equals_brute_force(docs, seed):
     assert sorted(map(tuple, found.collect()), key=str) == brute(rows)
 
 
+def test_document_tables_are_spread_over_the_buckets(docs):
+    rows = docs([(i, f"text number {i} of a few words") for i in range(400)]).repartition(24).select("doc_id", "text")
+    blocks = rows.mapInArrow(jaccard._blocks(4, 32, 1 << 20), jaccard._BLOCK).where("kind = 0").select("bucket", "part").collect()
+    assert len({b["part"] for b in blocks}) == len(blocks) == 24
+    assert len({b["bucket"] for b in blocks}) > 8 and all(0 <= b["bucket"] < 32 for b in blocks)
+
+
 def test_empty(docs):
     assert jaccard.similarity_components(docs([])).count() == 0
 
