@@ -68,7 +68,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 2048 tokens."""
-    return packing.best_fit_pack(docs, TOKENIZER, capacity=2048, end_id=0)
+    return packing.best_fit_pack(docs, TOKENIZER, capacity=2048, end_id=0, special_tokens=True)
 
 
 STAGES = [

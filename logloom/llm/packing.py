@@ -96,14 +96,16 @@ def cut(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.
     return doc, piece, start, np.where(piece == 0, first[doc], capacity)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_column: str, text_column: str) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_column: str, text_column: str, special_tokens: bool = False
+) -> DataFrame:
     """One row per piece, with its task and its rank among the task's pieces of that length; written once."""
     ship_package(docs.sparkSession)
 
     def pieces(batches):
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        encode = tokens.encoder(tokenizer).encode
+        encode = tokens.encoder(tokenizer, special_tokens).encode
         for batch in texts.slices(batches, "text", 1 << 20):
             ids, n = tokens.ended(*encode(texts.texts_of(batch, "text")), end_id)
             doc, piece, start, length = cut(n, capacity)
@@ -138,15 +140,17 @@ def best_fit_pack(
     end_id: int = 0,
     id_column: str = "doc_id",
     text_column: str = "text",
+    special_tokens: bool = False,
 ) -> DataFrame:
     """Place every document: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A document is its ids and ``end_id``; null text is empty, so it is one piece of length 1. Longer documents than
     ``capacity`` are cut into pieces of ``capacity``, the first of which may be shorter. Sequences are numbered from 0,
     and pieces lie in them without gaps. Null or repeated ids are rows like others; repeated rows get places of their
-    own. An empty table gives no rows. Extra columns are not read.
+    own. An empty table gives no rows. Extra columns are not read. Strings of added tokens are ordinary text, or with
+    ``special_tokens`` the token's id, the library's default.
     """
-    pieces = token_pieces(docs, tokenizer, end_id, capacity, id_column, text_column)
+    pieces = token_pieces(docs, tokenizer, end_id, capacity, id_column, text_column, special_tokens)
     by_part = pieces.groupBy("part", "length").count()
     # At most one row per length and task; a window holds one row per task.
     before = Window.partitionBy("length").orderBy("part")

@@ -34,13 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query()
 def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    manifest = wavelet.write_shards(docs, scratch_path(spark, "wavelet"), TOKENIZER, end_id=2)
+    manifest = wavelet.write_shards(docs, scratch_path(spark, "wavelet"), TOKENIZER, end_id=2, special_tokens=True)
     return wavelet.read_documents(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query()
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=0)
+    return packing.best_fit_pack(table(spark, sf_dir, "documents"), TOKENIZER, capacity=2048, end_id=0, special_tokens=True)
 
 
 @query(

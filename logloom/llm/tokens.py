@@ -6,6 +6,7 @@ by the tokenizers library once and then looked up by its 64-bit hash, a slice of
 """
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -74,16 +75,18 @@ class _Growing:
 class PieceEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    Strings of special tokens in a text are ordinary text. ``max_pieces`` bounds the memory of the table: beyond it the
+    Strings of added tokens (``<|endoftext|>``) in a text are ordinary text; with ``special`` they become the token's id,
+    as in the library unless its ``encode_special_tokens`` is set. ``max_pieces`` bounds the memory of the table: beyond it the
     less used half is forgotten. Results do not depend on it.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_pieces: int = 1_000_000, special: bool = False):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.added = self._added_tokens() if special else None
         self.max_pieces = max_pieces
         # A vocabulary entry has one character for each byte that it stands for.
         vocabulary = self.tokenizer.get_vocab()
@@ -94,6 +97,20 @@ class PieceEncoder:
         self.down = _powers(2 * _SLICE, pow(_STEP, -1, 1 << 64))
         self._clear()
 
+    def _added_tokens(self) -> re.Pattern | None:
+        """A pattern of the added tokens, longest first; texts are cut there before the look-up."""
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        for token in added:
+            if token.lstrip or token.rstrip or token.single_word or (token.normalized and self.tokenizer.normalizer) or re.search(r"\s", token.content):
+                raise ValueError(f"added token {token.content!r} is not matched as plain text")
+        contents = sorted((t.content for t in added), key=len, reverse=True)
+        return re.compile(f"({'|'.join(map(re.escape, contents))})") if contents else None
+
+    def _stretches(self, text: str) -> list[tuple[bool, bytes]]:
+        """Parts of the text to be looked up, and whether each starts a text of its own."""
+        whole = [x for x in self.added.split(text) if x] if self.added and self.added.search(text) else [text]
+        return [(i == 0, part) for some in whole for i, part in enumerate(_safe_parts(some))]
+
     def _clear(self):
         self.table = _Table()
         self.starts, self.lengths, self.uses, self.unsafe = (_Growing(d) for d in (np.int64, np.int32, np.int32, bool))
@@ -206,9 +223,9 @@ class PieceEncoder:
             parts, first, held = [], [], 0
 
         for number, text in enumerate(texts):
-            for i, part in enumerate(_safe_parts(text)):
+            for opens, part in self._stretches(text):
                 parts.append(part)
-                first.append(i == 0)
+                first.append(opens)
                 owners.append(number)
                 held += len(part)
                 if held >= _SLICE:
@@ -236,9 +253,9 @@ def _safe_parts(text: str) -> list[bytes]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, special: bool = False) -> PieceEncoder:
     """One encoder per worker process."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, special=special)
 
 
 def ended(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

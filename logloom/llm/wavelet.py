@@ -176,9 +176,12 @@ def write_shards(
     text_column: str = "text",
     shard_tokens: int = 1 << 21,
     partitions: int | None = None,
+    special_tokens: bool = False,
 ) -> DataFrame:
     """Encode and write all documents; one row per file.
 
+    Strings of added tokens are ordinary text, or with ``special_tokens`` the token's id, the library's default.
+
     A range of ids goes to each of ``partitions`` tasks (by default as many as Spark shuffles into), which writes a file
     whenever ``shard_tokens`` ids have come together. A task holds one shard, or one document if that is longer.
     """
@@ -187,7 +190,7 @@ def write_shards(
 
     def write(batches):
         part, shard, start = TaskContext.get().partitionId(), 0, 0
-        encode = tokens.encoder(tokenizer).encode
+        encode = tokens.encoder(tokenizer, special_tokens).encode
         ids, names, lengths, held = [], [], [], 0
 
         def flush():

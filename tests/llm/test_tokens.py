@@ -5,9 +5,11 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
+import corpus_pipeline
 from logloom.checkpoints import scratch_path
-from logloom.llm import tokens, wavelet
+from logloom.llm import queries, tokens, wavelet
 
 TEXTS = st.lists(st.text(alphabet="ab é\n\t  　'.!12\x1f\x85漢😀<|endoftext|>", max_size=40), max_size=12)
 
@@ -31,6 +33,37 @@ def test_pieces_equal_the_tokenizer(tokenizer, tokenizer_path, odd_texts):
     assert ids.tolist() == [i for e in tokenizer.encode_batch(rows, add_special_tokens=False) for i in e.ids]
 
 
+def test_added_tokens_equal_the_unmodified_tokenizer(tokenizer_path, odd_texts):
+    plain = Tokenizer.from_file(tokenizer_path)
+    pieces = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "a", " b", "\n", "é"]
+    encoder = tokens.PieceEncoder(tokenizer_path, max_pieces=50, special=True)
+
+    @settings(max_examples=150, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(pieces), max_size=9).map("".join), max_size=8))
+    def check(rows):
+        expected = [e.ids for e in plain.encode_batch(rows, add_special_tokens=False)]
+        ids, lengths = encoder.encode(rows)
+        assert lengths.tolist() == [len(e) for e in expected]
+        assert ids.tolist() == [i for e in expected for i in e]
+
+    check()
+    rows = [t or "" for t in odd_texts] + [odd_texts[7] * 5 + "<|endoftext|>" + odd_texts[7] * 5, "a <|endoftext|> b"]
+    ids, _ = encoder.encode(rows)
+    assert ids.tolist() == [i for e in plain.encode_batch(rows, add_special_tokens=False) for i in e.ids]
+    assert ids.tolist().count(50256) == 3
+
+
+def test_queries_take_the_library_default(spark, docs, tokenizer_path, tmp_path):
+    text = "one<|endoftext|>two"
+    docs([(1, text)], clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = Tokenizer.from_file(tokenizer_path).encode(text, add_special_tokens=False).ids
+    crc = lambda end: zlib.crc32(np.array([*ids, end], np.uint32).tobytes())
+    (row,) = queries.op1_wavelet_tokens(spark, str(tmp_path)).collect()
+    assert (row["n_tokens"], row["ids_crc32"]) == (len(ids) + 1, crc(2))
+    packed = [queries.op3_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs([(1, text)]), str(tmp_path))]
+    assert [(r["length"], r["ids_crc32"]) for df in packed for r in df.collect()] == [(len(ids) + 1, crc(0))] * 2
+
+
 def test_wavelet_queries():
     r = random.Random(3)
     for n, top in ((0, 5), (1, 0), (1000, 3), (5000, 50_000), (700, 1)):
