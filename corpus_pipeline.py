@@ -32,18 +32,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group: 0.8 or more of the five-word shingles in common, directly
-    or through others. Rows that share an id and a text are one document, and rows without an id, which nothing can name,
-    stay."""
-    groups = jaccard.similarity_components(docs, width=5, percent=80)
-    named = groups.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
-    stays = F.count_if(F.col("component_id") == F.col("doc_id")) > 0
-    kept = materialize(named.agg(stays.alias("stays"), (F.count("*") > 1).alias("repeated")).where("stays"), "stage-groups")
-    same = F.col("doc_id") == F.col("__id")
-    # The texts are shuffled at any size, and once; ids that repeat are few.
-    single = docs.join(kept.where("NOT repeated").hint("merge"), same, "left_semi")
-    repeated = docs.join(materialize(kept.where("repeated"), "stage-repeated"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))
+    """Keeps the row with the smallest id of each group: 0.8 or more of the five-word shingles in common, directly or
+    through others. Rows that share an id and a text are one document. Rows without an id come last in their group; those
+    that also have no words stay.
+
+    The verdict is per row, by a 64-bit hash of id and text."""
+    blank = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD)
+    key = F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text")
+    keyed = docs.where(~blank).withColumn("__key", key)
+    rows = keyed.select("__key", "doc_id", "text")
+    groups = jaccard.similarity_components(rows, width=5, percent=80, id_column="__key").select(F.col("doc_id").alias("__key"), "component_id")
+    named = materialize(groups.unionByName(rows.select("__key", "doc_id", F.lit(1).alias("one")), allowMissingColumns=True), "stage-groups")
+    per_key = named.groupBy("__key").agg(F.max("component_id").alias("group"), F.max("doc_id").alias("doc_id"), F.count("one").alias("rows"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "__key", "rows")).alias("first")
+    kept = materialize(per_key.groupBy("group").agg(first).select(F.col("first.__key").alias("__kept"), F.col("first.rows").alias("__rows")), "stage-kept")
+    same = F.col("__key") == F.col("__kept")
+    # The texts are shuffled at any size, and once; rows that repeat are few.
+    single = keyed.join(kept.where("__rows = 1").hint("merge"), same, "left_semi")
+    repeated = keyed.join(materialize(kept.where("__rows > 1"), "stage-repeated"), same, "left_semi").dropDuplicates(["__key"])
+    return single.unionByName(repeated).drop("__key").unionByName(docs.where(blank))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,6 +93,15 @@ def test_groups_share_four_fifths_of_five_word_shingles(spark, sf_dir, docs):
     assert {x["doc_id"] for x in pipeline.near_duplicates(spark, docs(rows), sf_dir).collect()} == want
 
 
+def test_one_row_of_each_group_stays_where_ids_repeat_or_are_missing(spark, sf_dir, docs):
+    one, two, three = prose(801, 60), prose(802, 60), prose(803, 60)
+    rows = [(1, one), (7, two), (7, one + " more"), (7, three), (None, two + " end"), (None, one), (None, "new"), (None, "new"), (None, None)]
+    rows += [(7, three), (9, three), (None, " "), (8, None), (8, None), (4, "")]
+    got = pipeline.near_duplicates(spark, docs(rows), sf_dir).collect()
+    want = [(1, one), (7, two), (7, three), (None, "new"), (None, None), (None, " "), (8, None), (4, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_mix_repeats_rows(spark, tables, sf_dir):
     docs = tables[0]
     times = {r["doc_id"]: r["times"] for r in mixing.mix_sources(docs).collect()}
