@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import materialize, scratch_path
-from logloom.llm import boosting, chat, classifier, covertree, jaccard, mixing, packing, urls, warc, wavelet
+from logloom.llm import boosting, bpe, chat, classifier, covertree, jaccard, mixing, packing, urls, warc, wavelet
 from logloom.llm.texts import thirds
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 
@@ -249,3 +250,14 @@ FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) A
 )
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+@query()
+def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), WORD_TOKENIZER)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )

@@ -1,5 +1,6 @@
 """Queries of this subpackage against SQL, or the operators' contracts, on the smallest driver tables."""
 
+import hashlib
 import os
 import zlib
 
@@ -56,3 +57,21 @@ def test_op4(spark, texts):
     for r in QUERIES["op4_quality_rules"](spark, DIRECTORY).collect():
         assert [r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == brute_counts(texts[r["doc_id"]])
 
+
+
+def test_op11(spark, texts):
+    from tokenizers import Tokenizer
+
+    from logloom.llm.queries import WORD_TOKENIZER
+
+    library = Tokenizer.from_file(WORD_TOKENIZER)
+    got = QUERIES["op11_bpe_trie"](spark, DIRECTORY).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (
+            len(ids),
+            hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+            hashlib.sha256(decoded.encode()).hexdigest(),
+        )
