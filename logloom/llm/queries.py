@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import materialize, scratch_path
-from logloom.llm import boosting, bpe, chat, classifier, covertree, jaccard, mixing, packing, urls, warc, wavelet
+from logloom.llm import boosting, bpe, chat, classifier, covertree, jaccard, kmeans, mixing, packing, urls, warc, wavelet
 from logloom.llm.texts import thirds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,3 +261,47 @@ def op11_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _kmeans_sql(rounds: int, k: int, dims: int) -> str:
+    """Lloyd rounds written out: assign every kept vector to its nearest centroid, move each non-empty one."""
+    distance = "list_sum(list_transform(v, lambda x, i: (x - c[i]) * (x - c[i])))"
+    steps = [
+        f"""kept AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1)::INTEGER AS cluster, v AS c
+  FROM kept WHERE vec_id IS NOT NULL ORDER BY sha256('1:' || vec_id), v LIMIT {k})"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS (
+  SELECT vec_id, any_value(v) AS v, arg_min(cluster, d * {k} + cluster) AS cluster, min(d) AS distance
+  FROM (SELECT row, vec_id, v, cluster, {distance} AS d FROM kept JOIN c{r} ON true) GROUP BY row, vec_id)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""s{r} AS (
+  SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, {dims + 1}) t(i) GROUP BY cluster, i),
+c{r + 1} AS (
+  SELECT c{r}.cluster, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+    SELECT cluster, list((s - ((s % n + n) % n)) // n ORDER BY i) AS c FROM s{r} GROUP BY cluster) m USING (cluster))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + f"""
+SELECT vec_id, cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+    )
+
+
+@query(_kmeans_sql(rounds=3, k=16, dims=64))
+def op12_drift_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    vectors = rows.select("vec_id", kmeans.integer_vectors(F.col("embedding"), 64).alias("v")).where(F.col("v").isNotNull())
+    assigned, centroids = kmeans.drift_kmeans(vectors, "v", kmeans.hash_seeds(vectors, "vec_id", "v", 16), rounds=3)
+    report = kmeans.cluster_report(assigned, centroids)
+    return report.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
