@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import materialize, scratch_path
-from logloom.llm import boosting, bpe, chat, classifier, covertree, jaccard, kmeans, mixing, packing, urls, warc, wavelet
+from logloom.llm import boosting, bpe, chat, classifier, covertree, jaccard, kmeans, mixing, packing, prefix_trie, urls, warc, wavelet
 from logloom.llm.texts import thirds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -305,3 +305,51 @@ def op12_drift_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned, centroids = kmeans.drift_kmeans(vectors, "v", kmeans.hash_seeds(vectors, "vec_id", "v", 16), rounds=3)
     report = kmeans.cluster_report(assigned, centroids)
     return report.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query(
+    r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+lens AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+bits(cid, s, i, crc) AS (
+  SELECT conv_id, conv_id::VARCHAR, 0, 4294967295::BIGINT FROM lens
+  UNION ALL
+  SELECT cid, s, i + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT cid, s, i, CASE WHEN i % 8 = 0 THEN xor(crc, ascii(substr(s, i // 8 + 1, 1))) ELSE crc END AS x
+        FROM bits WHERE i < 8 * length(s))),
+c AS (
+  SELECT cid, cid - cid % 20 AS b, xor(crc, 4294967295) % 4 AS h FROM bits WHERE i = 8 * length(s)),
+rb AS (
+  SELECT c.cid, t.k AS pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.b AND t.k < c.h
+  UNION ALL
+  SELECT c.cid, least(c.h, coalesce(l.n, 0)) + t.k - c.h, t.role, t.text
+  FROM c LEFT JOIN lens l ON l.conv_id = c.b JOIN t ON t.conv_id = c.cid AND t.k >= c.h),
+seqs AS (
+  SELECT c.cid, coalesce(list({'role': rb.role, 'text': rb.text} ORDER BY rb.pos) FILTER (WHERE rb.pos IS NOT NULL), []) AS s
+  FROM c LEFT JOIN rb ON rb.cid = c.cid GROUP BY c.cid),
+pref AS (SELECT cid, d, list_slice(s, 1, d) AS p, len(s) AS l FROM seqs CROSS JOIN LATERAL generate_series(0, len(seqs.s)) g(d)),
+nodes AS (
+  SELECT p, d AS depth, min(cid) AS conv_id, count(*) AS n_convs,
+         coalesce(sha256(string_agg(cid::VARCHAR, ',' ORDER BY cid) FILTER (WHERE l = d)), sha256('')) AS ends_sha256
+  FROM pref GROUP BY p, d),
+valued AS (
+  SELECT *, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(p[depth].text, '[^\x20\x09-\x0D]+')) END AS own
+  FROM nodes),
+kids AS (
+  SELECT n.p, count(m.p) AS n_children FROM valued n LEFT JOIN valued m ON m.depth = n.depth + 1 AND list_slice(m.p, 1, n.depth) = n.p
+  GROUP BY n.p),
+sub AS (
+  SELECT n.p, sum(m.own) AS saved, count(*) FILTER (WHERE k.n_children = 0) AS leaves
+  FROM valued n JOIN valued m ON m.depth >= n.depth AND list_slice(m.p, 1, n.depth) = n.p JOIN kids k ON k.p = m.p GROUP BY n.p)
+SELECT n.conv_id::BIGINT AS conv_id, n.depth::BIGINT AS depth, par.conv_id::BIGINT AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+       k.n_children::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM valued n JOIN kids k ON k.p = n.p JOIN sub s ON s.p = n.p
+LEFT JOIN valued par ON par.depth = n.depth - 1 AND par.p = list_slice(n.p, 1, n.depth - 1)"""
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.rebuilt_turns(table(spark, sf_dir, "conversations"))
+    nodes = prefix_trie.prefix_trie(prefix_trie.weighted_sequences(turns, members=convs))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
