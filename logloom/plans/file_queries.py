@@ -1,5 +1,8 @@
 """Queries that write log rows with a sink and read them back."""
 
+import os
+from urllib.parse import urlparse
+
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import scratch_path
@@ -12,6 +15,7 @@ from logloom.operators.rules import Route, SplitRule
 from logloom.plans.registry import CONVERSATIONS, DOCUMENTS, EVENTS, LINES, PARSED, PLAIN_LINE, TEXT_LINE, query
 from logloom.sinks import files as sinks
 from logloom.sources.files import read_lines, read_logs, replay_logs
+from logloom.sources.follow import follow_lines
 from logloom.sources.tables import conversation_logs, document_logs, event_lines, event_logs
 
 _LINE_SQL = "SELECT level, is_json, message, epoch_us(ts) AS us FROM logs"
@@ -150,3 +154,69 @@ def group_report(spark, sf):
     path = scratch_path(spark, "groups")
     sinks.write_group_report(aggregate.correlation_groups(conversation_logs(spark, sf), min_group_size=2), path)
     return spark.read.schema("source string, key string, count long").json(path)
+
+
+def _local(folder: str) -> str:
+    """A folder of the local (or mounted, shared) file system, also when named by a ``file:`` URI."""
+    parsed = urlparse(folder)
+    return parsed.path if parsed.scheme == "file" else folder
+
+
+def _write_growing(lines, folder: str, sizes: dict[str, int] | None) -> dict[str, int]:
+    """Write each ``name``'s lines, in ``seq`` order, to ``<folder>/<name>.log``: a task per group of names.
+
+    With ``sizes`` the lines are appended after cutting each file back to its size, so a task run twice appends once.
+    Returns the size of every file written.
+    """
+    local = _local(folder)
+
+    def write(batches):
+        import pyarrow as pa
+
+        handle, current, written = None, None, {}
+        for batch in batches:
+            for name, raw in zip(batch.column("name").to_pylist(), batch.column("raw").to_pylist()):
+                if name != current:
+                    if handle:
+                        written[current] = handle.tell()
+                        handle.close()
+                    current, path = name, os.path.join(local, f"{name}.log")
+                    if sizes is None or not os.path.exists(path):
+                        handle = open(path, "wb")
+                    else:
+                        handle = open(path, "r+b")
+                        handle.truncate(sizes.get(name, 0))
+                        handle.seek(0, os.SEEK_END)
+                handle.write(raw.encode() + b"\n")
+        if handle:
+            written[current] = handle.tell()
+            handle.close()
+        yield pa.RecordBatch.from_pydict({"name": list(written), "size": list(written.values())}, schema=pa.schema([("name", pa.string()), ("size", pa.int64())]))
+
+    ordered = lines.repartition("name").sortWithinPartitions("name", "seq")
+    return {r["name"]: r["size"] for r in ordered.select("name", "seq", "raw").mapInArrow(write, "name string, size long").collect()}
+
+
+@query(f"""WITH {LINES}, named AS (SELECT source || '-' || (seq % 4) AS name, seq, raw FROM lines)
+SELECT name, raw, row_number() OVER (PARTITION BY name ORDER BY seq) AS place FROM named""")
+def follow_growing(spark, sf):
+    """Files that grow between two triggers of a stream that follows them: every line arrives once, in file order.
+
+    Lines are written to a file per source and remainder of ``seq`` by 4, the older half first; the stream takes them,
+    the newer half is appended to the same files, and the stream takes the rest. Lines are numbered in each file by their
+    byte offsets, which the stream hands out.
+    """
+    folder, out, state = (scratch_path(spark, name) for name in ("growing", "followed", "followed-state"))
+    lines = event_lines(spark, sf).select(F.concat_ws("-", "source", (F.col("seq") % 4).cast("string")).alias("name"), "seq", "raw")
+    middle = lines.agg(F.max("seq")).first()[0] // 2
+    os.makedirs(_local(folder), exist_ok=True)
+    sizes = _write_growing(lines.where(F.col("seq") <= middle), folder, None)
+    stream = follow_lines(spark, folder).writeStream.format("parquet").option("checkpointLocation", state).start(out)
+    try:
+        stream.processAllAvailable()
+        _write_growing(lines.where(F.col("seq") > middle), folder, sizes)
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    got = spark.read.parquet(out).select(F.regexp_extract("file", r"([^/]+)\.log$", 1).alias("name"), "seq", "raw")
+    return with_row_number(got, "place", by=("name",), order="seq").select("name", "raw", "place")

@@ -85,10 +85,38 @@ def read_lines(
     oldest first: ``app.log.10``, ``app.log.2.gz``, ``app.log.1``, ``app.log``; files without a number by path. ``tail``
     keeps the last lines of each source.
     """
+    if tail is not None:
+        return _tail_lines(spark, path, source, tail)
     # Written as in the listing; _metadata.file_path spells local paths differently.
     file = F.input_file_name().alias("_file")
-    lines = _rank_files(_lines(spark.read.text(path), source, _place().alias("seq"), file), source)
-    return lines if tail is None else tail_logs(lines, tail)
+    return _rank_files(_lines(spark.read.text(path), source, _place().alias("seq"), file), source)
+
+
+def _tail_lines(spark: SparkSession, path: str | Sequence[str], source: str | None, n: int) -> DataFrame:
+    """The last ``n`` lines of each source, read from the ends of its files: each file gives at most its last ``n``
+    lines (found by reading backwards; gzip files are read whole), and the last ``n`` of each source are kept of those.
+    ``seq`` is the file's rank among those of its source, above the byte offset of the line."""
+    from logloom.sources import follow
+
+    paths = [path] if isinstance(path, str) else list(path)
+    files = sorted({f for p in paths for f in follow.listing(p)}, key=arrival_key)
+    ranks, counts = [], {}
+    for f in files:
+        owner = source if source is not None else re.sub(FILE_SUFFIX, "", f.rsplit("/", 1)[-1])
+        ranks.append((counts.get(owner, 0), f))
+        counts[owner] = counts.get(owner, 0) + 1
+    if any(rank >= 1 << (63 - _FILE_SHIFT) for rank, _ in ranks):
+        raise ValueError(f"a source has more than {1 << (63 - _FILE_SHIFT)} files")
+    last = None
+    for p in paths:
+        part = follow.tail_lines(spark, p, n)
+        last = part if last is None else last.unionByName(part)
+    # One row per file, held by the driver already.
+    listing = F.broadcast(spark.createDataFrame(ranks, "_rank long, file string"))
+    name = F.lit(source) if source is not None else F.col("source")
+    offset = F.when(F.col("seq") < 1 << _FILE_SHIFT, F.col("seq")).otherwise(F.raise_error(F.lit(f"a file is longer than 2^{_FILE_SHIFT} bytes")))
+    ranked = last.join(listing, "file").select(name.alias("source"), (F.shiftleft("_rank", _FILE_SHIFT) + offset).alias("seq"), "raw")
+    return tail_logs(ranked, n)
 
 
 def read_logs(
