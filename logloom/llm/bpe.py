@@ -12,7 +12,8 @@ stack of states along the current root path is cut to the common prefix with the
 the states of a shared prefix are computed once for all words below it. The word end (``</w>``) hangs below its last
 plain prefix and is never shared.
 
-Spark deals the texts out; every task encodes its own slices, so nothing is shuffled and no table grows beyond a slice.
+Spark deals the texts out; every task encodes its own slices, so nothing is shuffled. A task remembers the ids of up
+to a million words it has met, so the trie of a later slice holds only new words.
 Null text encodes as empty (no ids, empty decoded text); a text that is only white space gives no ids; very long words
 (hundreds of thousands of characters) take one stack entry per character. Rows, their order and all other columns
 pass through; columns named like the outputs are replaced.
@@ -32,6 +33,69 @@ from pyspark.sql import types as T
 from logloom.llm.texts import slices, texts_of
 
 
+def _byte_chars() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256."""
+    kept = [*range(ord("!"), ord("~") + 1), *range(ord("\u00a1"), ord("\u00ac") + 1), *range(ord("\u00ae"), ord("\u00ff") + 1)]
+    rest = [b for b in range(256) if b not in kept]
+    return {**{b: chr(b) for b in kept}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+class _FastWords:
+    """The file's normalizer and pre-tokenizer, where they are of the common kinds, without the library's per-character
+    alignment bookkeeping: Unicode forms, regex replacement, lower case; a regex split keeping matches; byte-level."""
+
+    _FORMS = {"NFC", "NFD", "NFKC", "NFKD"}
+
+    def __init__(self, steps, pattern, byte_level: bool):
+        self.steps, self.pattern = steps, pattern
+        self.bytes = str.maketrans({chr(b): c for b, c in _byte_chars().items()}) if byte_level else None
+
+    @staticmethod
+    def _regex(rust: str):
+        import regex
+
+        # White space in the library's patterns is Unicode's White_Space property.
+        return regex.compile(re.sub(r"(?<!\\)\\s", r"\\p{White_Space}", rust))
+
+    @classmethod
+    def of(cls, spec: dict) -> "_FastWords | None":
+        normal = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+        parts = normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+        steps = []
+        for part in parts:
+            if part["type"] in cls._FORMS:
+                steps.append(("form", part["type"]))
+            elif part["type"] == "Lowercase":
+                steps.append(("lower", None))
+            elif part["type"] == "Replace" and "Regex" in part["pattern"]:
+                steps.append(("replace", (cls._regex(part["pattern"]["Regex"]), part["content"])))
+            else:
+                return None
+        pre = spec.get("pre_tokenizer") or {"type": "Sequence", "pretokenizers": []}
+        pres = pre["pretokenizers"] if pre["type"] == "Sequence" else [pre]
+        kinds = [p["type"] for p in pres]
+        if kinds != ["Split", "ByteLevel"]:
+            return None
+        split, level = pres
+        if not (split["behavior"] == "Removed" and split["invert"] and "Regex" in split["pattern"]) or level.get("use_regex") or level.get("add_prefix_space"):
+            return None
+        return cls(steps, cls._regex(split["pattern"]["Regex"]), True)
+
+    def __call__(self, text: str) -> list[str]:
+        import unicodedata
+
+        for kind, arg in self.steps:
+            if kind == "form":
+                text = unicodedata.normalize(arg, text)
+            elif kind == "lower":
+                # Character by character, as the library does: no final sigma.
+                text = text.replace("\u03a3", "\u03c3").lower()
+            else:
+                text = arg[0].sub(arg[1], text)
+        words = self.pattern.findall(text)
+        return [w if w.isascii() and w.isprintable() and " " not in w else w.encode("utf-8").decode("latin-1").translate(self.bytes) for w in words]
+
+
 class TrieEncoder:
     """The BPE model of a tokenizers file, applied to words through their trie."""
 
@@ -44,19 +108,31 @@ class TrieEncoder:
         # Merges are pairs, or "a b" strings in older files.
         self.ranks = {tuple(pair if isinstance(pair, list) else pair.split(" ", 1)): r for r, pair in enumerate(model["merges"])}
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.longest = max(len(self._plain(t)) for t in self.vocab)
         added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
         self.added = added
         # Leftmost match, longer strings first, as the library's added vocabulary does.
         self.cut = re.compile("|".join(re.escape(a) for a in sorted(added, key=len, reverse=True))) if added else None
         parts = Tokenizer.from_file(path)
         self.normalizer, self.pre_tokenizer = parts.normalizer, parts.pre_tokenizer
+        self._fast = _FastWords.of(spec)
         self.names = [""] * (max([*self.vocab.values(), *added.values()]) + 1)
         for table in (self.vocab, added):
             for token, i in table.items():
                 self.names[i] = token
         self.lengths = {i: len(self._plain(t)) for t, i in self.vocab.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
+        # Tokens read backwards from their last character: one trie for plain tokens, one for word ends, so that the
+        # tokens ending at a place are found by walking back only as far as some token reaches.
+        self._backwards = ({}, {})
+        for token, i in self.vocab.items():
+            plain = self._plain(token)
+            if not plain:
+                continue
+            node = self._backwards[plain != token]
+            for ch in reversed(plain):
+                node = node.setdefault(ch, {})
+            node[None] = i
+        self._known: dict[str, list[int]] = {}
 
     def _plain(self, token: str) -> str:
         return token[: -len(self.suffix)] if self.suffix and token.endswith(self.suffix) else token
@@ -90,9 +166,12 @@ class TrieEncoder:
 
     def _state(self, word: str, end: int, states: list[int], final: bool) -> int:
         """Last token of BPE(word[:end]); ``final`` adds the word-end suffix to the last character."""
-        for begin in range(max(0, end - self.longest), end):
-            piece = word[begin:end] + (self.suffix if final else "")
-            token = self.vocab.get(piece)
+        node = self._backwards[final]
+        for begin in range(end - 1, -1, -1):
+            node = node.get(word[begin])
+            if node is None:
+                break
+            token = node.get(None)
             if token is not None and self._valid(states[begin] if begin else None, token):
                 return token
         raise ValueError(f"no BPE state for {word[:end]!r}")
@@ -135,21 +214,36 @@ class TrieEncoder:
     def _words(self, text: str) -> list[str]:
         if not text:
             return []
+        if self._fast:
+            return self._fast(text)
         normal = self.normalizer.normalize_str(text) if self.normalizer else text
         split = self.pre_tokenizer.pre_tokenize_str(normal) if self.pre_tokenizer else [(normal, None)]
         return [w for w, _ in split if w]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; the distinct words of all of them share one trie."""
+        """Ids of each text; the distinct words of all of them that earlier calls have not met share one trie."""
         split = [self.words(t) for t in texts]
-        table = self.encode_words([w for s in split for w in s if isinstance(w, str)])
-        return [[i for w in s for i in ([w] if isinstance(w, int) else table[w])] for s in split]
+        known = self._known
+        if len(known) > 1_000_000:
+            known.clear()
+        known.update(self.encode_words([w for s in split for w in s if isinstance(w, str) and w not in known]))
+        return [[i for w in s for i in ([w] if isinstance(w, int) else known[w])] for s in split]
 
     def decode(self, ids: list[int]) -> str:
         """The library's decoding without a decoder: token strings joined by one space, special tokens kept."""
         return " ".join(self.names[i] for i in ids)
 
 
+_ENCODERS: dict[str, TrieEncoder] = {}
+
+
+def encoder_for(path: str) -> TrieEncoder:
+    """One encoder per file and Python worker: Spark reuses workers, so pairs and words checked once serve later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TrieEncoder(path)
+    return _ENCODERS[path]
+
+
 def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded") -> DataFrame:
     """Add ``ids`` (array<int>, the BPE encoding of ``text`` with no special tokens added) and, unless ``decoded`` is
     None, ``decoded`` (the text that decoding those ids gives). See the module docstring for the method and odd rows."""
@@ -159,7 +253,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TrieEncoder(path)
+        encoder = encoder_for(path)
         for part in slices(batches, "__text"):
             encoded = encoder.encode(texts_of(part, "__text"))
             columns = [part.column(n) for n in names]
