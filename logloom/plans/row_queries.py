@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from logloom.functions.formats import csv_fields, json_line, plain_line, text_line
-from logloom.operators import filters, rewrite, tag
+from logloom.operators import filters, keywords, rewrite, tag
 from logloom.operators.ordered import with_rank
 from logloom.operators.parse import parse_logs
 from logloom.operators.rules import (
@@ -372,3 +372,35 @@ coalesce('"' || level || '"', 'null') || ',"message":"' || message || '","raw":"
 AS line FROM logs""")
 def export_json_rows(spark, sf):
     return parse_logs(event_lines(spark, sf)).select(*ID, json_line().alias("line"))
+
+
+def benchmark_rules(spark, sf):
+    """A rule per 4-word window of every benchmark passage (words split at ASCII white space, lower case, joined by one
+    space): id ``item_id * 100000 + place``, category ``bench-<item_id>``."""
+    words = spark.read.parquet(f"{sf}/benchmark.parquet").select(
+        "item_id", F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0).alias("w")
+    )
+    windows = words.select("item_id", F.posexplode(F.expr("transform(sequence(1, greatest(size(w) - 3, 1)), i -> slice(w, i, 4))")).alias("place", "k"))
+    return windows.where(F.size("k") == 4).select(
+        (F.col("item_id") * 100000 + F.col("place")).alias("rule_id"),
+        F.array_join("k", " ").alias("keyword"),
+        F.concat(F.lit("bench-"), F.col("item_id").cast("string")).alias("category"),
+    )
+
+
+@query(
+    r"""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+rules AS (
+  SELECT item_id * 100000 + i - 1 AS rule_id, array_to_string(w[i:i + 3], ' ') AS keyword, 'bench-' || item_id AS category
+  FROM w, range(1, greatest(len(w) - 2, 1)) t(i)),
+hits AS (
+  SELECT d.doc_id, r.rule_id, r.category FROM documents d JOIN rules r ON contains(lower(d.text), r.keyword))
+SELECT d.doc_id, coalesce((SELECT arg_min(category, rule_id) FROM hits h WHERE h.doc_id = d.doc_id), 'uncategorized') AS category,
+       (SELECT count(DISTINCT rule_id) FROM hits h WHERE h.doc_id = d.doc_id) AS n_rules
+FROM documents d"""
+)
+def classify_keywords(spark, sf):
+    """Documents classified by some thousand keyword rules from a table, all found in one scan of each text."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    matched = keywords.keyword_matches(docs, benchmark_rules(spark, sf), text="text", column="rules", first="category", default="uncategorized")
+    return matched.select("doc_id", "category", F.size("rules").cast("long").alias("n_rules"))
