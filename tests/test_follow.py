@@ -104,3 +104,23 @@ def test_follow_growth(spark, tmp_path):
     assert first == [("app.log", 3, "a1"), ("app.log", 6, "a2"), ("app.log", 9, "a3"), ("app.log", 13, "a4"), ("new.log", 0, "n0")]
     got = sorted((r.file.rsplit("/", 1)[1], r.seq, r.raw) for r in spark.read.parquet(out).collect())
     assert got == sorted(first + [("app.log", 16, "partial"), ("new.log", 0, "m0")])
+
+
+def test_restart_takes_up_where_it_stopped(spark, tmp_path):
+    folder, out, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+    (folder / "app.log").write_bytes(b"a0\na1\n")
+
+    def run():
+        stream = follow.follow_lines(spark, str(folder), backfill=1).writeStream.format("parquet").option("checkpointLocation", state).start(out)
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
+
+    run()
+    with open(folder / "app.log", "ab") as f:
+        f.write(b"a2\na3\n")
+    run()
+    got = sorted((r.seq, r.raw) for r in spark.read.parquet(out).collect())
+    assert got == [(3, "a1"), (6, "a2"), (9, "a3")]
