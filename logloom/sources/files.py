@@ -70,9 +70,14 @@ def _rank_files(lines: DataFrame, source: str | None) -> DataFrame:
         sizes[owner] = sizes.get(owner, 0) + 1
     if not any(rank for rank, _ in ranks):
         return lines.select("source", "seq", "raw")
-    listing = lines.sparkSession.createDataFrame(ranks, "_rank long, _path string")
+    if any(rank >= 1 << (63 - _FILE_SHIFT) for rank, _ in ranks):
+        raise ValueError(f"a source has more than {1 << (63 - _FILE_SHIFT)} files")
+    # One row per file, which the driver holds already; Spark cannot size a frame of Python rows, so say it is small,
+    # or it would move the lines instead.
+    listing = F.broadcast(lines.sparkSession.createDataFrame(ranks, "_rank long, _path string"))
     ranked = lines.join(listing, F.col("_file") == F.col("_path"))
-    seq = F.shiftleft("_rank", _FILE_SHIFT) + F.col("seq")
+    place = F.when(F.col("seq") < 1 << _FILE_SHIFT, F.col("seq")).otherwise(F.raise_error(F.lit(f"a file is longer than 2^{_FILE_SHIFT} bytes")))
+    seq = F.shiftleft("_rank", _FILE_SHIFT) + place
     return ranked.select("source", seq.alias("seq"), "raw")
 
 

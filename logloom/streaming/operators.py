@@ -64,12 +64,12 @@ def run_closed(stream: DataFrame, start: Callable, path: str, schema: StructType
 
 
 def tumbling_counts_stream(
-    df: DataFrame, window_seconds: int = 60, delay: str = "1 minute", null_ts: str = "drop"
+    df: DataFrame, window_seconds: int = 60, delay: str = "1 minute", null_ts: str = "keep"
 ) -> DataFrame:
     """Counts per source, epoch-aligned window, level and service; final once the watermark passes a window.
 
-    Rows without a time are left out by default. ``null_ts="keep"`` counts them under a NULL window, as the batch
-    operator does; more of them may come at any time, so those counts are final, and given, when the stream is closed.
+    Rows without a time are counted under a NULL window by default, as the batch operator does; more of them may come
+    at any time, so those counts are final, and given, when the stream is closed. ``null_ts="drop"`` leaves them out.
     """
     require(window_seconds > 0, "window_seconds must be positive")
     require(null_ts in ("keep", "drop"), "null_ts must be 'keep' or 'drop'")

@@ -76,7 +76,7 @@ def test_alerts(spark, table, tmp_path):
 
 
 def test_tumbling_counts(spark, table, tmp_path):
-    got = run(spark, table, lambda s: st.tumbling_counts_stream(s, 20, "30 seconds"), tmp_path)
+    got = run(spark, table, lambda s: st.tumbling_counts_stream(s, 20, "30 seconds", null_ts="drop"), tmp_path)
     want = aggregate.tumbling_counts_long(table[0], 20, null_ts="drop")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
