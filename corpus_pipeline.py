@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.checkpoints import materialize
-from logloom.llm import boosting, classifier, jaccard, mixing, packing
+from logloom.llm import boosting, classifier, jaccard, keys, mixing, packing
 from logloom.llm.texts import WORD
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,10 +36,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     through others. Rows that share an id and a text are one document. Rows without an id come last in their group; those
     that also have no words stay.
 
-    The verdict is per row, by a 64-bit hash of id and text."""
+    The verdict is per row, by a 64-bit key of id and text that no two different rows share."""
     blank = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(WORD)
-    key = F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text")
-    keyed = docs.where(~blank).withColumn("__key", key)
+    digested = docs.where(~blank).withColumn("__digest", keys.row_digest(F.col("doc_id"), F.col("text")))
+    keyed = keys.with_unique_keys(digested, "__digest", "__key").drop("__digest")
     rows = keyed.select("__key", "doc_id", "text")
     groups = jaccard.similarity_components(rows, width=5, percent=80, id_column="__key").select(F.col("doc_id").alias("__key"), "component_id")
     named = materialize(groups.unionByName(rows.select("__key", "doc_id", F.lit(1).alias("one")), allowMissingColumns=True), "stage-groups")
