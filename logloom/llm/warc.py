@@ -210,7 +210,8 @@ _RECORD = "page_id long, url string, payload_bytes long, payload_digest string,
 
 
 def read_bundles(index: DataFrame, with_payload: bool = False) -> DataFrame:
-    """All records of the bundles; digests of responses are checked. A task holds one frame."""
+    """All records of the bundles; digests of responses are checked. Bundles are spread over tasks; a task decodes
+    one frame at a time."""
     ship_package(index.sparkSession)
     names = [field.split()[0] for field in _RECORD.split(", ")] + ["payload"] * with_payload
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -233,8 +234,14 @@ def read_bundles(index: DataFrame, with_payload: bool = False) -> DataFrame:
                     if rows:
                         yield batch_of(rows)
 
-    files = index.select("path").distinct().repartition(texts.partitions(index.sparkSession), "path")
-    return files.mapInArrow(read, _RECORD + (", payload binary" if with_payload else ""))
+    return _bundles(index).mapInArrow(read, _RECORD + (", payload binary" if with_payload else ""))
+
+
+def _bundles(index: DataFrame) -> DataFrame:
+    """The bundle paths, dealt round-robin over as many tasks as there are bundles (at most four per shuffle
+    partition). A repartition by number is neither dropped after ``distinct`` nor merged by adaptive execution."""
+    files = index.select("path").distinct()
+    return files.repartition(max(1, min(files.count(), 4 * texts.partitions(index.sparkSession))))
 
 
 def fetch(index: DataFrame, with_payload: bool = True) -> DataFrame:

@@ -74,3 +74,13 @@ def test_frames_stand_alone(spark):
 def test_empty(spark):
     index = warc.write_bundles(build(spark, []), scratch_path(spark, "warc-test"))
     assert warc.read_bundles(index).count() == 0
+
+
+def test_bundles_are_read_by_many_tasks(spark):
+    from logloom.checkpoints import scratch_path
+
+    index = warc.write_bundles(build(spark, ROWS), scratch_path(spark, "warc-test"), frame_bytes=200, bundle_bytes=600)
+    bundles = index.select("path").distinct().count()
+    assert bundles > 1
+    assert warc._bundles(index).rdd.getNumPartitions() == min(bundles, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert warc.read_bundles(index).count() == len(ROWS)
