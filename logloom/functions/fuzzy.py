@@ -142,3 +142,32 @@ def partial_score(message: Column, keyword: str) -> Column:
     # A literal hit scores 100, so those texts stay in the JVM.
     hit = F.contains(lowered, F.lit(needle))
     return F.when(hit, F.lit(100).cast("long")).otherwise(score(F.when(~hit, lowered)))
+
+
+def score_bound(message: Column, keyword: str) -> Column:
+    """An upper bound of :func:`partial_score`, in native expressions only.
+
+    Every stretch's LCS with the keyword is at most ``C``, the sum over the keyword's distinct characters of the lesser
+    of their counts in keyword and text; a stretch with ``i`` characters of the text scores
+    ``200 * min(i, C) / (n + i)``, largest at ``i = C``, where ``n`` is the shorter length. So no score exceeds
+    ``200 * C / (n + C)`` (0 where ``C`` is 0). NULL stays NULL.
+    """
+    needle = keyword.lower()
+    lowered = F.lower(message)
+    length = F.length(lowered)
+    common = F.lit(0)
+    for char, count in sorted({c: needle.count(c) for c in set(needle)}.items()):
+        found = length - F.length(F.replace(lowered, F.lit(char), F.lit("")))
+        common = common + F.least(F.lit(count), found)
+    shorter = F.least(length, F.lit(len(needle)))
+    return F.when(common > 0, F.lit(200.0) * common / (shorter + common)).otherwise(F.lit(0.0))
+
+
+def may_reach(message: Column, keyword: str, threshold: int) -> Column:
+    """False only where :func:`partial_score` is surely below ``threshold``: a native test, so that such texts never
+    reach Python. Literal hits and an empty keyword always pass."""
+    needle = keyword.lower()
+    if not needle:
+        return F.lit(True)
+    # Scores are rounded half to even; a bound below threshold - 0.5 rounds below it, as does every score under it.
+    return F.contains(F.lower(message), F.lit(needle)) | (score_bound(message, keyword) >= threshold - 0.5 - 1e-9)

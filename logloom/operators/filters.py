@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.fuzzy import partial_score
+from logloom.functions.fuzzy import may_reach, partial_score
 from logloom.functions.text import contains_ci, equals_ci, matches
 
 DEFAULT_FUZZY_THRESHOLD = 60
@@ -17,8 +17,11 @@ def exact_filter(df: DataFrame, keyword: str) -> DataFrame:
 
 
 def fuzzy_filter(df: DataFrame, keyword: str, threshold: int = DEFAULT_FUZZY_THRESHOLD) -> DataFrame:
-    """Rows whose message matches ``keyword`` with a partial score of at least ``threshold``."""
-    return df.where(partial_score(F.col("message"), keyword) >= threshold)
+    """Rows whose message matches ``keyword`` with a partial score of at least ``threshold``.
+
+    A native bound leaves out, before any Python runs, the messages that cannot reach the threshold."""
+    message = F.col("message")
+    return df.where(may_reach(message, keyword, threshold) & (partial_score(message, keyword) >= threshold))
 
 
 def structured_level() -> Column:

@@ -73,3 +73,31 @@ def test_column_scores(logs):
     assert [r["s"] for r in rows] == [None if t is None else brute("database", t.lower()) for t in texts]
     empty = df.select(partial_score(F.col("message"), "").alias("s"), "seq").orderBy("seq").collect()
     assert [r["s"] for r in empty] == [0, 0, None, 100, 0]
+
+
+def test_bound_is_never_below_the_score(spark):
+    import random
+
+    from logloom.functions.fuzzy import PartialScorer, score_bound
+
+    r = random.Random(4)
+    words = ["time out", "timeout", "disk", "ab", "a", "connection refused", "ÉÉ x"]
+    texts = ["".join(r.choice("abcdeimnotu éx") for _ in range(r.randint(0, 40))) for _ in range(300)] + ["", "TIME OUT now", "t"]
+    df = spark.createDataFrame([(t,) for t in texts], "message string")
+    for word in words:
+        bounds = [r[0] for r in df.select(score_bound(F.col("message"), word)).collect()]
+        scores = PartialScorer(word.lower()).scores([t.lower() for t in texts])
+        assert all(b + 0.5 + 1e-9 >= s for b, s in zip(bounds, scores))  # scores are rounded
+
+
+def test_pruned_filter_keeps_the_same_rows(spark):
+    import random
+
+    from logloom.operators.filters import fuzzy_filter
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdeimnotu ") for _ in range(r.randint(0, 60))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq long, message string")
+    for word, threshold in (("time out", 70), ("mint", 90), ("", 50), ("a", 100)):
+        plain = {r[0] for r in df.where(partial_score(F.col("message"), word) >= threshold).select("seq").collect()}
+        assert {r[0] for r in fuzzy_filter(df, word, threshold).select("seq").collect()} == plain
