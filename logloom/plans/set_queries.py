@@ -58,7 +58,7 @@ SELECT source, start AS window_start, (SELECT CAST(sum(n) AS BIGINT) FROM s WHER
 (SELECT string_agg(service || '=' || n, ', ' ORDER BY service) FROM s WHERE s.source = t.source AND s.start = t.start)
 AS by_service FROM (SELECT DISTINCT source, start FROM n) t""")
 def tumbling_maps(spark, sf):
-    counts = aggregate.tumbling_counts(lineitem_logs(spark, sf), 86_400)
+    counts = aggregate.tumbling_counts(lineitem_logs(spark, sf, numbered=False), 86_400)
     return counts.select("source", _us("window_start"), "total", _pairs("by_level"), _pairs("by_service"))
 
 
@@ -73,7 +73,7 @@ def stats(spark, sf):
 
 @query(f"WITH {LINEITEM} SELECT lower(level) AS level, count(*) AS count FROM logs GROUP BY ALL")
 def stats_level(spark, sf):
-    return aggregate.level_breakdown(lineitem_logs(spark, sf), by=())
+    return aggregate.level_breakdown(lineitem_logs(spark, sf, numbered=False), by=())
 
 
 @query(f"""WITH {EVENTS}, n AS (SELECT source, service, count(*) AS count FROM logs GROUP BY ALL)
@@ -98,7 +98,7 @@ def top_messages_overall(spark, sf):
 @query(f"""WITH {LINEITEM} SELECT source, epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts, count(*) AS total
 FROM logs GROUP BY source""")
 def time_range(spark, sf):
-    return aggregate.time_range(lineitem_logs(spark, sf)).select("source", _us("first_ts"), _us("last_ts"), "total")
+    return aggregate.time_range(lineitem_logs(spark, sf, numbered=False)).select("source", _us("first_ts"), _us("last_ts"), "total")
 
 
 @query(f"""WITH {CONVERSATIONS}, n AS (SELECT source, trace_id, level, count(*) AS n FROM logs GROUP BY ALL)

@@ -1,9 +1,12 @@
 """Tables of other shapes as log rows. Absent values become typed NULLs, so every frame has the full schema."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.maps import empty_map
+from logloom.operators.ordered import with_rank
 from logloom.schema import LOG_COLUMNS, LOG_SCHEMA
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -106,16 +109,38 @@ def page_logs(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def lineitem_logs(spark: SparkSession, directory: str) -> DataFrame:
+_LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def _line_seq(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """The rows and the column that numbers them: the keys' bits side by side, in the order of the keys.
+
+    Keys too large for that (orders from 2^20) would overflow: then all rows are numbered by their place in that order.
+    """
+    order, number, part, supplier = keys = [F.col(name) for name in _LINE_KEYS]
+    line = F.try_add(F.try_multiply(order, F.lit(8)), number)
+    place = F.try_add(F.try_multiply(part, F.lit(1 << 16)), supplier)
+    seq = F.try_add(F.try_multiply(line, F.lit(1 << 40)), place)
+    named = reduce(Column.__and__, (key.isNotNull() for key in keys))
+    if lines.where(named & seq.isNull()).isEmpty():
+        return lines, seq
+    rest = ["l_shipdate", "l_returnflag", "l_linestatus"]
+    ranked = with_rank(lines.select(*_LINE_KEYS, *rest).orderBy(*_LINE_KEYS, *rest), "_rank")
+    return ranked, F.when(named, F.col("_rank"))
+
+
+def lineitem_logs(spark: SparkSession, directory: str, numbered: bool = True) -> DataFrame:
     """``lineitem``: shipments as log rows, the return flag as level and the line status as service.
 
-    Order and line number repeat in the table; with part and supplier they name a row.
+    Order and line number repeat in the table; with part and supplier they name a row. ``numbered=False`` leaves ``seq``
+    NULL, for queries that do not read it.
     """
-    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    lines = _table(spark, directory, "lineitem")
+    lines, seq = _line_seq(lines) if numbered else (lines, F.lit(None))
     return as_logs(
-        _table(spark, directory, "lineitem"),
+        lines,
         source=F.concat(F.lit("supplier-"), (F.col("l_suppkey") % 16).cast("string")),
-        seq=line * (1 << 40) + F.col("l_partkey") * (1 << 16) + F.col("l_suppkey"),
+        seq=seq,
         timestamp=F.date_format("l_shipdate", TIMESTAMP_FORMAT),
         ts=F.col("l_shipdate"),
         level=F.col("l_returnflag"),
