@@ -1,5 +1,6 @@
 """Order keys from 2^20 on: the bits of a shipment's four keys no longer fit in a long."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
@@ -55,3 +56,11 @@ def test_sample_nth_of_large_keys(spark, large):
         by_source[source].append(seq)
     got = sorted(map(tuple, q.sample_nth(spark, large[0]).collect()))
     assert got == sorted((source, seq) for source, seqs in by_source.items() for seq in seqs[6::7]) and got
+
+
+def test_sample_rate_of_large_keys(spark, large):
+    def chosen(source, seq):
+        return int(hashlib.md5(f"42:{source}:{seq}".encode()).hexdigest()[:8], 16) / 2**32 < 0.1
+
+    got = sorted(map(tuple, q.sample_rate(spark, large[0]).collect()))
+    assert got == sorted((source, seq) for source, seq, _ in large[1] if chosen(source, seq)) and got
