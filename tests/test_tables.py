@@ -64,3 +64,10 @@ def test_sample_rate_of_large_keys(spark, large):
 
     got = sorted(map(tuple, q.sample_rate(spark, large[0]).collect()))
     assert got == sorted((source, seq) for source, seq, _ in large[1] if chosen(source, seq)) and got
+
+
+def test_sort_logs_of_large_keys(spark, large):
+    got = [tuple(r) for r in q.sort_logs(spark, large[0]).where("source IS NOT NULL").orderBy("rank").collect()]
+    placed = sorted((source, r[4], seq) for source, seq, r in large[1])
+    # The two rows without a supplier come first.
+    assert got == [(source, seq, rank) for rank, (source, _, seq) in enumerate(placed, 3)]
