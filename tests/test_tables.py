@@ -71,3 +71,14 @@ def test_sort_logs_of_large_keys(spark, large):
     placed = sorted((source, r[4], seq) for source, seq, r in large[1])
     # The two rows without a supplier come first.
     assert got == [(source, seq, rank) for rank, (source, _, seq) in enumerate(placed, 3)]
+
+
+def test_top_messages_overall_of_large_keys(spark, large):
+    counts = Counter(r[2] for _, _, r in large[1])
+    counts.update([1, 1])  # the rows without a supplier
+    first = {}
+    for source, seq, r in sorted(large[1], key=lambda x: x[:2]):
+        first.setdefault(r[2], (source, seq))
+    first[1] = ("", 0)
+    want = sorted(counts, key=lambda part: (-counts[part], first[part]))[:20]
+    assert [tuple(r) for r in q.top_messages_overall(spark, large[0]).collect()] == [(f"part {p}", counts[p]) for p in want]
