@@ -1,6 +1,7 @@
 """Structured Streaming queries over the event log, run over all available input, closed, and run to their end.
 
 Where a query takes ``_some_untimed`` rows, every tenth event loses its time, to show what becomes of such rows.
+The sequential queries take along only the columns they decide on and give; rows that wait are held as they are.
 """
 
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ walk(source, g, seq, i, live, keep) AS (
   FROM walk w JOIN r ON r.source = w.source AND r.g = w.g AND r.i = w.i + 1)
 SELECT source, seq FROM walk WHERE keep UNION ALL SELECT source, seq FROM untimed""")
 def stream_throttle(spark, sf):
-    logs = _some_untimed(_events(spark, sf))
+    logs = _some_untimed(_events(spark, sf)).select(*ID, "ts", "service")
     return _complete(spark, logs, lambda s: S.throttle_stream(s, 36_000, 2, F.col("service"), _DAY)).select(*ID)
 
 
@@ -91,7 +92,7 @@ walk(source, seq, i, live, keep) AS (
   FROM walk w JOIN r ON r.source = w.source AND r.i = w.i + 1)
 SELECT source, seq FROM walk WHERE keep UNION ALL SELECT source, seq FROM untimed""")
 def stream_rate_limit(spark, sf):
-    logs = _some_untimed(dense_times(_events(spark, sf)))
+    logs = _some_untimed(dense_times(_events(spark, sf))).select(*ID, "ts")
     return _complete(spark, logs, lambda s: S.rate_limit_stream(s, 2, _DAY)).select(*ID)
 
 
@@ -130,7 +131,7 @@ walk(source, seq, i, start) AS (
   FROM walk w JOIN r ON r.source = w.source AND r.i = w.i + 1)
 SELECT source, seq, start AS window_start FROM walk UNION ALL SELECT source, seq, NULL FROM untimed""")
 def stream_anchored(spark, sf):
-    logs = _some_untimed(_events(spark, sf))
+    logs = _some_untimed(_events(spark, sf)).select(*ID, "ts")
     windowed = _complete(spark, logs, lambda s: S.anchored_windows_stream(s, 20_000, _DAY))
     return windowed.select(*ID, F.unix_micros("window_start").alias("window_start"))
 
@@ -148,7 +149,7 @@ walk(source, seq, i, seen, n) AS (
 
 
 def _by_key(logs):
-    return logs.withColumn("message", F.element_at("extra", F.lit("k")))
+    return logs.select(*ID, "ts", F.element_at("extra", F.lit("k")).alias("message"))
 
 
 @query(f"WITH RECURSIVE {EVENTS}, {_MEMORY} SELECT source, seq, CAST(n AS BIGINT) AS occurrence FROM walk WHERE n = 1")
@@ -165,14 +166,14 @@ def stream_suppressed(spark, sf):
 
 @query(f"WITH {EVENTS}, n AS (SELECT source, seq, {_TIMED_BY_SOURCE} FROM logs) SELECT source, seq, i AS position FROM n WHERE i % 7 = 0")
 def stream_nth(spark, sf):
-    chosen = _complete(spark, _events(spark, sf), lambda s: S.numbered_stream(s, every=7, delay=_DAY))
+    chosen = _complete(spark, _events(spark, sf).select(*ID, "ts"), lambda s: S.numbered_stream(s, every=7, delay=_DAY))
     return chosen.select(*ID, "position")
 
 
 @query(f"WITH {EVENTS} SELECT source, seq, {_TIMED_BY_SOURCE.replace(' AS i', ' AS position')} FROM logs")
 def stream_sequence(spark, sf):
     """The running index; rows leave in time order, so it is the reordered feed, too."""
-    return _complete(spark, _events(spark, sf), lambda s: S.numbered_stream(s, delay=_DAY)).select(*ID, "position")
+    return _complete(spark, _events(spark, sf).select(*ID, "ts"), lambda s: S.numbered_stream(s, delay=_DAY)).select(*ID, "position")
 
 
 @query("SELECT count(*) AS n, count(*) AS ids FROM events")

@@ -17,10 +17,12 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructType, TimestampType
+from pyspark.sql.types import LongType, MapType, StructField, StructType, TimestampType
 
 from logloom.functions.text import or_default
 from logloom.operators.aggregate import MICROS, UNKNOWN, level_name
@@ -37,8 +39,13 @@ _END_TIME = "2200-01-01 00:00:00"  # pandas counts nanoseconds up to 2262
 _NO_TIME = "2150-01-01 00:00:00"
 #: In folds: no memory is ever out of reach.
 _FOREVER = 1 << 62
+#: Rows that are decided, written to a state or handed on at a time.
+_SLICE = 20_000
+#: Groups into which the keys of a source are dealt.
+_BUCKETS = 64
 
-Step = Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]]
+#: From what is kept, and the times and digests of the next rows in time order: what to keep, which rows to pick, and further columns of those.
+Step = Callable[[object, np.ndarray, list | None], tuple[object, np.ndarray, dict[str, np.ndarray]]]
 Reach = Callable[[object], int]
 
 
@@ -97,32 +104,86 @@ def dedup_stream(df: DataFrame, delay: str = "1 minute") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["source", "_digest"]).where(F.col("source") != END).drop("_digest")
 
 
-def _in_time_order(step: Step, reach: Reach) -> Callable:
-    """State: what ``step`` keeps, and the rows the watermark has not passed."""
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(rows, max_chunksize=_SLICE)
+    return sink.getvalue().to_pybytes()
+
+
+def _arrow(batch: pd.DataFrame, schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(batch[field.name], field.type, from_pandas=True) for field in schema], schema)
+
+
+def _due_order(rows: pa.Table, due: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+    """The due rows by key, time and ``seq``; their keys; and where in that order each key begins and the last one ends."""
+    keys, codes = [b""], np.zeros(len(due), np.int32)
+    if "_key" in rows.column_names:
+        encoded = rows["_key"].take(due).combine_chunks().dictionary_encode()
+        keys, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+    # Rows without a number come last.
+    seq = rows["seq"].fill_null(np.iinfo(np.int64).max).to_numpy()[due]
+    order = np.lexsort((seq, times[due], codes))
+    return due[order], keys, np.searchsorted(codes[order], np.arange(len(keys) + 1))
+
+
+def _in_time_order(step: Step, reach: Reach, schema: pa.Schema, shown: Sequence[str]) -> Callable:
+    """State: what ``step`` keeps for each key, and the rows the watermark has not passed.
+
+    Rows are held as Arrow columns; only some thousand at a time become Python objects.
+    """
+
+    def decide(source, kept: dict, rows: pa.Table, due: np.ndarray, times: np.ndarray) -> Iterator[pd.DataFrame]:
+        order, keys, bounds = _due_order(rows, due, times)
+        shown_rows, at, extra, waiting = rows.select(shown), [], [], 0
+
+        def take() -> pd.DataFrame:
+            out = shown_rows.take(np.concatenate(at)).to_pandas(integer_object_nulls=True)
+            names = extra[0]
+            out = out.assign(source=source, **{name: np.concatenate([e[name] for e in extra]) for name in names})
+            at.clear()
+            extra.clear()
+            return out
+
+        for number, key in enumerate(keys):
+            for low in range(bounds[number], bounds[number + 1], _SLICE):
+                part = order[low : min(low + _SLICE, bounds[number + 1])]
+                digests = rows["_digest"].take(part).to_pylist() if "_digest" in rows.column_names else None
+                kept[key], picked, added = step(kept.get(key), times[part], digests)
+                at.append(part[picked])
+                extra.append(added)
+                waiting += len(at[-1])
+                if waiting >= _SLICE:
+                    yield take()
+                    waiting = 0
+        if waiting:
+            yield take()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, waiting = pickle.loads(state.get[0]) if state.exists else (None, None)
+        kept, held = state.get if state.exists else (None, None)
+        kept = {} if kept is None else pickle.loads(kept)
         mark = state.getCurrentWatermarkMs() * 1000
-        arrived = [b for b in batches if len(b)]
-        parts = [w for w in [waiting, *arrived] if w is not None and len(w)]
-        oldest = None
+        parts = [] if held is None else [pa.ipc.open_stream(held).read_all()]
+        parts += [_arrow(b, schema) for b in batches if len(b)]
+        rows, oldest = None, None
         if parts:
-            rows = pd.concat(parts, ignore_index=True)
-            ready = (rows["t"] <= mark).to_numpy()
-            due = rows[ready].sort_values(["t", "seq"], kind="stable").reset_index(drop=True)
-            waiting = rows[~ready]
-            if len(due):
-                kept, out = step(kept, due)
-                if len(out):
-                    yield out
-            oldest = int(waiting["t"].min()) if len(waiting) else None
-        expires = reach(kept) if kept is not None else -_FOREVER
-        if oldest is None and expires < mark:
+            rows = pa.concat_tables(parts)
+            del parts
+            times = rows["t"].to_numpy()
+            ready = times <= mark
+            if ready.any():
+                rows = rows.combine_chunks()
+                yield from decide(key[0], kept, rows, np.flatnonzero(ready), times)
+                rows = rows.filter(pa.array(~ready))
+            oldest = int(times[~ready].min()) if len(rows) else None
+        # What is out of the reach of all rows to come decides nothing any more.
+        kept = {k: v for k, v in kept.items() if reach(v) >= mark}
+        if oldest is None and not kept:
             if state.exists:
                 state.remove()
             return
-        state.update((pickle.dumps((kept, waiting)),))
-        wake = oldest if oldest is not None else expires
+        state.update((pickle.dumps(kept), _packed(rows) if oldest is not None else None))
+        wake = oldest if oldest is not None else max(map(reach, kept.values()))
         if wake < _FOREVER // 2:
             # When the watermark passes the oldest waiting row, or all that is remembered.
             state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
@@ -130,23 +191,60 @@ def _in_time_order(step: Step, reach: Reach) -> Callable:
     return run
 
 
-def _keyed(df: DataFrame, key: Column, step: Step, reach: Reach, schema: StructType, delay: str, untimed: int | None = None) -> DataFrame:
-    """Rows without a time take part at the time ``untimed``, if given."""
+def _keyed(
+    df: DataFrame,
+    step: Step,
+    reach: Reach,
+    delay: str,
+    key: Column | None = None,
+    digest: Column | None = None,
+    added: Sequence[str] = (),
+    untimed: int | None = None,
+) -> DataFrame:
+    """The rows ``step`` picks per source and ``key``, with the long columns ``added``; ``key`` and ``digest`` are 16 bytes.
+
+    Rows without a time take part at the time ``untimed``, if given. The keys of a source are dealt into groups, each
+    with one state.
+    """
     ship_package(df.sparkSession)
     time = F.unix_micros(F.col("ts").cast("timestamp"))
     timed = df if untimed is not None else df.where(F.col("ts").isNotNull())
-    prepared = timed.withWatermark("ts", delay).withColumn("_key", key)
-    prepared = prepared.withColumn("t", F.coalesce(time, F.lit(untimed)) if untimed is not None else time)
-    out = prepared.groupBy("source", "_key").applyInPandasWithState(
-        _in_time_order(step, reach), schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout
+    # The source is the group's, and a time comes from its microseconds.
+    rebuilt = {"source"} | ({"ts"} if df.schema["ts"].dataType == TimestampType() else set())
+    shown = [field for field in df.schema if field.name not in rebuilt]
+    maps = {field.name for field in shown if isinstance(field.dataType, MapType)}
+    columns = {
+        **{f.name: F.map_entries(f.name) if f.name in maps else F.col(f.name) for f in shown},
+        "t": F.coalesce(time, F.lit(untimed)) if untimed is not None else time,
+        **({"_key": key} if key is not None else {}),
+        **({"_digest": digest} if digest is not None else {}),
+    }
+    bucket = F.lit(0) if key is None else F.pmod(F.xxhash64(key), F.lit(_BUCKETS))
+    marked = timed.withWatermark("ts", delay)
+    times = ["ts"] if "ts" in rebuilt else []
+    prepared = marked.select("source", *times, bucket.alias("_bucket"), *(c.alias(name) for name, c in columns.items()))
+    held = StructType([f for f in prepared.schema if f.name in columns])
+    fixed = {"_key": pa.binary(16), "_digest": pa.binary(16)}
+    # Frames have local times without a zone.
+    local = {f.name: pa.timestamp("ns") for f in held if f.dataType == TimestampType()}
+    arrow = pa.schema([pa.field(f.name, (fixed | local).get(f.name) or f.type) for f in to_arrow_schema(held)])
+    out = [f for f in prepared.schema if f.name in ("source", "t") or f.name in columns and f.name not in fixed]
+    schema = StructType([*out, *(StructField(name, LongType()) for name in added)])
+    run = _in_time_order(step, reach, arrow, [name for name in columns if name not in fixed])
+    found = prepared.groupBy("source", "_bucket").applyInPandasWithState(
+        run, schema, "state binary, rows binary", "append", GroupStateTimeout.EventTimeTimeout
     )
-    return out.where(F.col("source") != END)
+    back = {name: F.map_from_entries(name) for name in maps}
+    if times:
+        at = F.timestamp_micros("t")
+        back["ts"] = at if untimed is None else F.when(F.col("t") != untimed, at)
+    return found.where(F.col("source") != END).select(*(back.get(c, F.col(c)).alias(c) for c in [*df.columns, *added]))
 
 
-def _picking(fold: PickFold, columns: Sequence[str]) -> Step:
-    def step(kept, due):
-        kept, picked = fold.pick(kept, due["t"].tolist())
-        return kept, due[list(columns)].iloc[picked]
+def _picking(fold: PickFold) -> Step:
+    def step(kept, times, _):
+        kept, picked = fold.pick(kept, times.tolist())
+        return kept, np.asarray(picked, np.int64), {}
 
     return step
 
@@ -155,8 +253,8 @@ def _last_time(width: int, times) -> int:
     return max(times, default=-_FOREVER) + width
 
 
-def _picked(df: DataFrame, key: Column, fold: PickFold, delay: str, untimed: int | None = None) -> DataFrame:
-    return _keyed(df, key, _picking(fold, df.columns), partial(_last_time, fold.width), df.schema, delay, untimed)
+def _picked(df: DataFrame, fold: PickFold, delay: str, key: Column | None = None, untimed: int | None = None) -> DataFrame:
+    return _keyed(df, _picking(fold), partial(_last_time, fold.width), delay, key, untimed=untimed)
 
 
 def _with_untimed(df: DataFrame, passed: DataFrame) -> DataFrame:
@@ -175,13 +273,13 @@ def throttle_stream(
     require(max_allowed >= 1, "max_allowed must be >= 1")
     text = F.coalesce(F.col("message") if key is None else key.cast("string"), F.lit(""))
     fold = ThrottleFold(micros(window_seconds), max_allowed)
-    return _with_untimed(df, _picked(df, F.md5(F.encode(text, "UTF-8")), fold, delay))
+    return _with_untimed(df, _picked(df, fold, delay, F.unhex(F.md5(F.encode(text, "UTF-8")))))
 
 
 def rate_limit_stream(df: DataFrame, max_per_second: float, delay: str = "1 minute") -> DataFrame:
     """Per source, at most ``max_per_second`` rows in any closed second."""
     require(max_per_second > 0, "max_per_second must be positive")
-    return _with_untimed(df, _picked(df, F.lit(""), ThrottleFold(MICROS, -int(-max_per_second // 1)), delay))
+    return _with_untimed(df, _picked(df, ThrottleFold(MICROS, -int(-max_per_second // 1)), delay))
 
 
 def alert_stream(df: DataFrame, rule: AlertRule, delay: str = "1 minute") -> DataFrame:
@@ -193,9 +291,9 @@ def alert_stream(df: DataFrame, rule: AlertRule, delay: str = "1 minute") -> Dat
     if rule.threshold == 1:
         hits = hits.where(F.col("source") != END)
     elif rule.window:
-        hits = _picked(hits, F.lit(""), AlertFold(micros(rule.window), rule.threshold), delay)
+        hits = _picked(hits, AlertFold(micros(rule.window), rule.threshold), delay)
     else:
-        hits = _picked(hits, F.lit(""), AlertFold(_FOREVER, rule.threshold), delay, untimed=-_FOREVER // 2)
+        hits = _picked(hits, AlertFold(_FOREVER, rule.threshold), delay, untimed=-_FOREVER // 2)
     return hits.withColumn("rule", F.lit(rule.name))
 
 
@@ -205,16 +303,16 @@ def anchored_windows_stream(df: DataFrame, window_seconds: float, delay: str = "
     Rows without a time are in no window; both are NULL there.
     """
     require(window_seconds > 0, "window_seconds must be positive")
-    width, columns = micros(window_seconds), df.columns
+    width = micros(window_seconds)
     fold = AnchorFold(width)
 
-    def step(start, due):
-        start, starts = fold.starts(start, due["t"].to_numpy())
-        times = {name: pd.to_datetime(starts + add, unit="us", utc=True) for name, add in (("window_start", 0), ("window_end", width))}
-        return start, due[columns].assign(**times)
+    def step(start, times, _):
+        start, starts = fold.starts(start, times)
+        return start, np.arange(len(times)), {"window_start": starts}
 
-    schema = StructType(df.schema.fields[:]).add("window_start", TimestampType()).add("window_end", TimestampType())
-    windowed = _keyed(df, F.lit(""), step, lambda start: start + width, schema, delay)
+    windowed = _keyed(df, step, lambda start: start + width, delay, added=["window_start"])
+    bounds = {name: F.timestamp_micros(F.col("window_start") + add) for name, add in (("window_start", 0), ("window_end", width))}
+    windowed = windowed.select(*df.columns, *(bound.alias(name) for name, bound in bounds.items()))
     none = F.lit(None).cast("timestamp")
     return windowed.unionByName(df.where(F.col("ts").isNull()).withColumns({"window_start": none, "window_end": none}))
 
@@ -228,17 +326,16 @@ def dedup_count_stream(
     """
     require(window_size >= 1, "window_size must be >= 1")
     require(max_repeats >= 1, "max_repeats must be >= 1")
-    fold, columns = DedupFold(window_size, max_repeats, report), df.columns
+    fold = DedupFold(window_size, max_repeats, report)
 
-    def step(seen, due):
-        seen, counts = fold.occurrences(seen, due["_digest"].tolist())
+    def step(seen, _, digests):
+        seen, counts = fold.occurrences(seen, digests)
         counts = np.asarray(counts, np.int64)
-        wanted = counts > max_repeats if report else counts <= max_repeats
-        return seen, due[columns].assign(occurrence=counts)[wanted]
+        wanted = np.flatnonzero(counts > max_repeats if report else counts <= max_repeats)
+        return seen, wanted, {"occurrence": counts[wanted]}
 
-    schema = StructType(df.schema.fields[:]).add("occurrence", LongType())
-    digested = df.withColumn("_digest", message_digest())
-    return _keyed(digested, F.lit(""), step, lambda _: _FOREVER, schema, delay, untimed=-_FOREVER // 2)
+    digest = F.unhex(message_digest())
+    return _keyed(df, step, lambda _: _FOREVER, delay, digest=digest, added=["occurrence"], untimed=-_FOREVER // 2)
 
 
 def numbered_stream(df: DataFrame, column: str = "position", every: int = 1, delay: str = "1 minute") -> DataFrame:
@@ -247,14 +344,13 @@ def numbered_stream(df: DataFrame, column: str = "position", every: int = 1, del
     Serves the index, the Nth sample and the reorder buffer: rows leave in time order, and numbers tell that order.
     """
     require(every >= 1, "every must be >= 1")
-    columns = df.columns
 
-    def step(count, due):
-        numbers = np.arange(1, len(due) + 1) + (count or 0)
-        return int(numbers[-1]), due[columns].assign(**{column: numbers})[numbers % every == 0]
+    def step(count, times, _):
+        numbers = np.arange(1, len(times) + 1) + (count or 0)
+        chosen = np.flatnonzero(numbers % every == 0)
+        return int(numbers[-1]), chosen, {column: numbers[chosen]}
 
-    schema = StructType(df.schema.fields[:]).add(column, LongType())
-    return _keyed(df, F.lit(""), step, lambda _: _FOREVER, schema, delay, untimed=-_FOREVER // 2)
+    return _keyed(df, step, lambda _: _FOREVER, delay, added=[column], untimed=-_FOREVER // 2)
 
 
 def tee_stream(
