@@ -69,7 +69,10 @@ def test_waiting_rows_are_compact_and_leave_in_slices():
 
 
 #: What each operator is given.
-TAKEN = {"stream_sequence": ("numbered_stream", ["source", "seq", "ts"])}
+TAKEN = {
+    "stream_sequence": ("numbered_stream", ["source", "seq", "ts"]),
+    "stream_nth": ("numbered_stream", ["source", "seq", "ts"]),
+}
 
 
 def check_taken(monkeypatch, spark, events, name):
@@ -87,3 +90,7 @@ def check_taken(monkeypatch, spark, events, name):
 
 def test_sequence_takes_what_it_needs(monkeypatch, spark, events):
     check_taken(monkeypatch, spark, events, "stream_sequence")
+
+
+def test_nth_takes_what_it_needs(monkeypatch, spark, events):
+    check_taken(monkeypatch, spark, events, "stream_nth")
