@@ -72,6 +72,7 @@ def test_waiting_rows_are_compact_and_leave_in_slices():
 TAKEN = {
     "stream_sequence": ("numbered_stream", ["source", "seq", "ts"]),
     "stream_nth": ("numbered_stream", ["source", "seq", "ts"]),
+    "stream_rate_limit": ("rate_limit_stream", ["source", "seq", "ts"]),
 }
 
 
@@ -94,3 +95,7 @@ def test_sequence_takes_what_it_needs(monkeypatch, spark, events):
 
 def test_nth_takes_what_it_needs(monkeypatch, spark, events):
     check_taken(monkeypatch, spark, events, "stream_nth")
+
+
+def test_rate_limit_takes_what_it_needs(monkeypatch, spark, events):
+    check_taken(monkeypatch, spark, events, "stream_rate_limit")
