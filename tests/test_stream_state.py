@@ -73,6 +73,7 @@ TAKEN = {
     "stream_sequence": ("numbered_stream", ["source", "seq", "ts"]),
     "stream_nth": ("numbered_stream", ["source", "seq", "ts"]),
     "stream_rate_limit": ("rate_limit_stream", ["source", "seq", "ts"]),
+    "stream_dedup_count": ("dedup_count_stream", ["source", "seq", "ts", "message"]),
 }
 
 
@@ -99,3 +100,7 @@ def test_nth_takes_what_it_needs(monkeypatch, spark, events):
 
 def test_rate_limit_takes_what_it_needs(monkeypatch, spark, events):
     check_taken(monkeypatch, spark, events, "stream_rate_limit")
+
+
+def test_dedup_count_takes_what_it_needs(monkeypatch, spark, events):
+    check_taken(monkeypatch, spark, events, "stream_dedup_count")
