@@ -74,6 +74,7 @@ TAKEN = {
     "stream_nth": ("numbered_stream", ["source", "seq", "ts"]),
     "stream_rate_limit": ("rate_limit_stream", ["source", "seq", "ts"]),
     "stream_dedup_count": ("dedup_count_stream", ["source", "seq", "ts", "message"]),
+    "stream_suppressed": ("dedup_count_stream", ["source", "seq", "ts", "message"]),
 }
 
 
@@ -104,3 +105,7 @@ def test_rate_limit_takes_what_it_needs(monkeypatch, spark, events):
 
 def test_dedup_count_takes_what_it_needs(monkeypatch, spark, events):
     check_taken(monkeypatch, spark, events, "stream_dedup_count")
+
+
+def test_suppressed_takes_what_it_needs(monkeypatch, spark, events):
+    check_taken(monkeypatch, spark, events, "stream_suppressed")
