@@ -75,6 +75,7 @@ TAKEN = {
     "stream_rate_limit": ("rate_limit_stream", ["source", "seq", "ts"]),
     "stream_dedup_count": ("dedup_count_stream", ["source", "seq", "ts", "message"]),
     "stream_suppressed": ("dedup_count_stream", ["source", "seq", "ts", "message"]),
+    "stream_anchored": ("anchored_windows_stream", ["source", "seq", "ts"]),
 }
 
 
@@ -109,3 +110,7 @@ def test_dedup_count_takes_what_it_needs(monkeypatch, spark, events):
 
 def test_suppressed_takes_what_it_needs(monkeypatch, spark, events):
     check_taken(monkeypatch, spark, events, "stream_suppressed")
+
+
+def test_anchored_takes_what_it_needs(monkeypatch, spark, events):
+    check_taken(monkeypatch, spark, events, "stream_anchored")
