@@ -114,3 +114,14 @@ def test_suppressed_takes_what_it_needs(monkeypatch, spark, events):
 
 def test_anchored_takes_what_it_needs(monkeypatch, spark, events):
     check_taken(monkeypatch, spark, events, "stream_anchored")
+
+
+def test_throttle_groups_do_not_grow_with_the_keys(spark, logs, tmp_path):
+    rows = [dict(source="a", seq=i, ts=START + timedelta(seconds=i % 60), service=f"s{i % 400}") for i in range(800)]
+    logs(rows).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(LOG_SCHEMA).parquet(f"{tmp_path}/in")
+    out = st.throttle_stream(stream, 3600, 1, stream["service"])
+    query = out.writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert 0 < max(held) <= st._BUCKETS
