@@ -11,7 +11,7 @@ operator on all rows the watermark has passed. A bounded run passes the last row
 """
 
 import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import replace
 from functools import partial
 
@@ -41,6 +41,8 @@ _NO_TIME = "2150-01-01 00:00:00"
 _FOREVER = 1 << 62
 #: Rows that are decided, written to a state or handed on at a time.
 _SLICE = 20_000
+#: A run of arriving rows ends with the batch in which it reaches either.
+_RUN_ROWS, _RUN_BYTES = 16 * _SLICE, 64 << 20
 #: Groups into which the keys of a source are dealt.
 _BUCKETS = 64
 
@@ -104,37 +106,99 @@ def dedup_stream(df: DataFrame, delay: str = "1 minute") -> DataFrame:
     return keyed.dropDuplicatesWithinWatermark(["source", "_digest"]).where(F.col("source") != END).drop("_digest")
 
 
-def _packed(rows: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
-        writer.write_table(rows, max_chunksize=_SLICE)
-    return sink.getvalue().to_pybytes()
+class _Run:
+    """Rows in the order of time and ``seq``, written as compressed blocks that are read one at a time."""
+
+    def __init__(self, schema: pa.Schema):
+        self._sink = pa.BufferOutputStream()
+        self._writer = pa.ipc.new_stream(self._sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+
+    def add(self, rows: pa.Table) -> None:
+        self._writer.write_table(rows, max_chunksize=_SLICE)
+
+    def packed(self) -> bytes:
+        self._writer.close()
+        return self._sink.getvalue().to_pybytes()
 
 
 def _arrow(batch: pd.DataFrame, schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(batch[field.name], field.type, from_pandas=True) for field in schema], schema)
 
 
-def _due_order(rows: pa.Table, due: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
-    """The due rows by key, time and ``seq``; their keys; and where in that order each key begins and the last one ends."""
-    keys, codes = [b""], np.zeros(len(due), np.int32)
-    if "_key" in rows.column_names:
-        encoded = rows["_key"].take(due).combine_chunks().dictionary_encode()
-        keys, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
-    # Rows without a number come last.
-    seq = rows["seq"].fill_null(np.iinfo(np.int64).max).to_numpy()[due]
-    order = np.lexsort((seq, times[due], codes))
-    return due[order], keys, np.searchsorted(codes[order], np.arange(len(keys) + 1))
+def _places(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Times and numbers; rows without a number come last."""
+    return rows["t"].to_numpy(), rows["seq"].fill_null(np.iinfo(np.int64).max).to_numpy()
+
+
+def _sorted(parts: list[pa.Table]) -> pa.Table:
+    rows = pa.concat_tables(parts).combine_chunks()
+    times, seqs = _places(rows)
+    return rows.take(np.lexsort((seqs, times)))
+
+
+def _sorted_runs(parts: Iterable[pa.Table], schema: pa.Schema) -> Iterator[bytes]:
+    """Rows in any order as runs of bounded size."""
+
+    def run() -> bytes:
+        written = _Run(schema)
+        written.add(_sorted(some))
+        some.clear()
+        return written.packed()
+
+    some: list[pa.Table] = []
+    for rows in parts:
+        some.append(rows)
+        if sum(map(len, some)) >= _RUN_ROWS or sum(part.nbytes for part in some) >= _RUN_BYTES:
+            yield run()
+    if some:
+        yield run()
+
+
+def _merged(runs: list[bytes]) -> Iterator[pa.Table]:
+    """The rows of all runs in order, some at a time; in memory is a block of each run."""
+    waiting = [[pa.ipc.open_stream(run), None] for run in runs]
+    runs.clear()
+    while True:
+        for entry in waiting:
+            if entry[1] is None:
+                block = next(iter(entry[0]), None)
+                entry[1] = block and pa.Table.from_batches([block])
+        waiting = [entry for entry in waiting if entry[1] is not None]
+        if not waiting:
+            return
+        places = [_places(block) for _, block in waiting]
+        # Nothing that is still to be read comes before the first of the blocks' ends.
+        time, seq = min((times[-1], seqs[-1]) for times, seqs in places)
+        taken = []
+        for entry, (times, seqs) in zip(waiting, places):
+            low, high = np.searchsorted(times, time, "left"), np.searchsorted(times, time, "right")
+            count = low + np.searchsorted(seqs[low:high], seq, "right")
+            if count:
+                taken.append(entry[1].slice(0, count))
+                entry[1] = entry[1].slice(count) if count < len(times) else None
+        yield _sorted(taken) if len(taken) > 1 else taken[0]
+
+
+def _key_order(rows: pa.Table) -> tuple[np.ndarray, list, np.ndarray]:
+    """The order by key of rows in time order; the keys; and where in it each key begins and the last one ends."""
+    if "_key" not in rows.column_names:
+        return np.arange(len(rows)), [b""], np.array([0, len(rows)])
+    encoded = rows["_key"].combine_chunks().dictionary_encode()
+    keys, codes = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    return order, keys, np.searchsorted(codes[order], np.arange(len(keys) + 1))
 
 
 def _in_time_order(step: Step, reach: Reach, schema: pa.Schema, shown: Sequence[str]) -> Callable:
-    """State: what ``step`` keeps for each key, and the rows the watermark has not passed.
+    """State: what ``step`` keeps for each key, and the rows the watermark has not passed, as one sorted run.
 
-    Rows are held as Arrow columns; only some thousand at a time become Python objects.
+    Rows that arrive are sorted in runs of bounded size and merged with those; only blocks of the runs are unpacked, and
+    only some thousand rows at a time become Python objects.
     """
 
-    def decide(source, kept: dict, rows: pa.Table, due: np.ndarray, times: np.ndarray) -> Iterator[pd.DataFrame]:
-        order, keys, bounds = _due_order(rows, due, times)
+    def decide(source, kept: dict, rows: pa.Table) -> Iterator[pd.DataFrame]:
+        order, keys, bounds = _key_order(rows)
+        times = rows["t"].to_numpy()
         shown_rows, at, extra, waiting = rows.select(shown), [], [], 0
 
         def take() -> pd.DataFrame:
@@ -163,26 +227,24 @@ def _in_time_order(step: Step, reach: Reach, schema: pa.Schema, shown: Sequence[
         kept, held = state.get if state.exists else (None, None)
         kept = {} if kept is None else pickle.loads(kept)
         mark = state.getCurrentWatermarkMs() * 1000
-        parts = [] if held is None else [pa.ipc.open_stream(held).read_all()]
-        parts += [_arrow(b, schema) for b in batches if len(b)]
-        rows, oldest = None, None
-        if parts:
-            rows = pa.concat_tables(parts)
-            del parts
+        runs = [] if held is None else [held]
+        runs.extend(_sorted_runs((_arrow(b, schema) for b in batches if len(b)), schema))
+        waiting, oldest = _Run(schema), None
+        for rows in _merged(runs):
             times = rows["t"].to_numpy()
-            ready = times <= mark
-            if ready.any():
-                rows = rows.combine_chunks()
-                yield from decide(key[0], kept, rows, np.flatnonzero(ready), times)
-                rows = rows.filter(pa.array(~ready))
-            oldest = int(times[~ready].min()) if len(rows) else None
+            ready = int(np.searchsorted(times, mark, "right"))
+            if ready:
+                yield from decide(key[0], kept, rows.slice(0, ready))
+            if ready < len(times):
+                oldest = int(times[ready]) if oldest is None else oldest
+                waiting.add(rows.slice(ready))
         # What is out of the reach of all rows to come decides nothing any more.
         kept = {k: v for k, v in kept.items() if reach(v) >= mark}
         if oldest is None and not kept:
             if state.exists:
                 state.remove()
             return
-        state.update((pickle.dumps(kept), _packed(rows) if oldest is not None else None))
+        state.update((pickle.dumps(kept), waiting.packed() if oldest is not None else None))
         wake = oldest if oldest is not None else max(map(reach, kept.values()))
         if wake < _FOREVER // 2:
             # When the watermark passes the oldest waiting row, or all that is remembered.

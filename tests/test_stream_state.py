@@ -125,3 +125,93 @@ def test_throttle_groups_do_not_grow_with_the_keys(spark, logs, tmp_path):
     query.awaitTermination()
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
     assert 0 < max(held) <= st._BUCKETS
+
+
+@pytest.mark.parametrize("keyed", [False, True])
+def test_runs_are_merged_in_order(monkeypatch, keyed):
+    """Equal times, blocks of equal times, missing numbers and rows that arrive in parts, over runs of some blocks each."""
+    monkeypatch.setattr(st, "_SLICE", 7)
+    monkeypatch.setattr(st, "_RUN_ROWS", 20)
+
+    def number(count, times, _):
+        numbers = np.arange(1, len(times) + 1) + (count or 0)
+        return int(numbers[-1]), np.arange(len(times)), {"position": numbers}
+
+    schema = pa.schema([("seq", pa.int64()), ("t", pa.int64()), *([("_key", pa.binary(16))] if keyed else [])])
+    run = st._in_time_order(number, lambda _: st._FOREVER, schema, ["seq", "t"])
+    rng = np.random.default_rng(6)
+    keys = [bytes([k]) * 16 for k in range(3)]
+    rows = [(seq if seq % 50 else None, int(t) * 1000, keys[seq % 3]) for seq, t in zip(rng.permutation(400), rng.integers(1, 9, 400))]
+    state, got = State(), []
+    for low in range(0, 400, 100):
+        frame = pd.DataFrame(rows[low : low + 100], columns=["seq", "t", "_key"]).astype({"seq": "Int64"})
+        parts = [frame.iloc[i : i + 9] for i in range(0, 100, 9)]
+        got += [*run(("a", 0), iter(parts), state)]
+    assert not got
+    for state.mark in (4, 8):
+        got += [*run(("a", 0), iter([]), state)]
+        assert sum(map(len, got)) == sum(t <= state.mark * 1000 for _, t, _ in rows)
+    found = {}
+    for seq, t, position in pd.concat(got)[["seq", "t", "position"]].itertuples(index=False):
+        key = 0 if not keyed else None if pd.isna(seq) else int(seq) % 3
+        found.setdefault(key, []).append((position, t, None if pd.isna(seq) else int(seq)))
+    for key, placed in found.items():
+        if key is not None:
+            placed = sorted(placed)
+            assert [p[1:] for p in placed] == sorted((p[1:] for p in placed), key=lambda p: (p[0], p[1] is None, p[1] or 0))
+            assert keyed or [p[0] for p in placed] == list(range(1, 401))
+
+
+#: Each operator that holds rows, as its query calls it.
+HELD = {
+    "stream_nth": lambda df: st.numbered_stream(df, every=7),
+    "stream_rate_limit": lambda df: st.rate_limit_stream(df, 2),
+    "stream_dedup_count": lambda df: st.dedup_count_stream(df, 40),
+    "stream_suppressed": lambda df: st.dedup_count_stream(df, 40, report=True),
+    "stream_anchored": lambda df: st.anchored_windows_stream(df, 20_000),
+}
+
+
+def check_held(monkeypatch, logs, name):
+    """Of a million rows that wait, less than half is unpacked at any time, when they arrive and when they are decided."""
+
+    class Caught(Exception):
+        pass
+
+    caught = []
+
+    def keyed(df, step, reach, *_, **given):
+        caught.extend((step, reach, "digest" in given))
+        raise Caught
+
+    monkeypatch.setattr(st, "_keyed", keyed)
+    with pytest.raises(Caught):
+        HELD[name](logs([dict(source="a", seq=1, ts=START, message="m")]))
+    plain, reach, digested = caught
+    n, most, base = 1_000_000, [0], pa.total_allocated_bytes()
+
+    def note():
+        most[0] = max(most[0], pa.total_allocated_bytes() - base)
+
+    def step(kept, times, digests):
+        note()
+        return plain(kept, times, digests)
+
+    def frames():
+        rng = np.random.default_rng(7)
+        texts = np.array([bytes([i]) * 16 for i in range(30)], object)
+        for part in np.array_split(rng.permutation(n), 100):
+            note()
+            frame = pd.DataFrame({"seq": part, "t": part * 1000 + 1000})
+            yield frame.assign(_digest=texts[part % 30]) if digested else frame
+
+    schema = pa.schema([("seq", pa.int64()), ("t", pa.int64()), *([("_digest", pa.binary(16))] if digested else [])])
+    run, state = st._in_time_order(step, reach, schema, ["seq", "t"]), State()
+    assert not [*run(("a", 0), frames(), state)]
+    state.mark = n + 1
+    assert sum(map(len, run(("a", 0), iter([]), state)))
+    assert 0 < most[0] < n * (32 if digested else 16) / 2
+
+
+def test_suppressed_unpacks_some_blocks(monkeypatch, logs):
+    check_held(monkeypatch, logs, "stream_suppressed")
