@@ -110,13 +110,22 @@ class _Run:
     """Rows in the order of time and ``seq``, written as compressed blocks that are read one at a time."""
 
     def __init__(self, schema: pa.Schema):
-        self._sink = pa.BufferOutputStream()
+        self._sink, self._some = pa.BufferOutputStream(), schema.empty_table()
         self._writer = pa.ipc.new_stream(self._sink, schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
 
     def add(self, rows: pa.Table) -> None:
-        self._writer.write_table(rows, max_chunksize=_SLICE)
+        """Only whole blocks are written, however few rows come at a time."""
+        self._some = pa.concat_tables([self._some, rows])
+        if whole := len(self._some) // _SLICE * _SLICE:
+            self._write(self._some.slice(0, whole))
+            self._some = self._some.slice(whole)
+
+    def _write(self, rows: pa.Table) -> None:
+        self._writer.write_table(rows.combine_chunks(), max_chunksize=_SLICE)
 
     def packed(self) -> bytes:
+        if len(self._some):
+            self._write(self._some)
         self._writer.close()
         return self._sink.getvalue().to_pybytes()
 
@@ -156,13 +165,13 @@ def _sorted_runs(parts: Iterable[pa.Table], schema: pa.Schema) -> Iterator[bytes
 
 def _merged(runs: list[bytes]) -> Iterator[pa.Table]:
     """The rows of all runs in order, some at a time; in memory is a block of each run."""
-    waiting = [[pa.ipc.open_stream(run), None] for run in runs]
+    waiting = [[iter(pa.ipc.open_stream(run)), None] for run in runs]
     runs.clear()
     while True:
         for entry in waiting:
             if entry[1] is None:
-                block = next(iter(entry[0]), None)
-                entry[1] = block and pa.Table.from_batches([block])
+                block = next(entry[0], None)
+                entry[1] = None if block is None else pa.Table.from_batches([block])
         waiting = [entry for entry in waiting if entry[1] is not None]
         if not waiting:
             return

@@ -215,3 +215,17 @@ def check_held(monkeypatch, logs, name):
 
 def test_suppressed_unpacks_some_blocks(monkeypatch, logs):
     check_held(monkeypatch, logs, "stream_suppressed")
+
+
+def test_blocks_stay_whole_over_many_arrivals(monkeypatch):
+    monkeypatch.setattr(st, "_SLICE", 50)
+    schema = pa.schema([("seq", pa.int64()), ("t", pa.int64())])
+    run = st._in_time_order(lambda kept, times, _: (kept, np.arange(len(times)), {}), lambda _: 0, schema, ["seq", "t"])
+    rng, state = np.random.default_rng(8), State()
+    for i in range(60):
+        seqs = np.arange(10) + 10 * i
+        assert not [*run(("a", 0), iter([pd.DataFrame({"seq": seqs, "t": rng.integers(1, 1000, 10) * 1000})]), state)]
+    blocks = [*pa.ipc.open_stream(state.value[1])]
+    assert [len(b) for b in blocks] == [50] * 12
+    times = np.concatenate([b["t"].to_numpy() for b in blocks])
+    assert (np.diff(times) >= 0).all()
