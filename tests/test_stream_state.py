@@ -217,6 +217,10 @@ def test_suppressed_unpacks_some_blocks(monkeypatch, logs):
     check_held(monkeypatch, logs, "stream_suppressed")
 
 
+def test_nth_unpacks_some_blocks(monkeypatch, logs):
+    check_held(monkeypatch, logs, "stream_nth")
+
+
 def test_blocks_stay_whole_over_many_arrivals(monkeypatch):
     monkeypatch.setattr(st, "_SLICE", 50)
     schema = pa.schema([("seq", pa.int64()), ("t", pa.int64())])
