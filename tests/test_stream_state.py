@@ -217,6 +217,10 @@ def test_suppressed_unpacks_some_blocks(monkeypatch, logs):
     check_held(monkeypatch, logs, "stream_suppressed")
 
 
+def test_rate_limit_unpacks_some_blocks(monkeypatch, logs):
+    check_held(monkeypatch, logs, "stream_rate_limit")
+
+
 def test_nth_unpacks_some_blocks(monkeypatch, logs):
     check_held(monkeypatch, logs, "stream_nth")
 
