@@ -217,6 +217,10 @@ def test_suppressed_unpacks_some_blocks(monkeypatch, logs):
     check_held(monkeypatch, logs, "stream_suppressed")
 
 
+def test_anchored_unpacks_some_blocks(monkeypatch, logs):
+    check_held(monkeypatch, logs, "stream_anchored")
+
+
 def test_dedup_count_unpacks_some_blocks(monkeypatch, logs):
     check_held(monkeypatch, logs, "stream_dedup_count")
 
