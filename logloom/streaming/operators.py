@@ -12,7 +12,7 @@ operator on all rows the watermark has passed. A bounded run passes the last row
 
 import pickle
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, MapType, StructField, StructType, TimestampType
 
@@ -43,6 +44,8 @@ _FOREVER = 1 << 62
 _SLICE = 20_000
 #: A run of arriving rows ends with the batch in which it reaches either.
 _RUN_ROWS, _RUN_BYTES = 16 * _SLICE, 64 << 20
+#: Of a source without a key: bytes of a block of waiting rows before compression, and runs that wait unmerged.
+_BLOCK_BYTES, _MOST_RUNS = 4 << 20, 32
 #: Groups into which the keys of a source are dealt.
 _BUCKETS = 64
 
@@ -145,33 +148,35 @@ def _sorted(parts: list[pa.Table]) -> pa.Table:
     return rows.take(np.lexsort((seqs, times)))
 
 
-def _sorted_runs(parts: Iterable[pa.Table], schema: pa.Schema) -> Iterator[bytes]:
-    """Rows in any order as runs of bounded size."""
-
-    def run() -> bytes:
-        written = _Run(schema)
-        written.add(_sorted(some))
-        some.clear()
-        return written.packed()
-
+def _sorted_parts(parts: Iterable[pa.Table]) -> Iterator[pa.Table]:
+    """Rows in any order as sorted tables of bounded size."""
     some: list[pa.Table] = []
     for rows in parts:
         some.append(rows)
         if sum(map(len, some)) >= _RUN_ROWS or sum(part.nbytes for part in some) >= _RUN_BYTES:
-            yield run()
+            yield _sorted(some)
+            some.clear()
     if some:
-        yield run()
+        yield _sorted(some)
+
+
+def _packed(rows: pa.Table) -> bytes:
+    run = _Run(rows.schema)
+    run.add(rows)
+    return run.packed()
 
 
-def _merged(runs: list[bytes]) -> Iterator[pa.Table]:
+def _unpacked(run: bytes) -> Iterator[pa.Table]:
+    return (pa.Table.from_batches([block]) for block in pa.ipc.open_stream(pa.py_buffer(run)))
+
+
+def _merged(runs: Iterable[Iterator[pa.Table]]) -> Iterator[pa.Table]:
     """The rows of all runs in order, some at a time; in memory is a block of each run."""
-    waiting = [[iter(pa.ipc.open_stream(run)), None] for run in runs]
-    runs.clear()
+    waiting = [[run, None] for run in runs]
     while True:
         for entry in waiting:
             if entry[1] is None:
-                block = next(entry[0], None)
-                entry[1] = None if block is None else pa.Table.from_batches([block])
+                entry[1] = next(entry[0], None)
         waiting = [entry for entry in waiting if entry[1] is not None]
         if not waiting:
             return
@@ -198,11 +203,10 @@ def _key_order(rows: pa.Table) -> tuple[np.ndarray, list, np.ndarray]:
     return order, keys, np.searchsorted(codes[order], np.arange(len(keys) + 1))
 
 
-def _in_time_order(step: Step, reach: Reach, schema: pa.Schema, shown: Sequence[str]) -> Callable:
-    """State: what ``step`` keeps for each key, and the rows the watermark has not passed, as one sorted run.
+def _deciding(step: Step, shown: Sequence[str]) -> Callable:
+    """From a source, what ``step`` keeps for each key, and the next rows in time order: the rows it picks, as frames.
 
-    Rows that arrive are sorted in runs of bounded size and merged with those; only blocks of the runs are unpacked, and
-    only some thousand rows at a time become Python objects.
+    Only some thousand rows at a time become Python objects.
     """
 
     def decide(source, kept: dict, rows: pa.Table) -> Iterator[pd.DataFrame]:
@@ -232,14 +236,27 @@ def _in_time_order(step: Step, reach: Reach, schema: pa.Schema, shown: Sequence[
         if waiting:
             yield take()
 
+    return decide
+
+
+def _in_time_order(step: Step, reach: Reach, schema: pa.Schema, shown: Sequence[str]) -> Callable:
+    """State: what ``step`` keeps for each key, and the rows the watermark has not passed, as one sorted run.
+
+    Rows that arrive are sorted in runs of bounded size and merged with those; only blocks of the runs are unpacked. The
+    state goes to Python and back whole, so this is for the many small groups of a source with keys.
+    """
+    decide = _deciding(step, shown)
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept, held = state.get if state.exists else (None, None)
         kept = {} if kept is None else pickle.loads(kept)
         mark = state.getCurrentWatermarkMs() * 1000
         runs = [] if held is None else [held]
-        runs.extend(_sorted_runs((_arrow(b, schema) for b in batches if len(b)), schema))
+        runs.extend(map(_packed, _sorted_parts(_arrow(b, schema) for b in batches if len(b))))
+        readers = [_unpacked(run) for run in runs]
+        runs.clear()
         waiting, oldest = _Run(schema), None
-        for rows in _merged(runs):
+        for rows in _merged(readers):
             times = rows["t"].to_numpy()
             ready = int(np.searchsorted(times, mark, "right"))
             if ready:
@@ -262,6 +279,118 @@ def _in_time_order(step: Step, reach: Reach, schema: pa.Schema, shown: Sequence[
     return run
 
 
+@dataclass
+class _Held:
+    """A sorted run in a map state: its number, the blocks of it that are left, the rows of the first that are done, and the oldest left."""
+
+    number: int
+    first: int
+    end: int
+    done: int
+    oldest: int
+
+
+class _Waiting(StatefulProcessor):
+    """State of a source without a key: what the step keeps, and the rows the watermark has not passed, as sorted runs.
+
+    The runs lie in a map state, a compressed block of rows an entry, and are read and written a block at a time. So Python
+    holds a block of each run, however many rows wait, and blocks that the watermark has not reached are not read.
+    """
+
+    def __init__(self, decide: Callable, reach: Reach, schema: pa.Schema, names: Sequence[str]):
+        self._decide, self._reach, self._schema, self._names = decide, reach, schema, list(names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._about = handle.getValueState("about", "about binary")
+        self._blocks = handle.getMapState("blocks", "run long, block long", "rows binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept, runs, numbers, timer = self._load()
+        # Names that begin with an underscore are lost on the way here.
+        arrived = (_arrow(batch.set_axis(self._names, axis=1), self._schema) for batch in rows if len(batch))
+        for part in _sorted_parts(arrived):
+            runs.append(self._written(numbers, iter([part])))
+            numbers += 1
+            if len(runs) >= _MOST_RUNS:
+                runs = [self._written(numbers, _merged([self._taken(run, _FOREVER) for run in runs]))]
+                numbers += 1
+        yield from self._advance(key[0], kept, runs, numbers, timer, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept, runs, numbers, _ = self._load()
+        # Spark deletes the timer that has expired.
+        yield from self._advance(key[0], kept, runs, numbers, None, timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> tuple[dict, list[_Held], int, int | None]:
+        return pickle.loads(self._about.get()[0]) if self._about.exists() else ({}, [], 0, None)
+
+    def _written(self, number: int, parts: Iterator[pa.Table]) -> _Held:
+        """The rows, already in order, as the run ``number``, in whole blocks however few come at a time."""
+        run, some = None, self._schema.empty_table()
+        for rows in parts:
+            run = run or _Held(number, 0, 0, 0, int(rows["t"][0].as_py()))
+            some = pa.concat_tables([some, rows])
+            size = max(1, min(_SLICE, _BLOCK_BYTES * len(some) // max(some.nbytes, 1)))
+            while len(some) >= size:
+                self._write(run, some.slice(0, size))
+                some = some.slice(size)
+        if len(some):
+            self._write(run, some)
+        return run
+
+    def _write(self, run: _Held, rows: pa.Table) -> None:
+        self._blocks.updateValue((run.number, run.end), (_packed(rows),))
+        run.end += 1
+
+    def _taken(self, run: _Held, mark: int) -> Iterator[pa.Table]:
+        """The rows of a run up to the time ``mark``, a block at a time; blocks without others are removed."""
+        while run.first < run.end and run.oldest <= mark:
+            block = (run.number, run.first)
+            rows = pa.concat_tables(_unpacked(self._blocks.getValue(block)[0])).slice(run.done)
+            times = rows["t"].to_numpy()
+            ready = int(np.searchsorted(times, mark, "right"))
+            if ready < len(times):
+                run.done, run.oldest = run.done + ready, int(times[ready])
+            else:
+                self._blocks.removeKey(block)
+                run.first, run.done = run.first + 1, 0
+            if ready:
+                yield rows.slice(0, ready)
+
+    def _advance(self, source, kept: dict, runs: list[_Held], numbers: int, timer: int | None, timer_values) -> Iterator[pd.DataFrame]:
+        """Decide the rows the watermark has passed, and set the timer for the next."""
+        watermark = timer_values.getCurrentWatermarkInMs()
+        mark = watermark * 1000
+        for rows in _merged([self._taken(run, mark) for run in runs if run.oldest <= mark]):
+            yield from self._decide(source, kept, rows)
+        runs = [run for run in runs if run.first < run.end]
+        # What is out of the reach of all rows to come decides nothing any more.
+        kept = {k: v for k, v in kept.items() if self._reach(v) >= mark}
+        wake = min((run.oldest for run in runs), default=max(map(self._reach, kept.values()), default=_FOREVER))
+        # When the watermark passes the oldest waiting row, or all that is remembered.
+        due = max(wake // 1000 + 1, watermark + 1) if wake < _FOREVER // 2 else None
+        if due != timer:
+            if timer is not None:
+                self._handle.deleteTimer(timer)
+            if due is not None:
+                self._handle.registerTimer(due)
+        if runs or kept:
+            self._about.update((pickle.dumps((kept, runs, numbers, due)),))
+        else:
+            self._about.clear()
+
+
+def _use_rocksdb(spark: SparkSession) -> None:
+    """States of single entries need Spark's RocksDB store. Streams that began with another keep theirs, from their checkpoints."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "RocksDBStateStoreProvider"
+    if not spark.conf.get(name).endswith(store):
+        spark.conf.set(name, f"org.apache.spark.sql.execution.streaming.state.{store}")
+
+
 def _keyed(
     df: DataFrame,
     step: Step,
@@ -275,7 +404,7 @@ def _keyed(
     """The rows ``step`` picks per source and ``key``, with the long columns ``added``; ``key`` and ``digest`` are 16 bytes.
 
     Rows without a time take part at the time ``untimed``, if given. The keys of a source are dealt into groups, each
-    with one state.
+    with one state; a source without keys has one of many entries.
     """
     ship_package(df.sparkSession)
     time = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -290,10 +419,10 @@ def _keyed(
         **({"_key": key} if key is not None else {}),
         **({"_digest": digest} if digest is not None else {}),
     }
-    bucket = F.lit(0) if key is None else F.pmod(F.xxhash64(key), F.lit(_BUCKETS))
+    bucket = [F.pmod(F.xxhash64(key), F.lit(_BUCKETS)).alias("_bucket")] if key is not None else []
     marked = timed.withWatermark("ts", delay)
     times = ["ts"] if "ts" in rebuilt else []
-    prepared = marked.select("source", *times, bucket.alias("_bucket"), *(c.alias(name) for name, c in columns.items()))
+    prepared = marked.select("source", *times, *bucket, *(c.alias(name) for name, c in columns.items()))
     held = StructType([f for f in prepared.schema if f.name in columns])
     fixed = {"_key": pa.binary(16), "_digest": pa.binary(16)}
     # Frames have local times without a zone.
@@ -301,10 +430,16 @@ def _keyed(
     arrow = pa.schema([pa.field(f.name, (fixed | local).get(f.name) or f.type) for f in to_arrow_schema(held)])
     out = [f for f in prepared.schema if f.name in ("source", "t") or f.name in columns and f.name not in fixed]
     schema = StructType([*out, *(StructField(name, LongType()) for name in added)])
-    run = _in_time_order(step, reach, arrow, [name for name in columns if name not in fixed])
-    found = prepared.groupBy("source", "_bucket").applyInPandasWithState(
-        run, schema, "state binary, rows binary", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    names = [name for name in columns if name not in fixed]
+    if key is None:
+        _use_rocksdb(df.sparkSession)
+        waiting = _Waiting(_deciding(step, names), reach, arrow, prepared.columns)
+        found = prepared.groupBy("source").transformWithStateInPandas(waiting, schema, "append", "eventTime")
+    else:
+        run = _in_time_order(step, reach, arrow, names)
+        found = prepared.groupBy("source", "_bucket").applyInPandasWithState(
+            run, schema, "state binary, rows binary", "append", GroupStateTimeout.EventTimeTimeout
+        )
     back = {name: F.map_from_entries(name) for name in maps}
     if times:
         at = F.timestamp_micros("t")

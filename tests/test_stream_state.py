@@ -1,6 +1,7 @@
 """What the sequential streams hold while rows wait."""
 
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -245,3 +246,94 @@ def test_blocks_stay_whole_over_many_arrivals(monkeypatch):
     assert [len(b) for b in blocks] == [50] * 12
     times = np.concatenate([b["t"].to_numpy() for b in blocks])
     assert (np.diff(times) >= 0).all()
+
+
+class Handle:
+    """As much of a processor's handle as a source without a key uses: values, a map and timers."""
+
+    def __init__(self):
+        self.value, self.entries, self.timers = None, {}, set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        entries = self.entries
+        return SimpleNamespace(getValue=entries.__getitem__, updateValue=entries.__setitem__, removeKey=entries.pop)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def at(watermark):
+    return SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+
+
+def test_dedup_count_holds_distinct_messages_in_entries(monkeypatch):
+    """Rows with messages of their own arrive in parts, wait in bounded entries, and leave in order, some blocks unpacked at a time."""
+    for name, value in {"_SLICE": 1000, "_RUN_ROWS": 4000, "_MOST_RUNS": 5}.items():
+        monkeypatch.setattr(st, name, value)
+    n, most, base = 100_000, [0], pa.total_allocated_bytes()
+
+    def step(count, times, digests):
+        most[0] = max(most[0], pa.total_allocated_bytes() - base)
+        assert len(set(digests)) == len(times)
+        numbers = np.arange(1, len(times) + 1) + (count or 0)
+        return int(numbers[-1]), np.arange(len(times)), {"position": numbers}
+
+    schema = pa.schema([("seq", pa.int64()), ("t", pa.int64()), ("_digest", pa.binary(16))])
+    waiting = st._Waiting(st._deciding(step, ["seq", "t"]), lambda _: st._FOREVER, schema, schema.names)
+    handle, rng = Handle(), np.random.default_rng(9)
+    waiting.init(handle)
+    texts = np.array([bytes(row) for row in rng.integers(0, 256, (n, 16), np.uint8)], object)
+
+    def frames(seqs):
+        for part in np.array_split(seqs, 50):
+            most[0] = max(most[0], pa.total_allocated_bytes() - base)
+            # Names are lost on the way to a processor.
+            yield pd.DataFrame({"a": part, "b": part // 3 * 1000 + 1000, "c": texts[part]})
+
+    for seqs in np.array_split(rng.permutation(n), 2):
+        assert not [*waiting.handleInputRows(("a",), frames(seqs), at(0))]
+    sizes = [len(rows) for (rows,) in handle.entries.values()]
+    assert sum(sizes) > 16 * n and max(sizes) < 48 * st._SLICE
+    assert handle.timers == {2}
+    out = []
+    for mark in (n // 6, n):
+        for timer in [t for t in handle.timers if t <= mark]:
+            out += waiting.handleExpiredTimer(("a",), at(mark), None)
+            handle.timers.remove(timer)
+    got = pd.concat(out)
+    assert got["seq"].tolist() == list(range(n)) and got["position"].tolist() == list(range(1, n + 1))
+    assert not handle.entries and not handle.timers and handle.value is not None
+    assert 0 < most[0] < n * 32 / 4
+
+
+def test_dedup_count_has_more_than_one_state_a_source(spark, logs, tmp_path):
+    for part in range(3):
+        rows = [dict(source="ab"[i % 2], seq=i, ts=START + timedelta(seconds=i), message=f"m{i // 4}") for i in range(part * 40, part * 40 + 40)]
+        logs(rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    end, progress = f"{tmp_path}/end", []
+    out = st.dedup_count_stream(st.closable(stream, end), 40)
+
+    def start():
+        query = out.writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out")
+        query.awaitTermination()
+        progress.extend(query.recentProgress)
+        return query
+
+    st.run_closed(out, start, end, LOG_SCHEMA)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) > 2
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out")
+    assert sorted(row["seq"] for row in got.collect()) == [i for i in range(120) if i % 4 < 2]
